@@ -96,12 +96,16 @@ def draft_gate(df: DataFrame, owner: str, blocked_senders: DataFrame, label: str
     df = df.withColumn("__email", T.extract_email(F.col("from")))
     blocked = blocked_senders.select(F.lower("email").alias("__blocked")).distinct()
     df = df.join(blocked, F.col("__email") == F.col("__blocked"), "left")
-    local = F.regexp_replace(F.substring_index("__email", "@", 1), "[._+]+", "-")
-    domain = F.substring_index("__email", "@", -1)
-    name = F.lower(T.display_name(F.col("from")))
-    on_local = T.first_contained(local, K.DRAFT_LOCAL_MARKERS)
-    on_name = T.first_contained(name, K.AUTOMATED_NAME_MARKERS)
-    on_domain = T.first_contained(domain, K.DRAFT_DOMAIN_MARKERS)
+    df = df.withColumns({
+        "__local": F.regexp_replace(F.substring_index("__email", "@", 1), "[._+]+", "-"),
+        "__domain": F.substring_index("__email", "@", -1),
+        "__name": F.lower(T.display_name(F.col("from")))})
+    # The markers become columns of their own: the reason chain tests and prints each of them.
+    df = df.withColumns({
+        "__on_local": T.first_contained(F.col("__local"), K.DRAFT_LOCAL_MARKERS),
+        "__on_name": T.first_contained(F.col("__name"), K.AUTOMATED_NAME_MARKERS),
+        "__on_domain": T.first_contained(F.col("__domain"), K.DRAFT_DOMAIN_MARKERS)})
+    on_local, on_name, on_domain = F.col("__on_local"), F.col("__on_name"), F.col("__on_domain")
     reason = (
         F.when(~F.col(label).isin(K.DRAFT_LABELS), F.concat(F.lit("label_not_draftable:"), F.col(label)))
         .when(~F.contains(F.lower(F.coalesce("to", F.lit(""))), F.lit(owner.lower())),
@@ -111,9 +115,10 @@ def draft_gate(df: DataFrame, owner: str, blocked_senders: DataFrame, label: str
         .when(F.col("__blocked").isNotNull(), F.concat(F.lit("automated_sender:"), F.col("__email")))
         .when(on_local.isNotNull(), F.concat(F.lit("automated_sender_local:"), on_local))
         .when(on_name.isNotNull(), F.concat(F.lit("automated_sender_name:"), on_name))
-        .when(on_domain.isNotNull(), F.concat(F.lit("automated_sender_domain:"), domain)))
+        .when(on_domain.isNotNull(), F.concat(F.lit("automated_sender_domain:"), F.col("__domain"))))
     return (df.withColumn("draft_block_reason", reason)
-            .withColumn("should_auto_draft", F.col("draft_block_reason").isNull()).drop("__email", "__blocked"))
+            .withColumn("should_auto_draft", F.col("draft_block_reason").isNull())
+            .drop("__email", "__blocked", "__local", "__domain", "__name", "__on_local", "__on_name", "__on_domain"))
 
 
 def draft_candidates(df: DataFrame, class_labels: list[str]) -> DataFrame:

@@ -59,11 +59,15 @@ def sender_samples(df: DataFrame, n: int = K.SENDER_SAMPLE_SUBJECTS) -> DataFram
 
 def with_reasons(senders: DataFrame) -> DataFrame:
     """(email, domain, display_name) -> the automation reasons, in local, name, domain order."""
-    local = F.regexp_replace(F.lower(F.substring_index("email", "@", 1)), "[._+]+", "-")
-    return senders.withColumn("reasons", F.array_compact(F.array(
-        T.first_contained(local, K.AUTOMATED_LOCAL_WORDS, "local:"),
-        T.first_contained(F.lower(F.coalesce("display_name", F.lit(""))), K.AUTOMATED_NAME_MARKERS, "name:"),
-        T.first_contained(F.lower("domain"), K.AUTOMATED_DOMAIN_MARKERS, "domain:"))))
+    # Staged, so that each long marker chain reads a column instead of repeating the expression.
+    staged = senders.withColumns({
+        "__local": F.regexp_replace(F.lower(F.substring_index("email", "@", 1)), "[._+]+", "-"),
+        "__name": F.lower(F.coalesce("display_name", F.lit(""))),
+        "__domain": F.lower("domain")})
+    return staged.withColumn("reasons", F.array_compact(F.array(
+        T.first_contained(F.col("__local"), K.AUTOMATED_LOCAL_WORDS, "local:"),
+        T.first_contained(F.col("__name"), K.AUTOMATED_NAME_MARKERS, "name:"),
+        T.first_contained(F.col("__domain"), K.AUTOMATED_DOMAIN_MARKERS, "domain:")))).drop("__local", "__name", "__domain")
 
 
 def mine_senders(df: DataFrame, min_count: int = 3) -> dict[str, DataFrame]:
