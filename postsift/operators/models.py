@@ -14,6 +14,7 @@ from postsift.operators.features import TextFeatures, fit_text_features, l2_norm
 from postsift.operators.scoring import topk
 
 NGRAM_BUCKETS = 1 << 18
+ROWS_PER_GRADIENT = 5_000
 
 
 def label_index(labels: list[str], c: Column) -> Column:
@@ -36,9 +37,16 @@ def class_weights(df: DataFrame, labels: list[str]) -> DataFrame:
     return df.join(F.broadcast(weighted), F.col("label") == F.col("__l")).drop("__l")
 
 
+def _paced(df: DataFrame, rows: int) -> DataFrame:
+    """Fewer partitions for few rows: each one ships a coefficient-sized gradient every iteration."""
+    wanted = rows // ROWS_PER_GRADIENT + 1
+    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
+
+
 def fit_logistic(df: DataFrame, labels: list[str], c: float, max_iter: int, balanced: bool):
     """Multinomial L2 logistic regression; the penalty follows C through 1 / (C * weight sum)."""
     rows = df.count()
+    df = _paced(df, rows)
     lr = LogisticRegression(featuresCol="features", labelCol="label_index", family="multinomial", maxIter=max_iter, tol=1e-6,
                             elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * max(rows, 1)))
     data = df.withColumn("label_index", label_index(labels, F.col("label")))
@@ -84,7 +92,7 @@ def train_tfidf(train: DataFrame, text: str = "training_text", c: float = 4.0, m
 
 
 def train_ngram(train: DataFrame, text: str = "training_text", loss: str = "softmax", word_n: int = 2, c: float = 4.0,
-                max_iter: int = 200, buckets: int = NGRAM_BUCKETS) -> Classifier:
+                max_iter: int = 35, buckets: int = NGRAM_BUCKETS) -> Classifier:
     """Linear model over hashed word n-grams; ``loss`` is "softmax" or "ova" (one model per label)."""
     if loss not in ("softmax", "ova"):
         raise ValueError(f"unsupported loss: {loss}")

