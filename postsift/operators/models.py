@@ -10,7 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postsift.operators.features import TextFeatures, fit_text_features, l2_normalize
+from postsift.functions.arrays import l2_normalize
+from postsift.operators.features import TextFeatures, fit_text_features
 from postsift.operators.scoring import topk
 
 NGRAM_BUCKETS = 1 << 18

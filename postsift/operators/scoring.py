@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postsift import constants as K
 from postsift.functions import text as T
+from postsift.functions.arrays import let
 
 
 def label_counts(df: DataFrame) -> DataFrame:
@@ -55,9 +56,10 @@ def precision_at_1(df: DataFrame, label: str = "label", prediction: str = "predi
 
 def softmax(scores: Column) -> Column:
     """Probabilities from decision scores, shifted by the maximum."""
-    top = F.array_max(scores)
-    exps = F.transform(scores, lambda x: F.exp(x.cast("double") - top.cast("double")))
-    return F.transform(exps, lambda e: e / F.aggregate(exps, F.lit(0.0), lambda a, x: a + x))
+    shifted = let(F.struct(scores.cast("array<double>").alias("s"), F.array_max(scores).cast("double").alias("top")),
+                  lambda v: F.transform(v["s"], lambda x: F.exp(x - v["top"])))
+    summed = let(shifted, lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, x: a + x).alias("total")))
+    return let(summed, lambda v: F.transform(v["e"], lambda e: e / v["total"]))
 
 
 def topk(probabilities: Column, labels: list[str], k: int = 3) -> Column:

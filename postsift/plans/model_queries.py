@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postsift.functions import text as T
+from postsift.functions.arrays import l2_normalize as l2_normalized
 from postsift.operators import features as FE
 from postsift.operators import models as ML
 from postsift.operators import scoring as C
@@ -53,7 +54,7 @@ def char_tfidf(spark, sf):
 WITH x AS (SELECT vec_id, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings)
 SELECT vec_id, pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 6) AS value FROM x""")
 def l2_normalize(spark, sf):
-    return X.table(spark, sf, "embeddings").select("vec_id", F.posexplode(FE.l2_normalize(F.col("embedding"))).alias("pos", "v")
+    return X.table(spark, sf, "embeddings").select("vec_id", F.posexplode(l2_normalized(F.col("embedding"))).alias("pos", "v")
                                                    ).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("value"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from postsift import constants as K
 from postsift.functions import text as T
+from postsift.functions.arrays import let
 from postsift.operators.rows import rank_within, seq_bucket
 from postsift.schemas import EMAIL
 
@@ -85,7 +86,7 @@ def decode_body(data: Column) -> Column:
     """base64url text to UTF-8, bad bytes replaced, undecodable data empty."""
     fixed = F.regexp_replace(F.translate(F.coalesce(data, F.lit("")), "-_", "+/"), "[^A-Za-z0-9+/]", "")
     # Only base64 characters are left, and the decoder needs no padding, so no row can fail the job.
-    return F.when(F.length(fixed) % 4 != 1, F.make_valid_utf8(F.unbase64(fixed).cast("string"))).otherwise("")
+    return let(fixed, lambda f: F.when(F.length(f) % 4 != 1, F.make_valid_utf8(F.unbase64(f).cast("string"))).otherwise(""))
 
 
 def _leaves(part: Column, depth: int) -> Column:
