@@ -23,22 +23,26 @@ def keep_one(df: DataFrame, keys: list[str | Column], order: str = "seq", last:
     return df.join(winners, F.col(order) == F.col("__keep"), "left_semi")
 
 
-def rank_within(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], out: str) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], out: str,
+                total: str | None = None) -> DataFrame:
     """Exact 1-based rank inside ``keys`` without sorting a key in one task.
 
     ``bucket`` must grow with ``order`` and bound the rows per (key, bucket). Bucket counts give each
-    bucket its offset; only the rows of one bucket are sorted together.
+    bucket its offset; only the rows of one bucket are sorted together. ``total`` adds the key's size.
     """
     df = df.withColumn("__bucket", bucket)
     part = [*keys, "__bucket"]
     counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*[F.col(f"`{k}`").alias(f"__o{i}") for i, k in enumerate(part)],
-                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+                            F.sum("__n").over(W.partitionBy(*keys)).alias("__total"))
     ranked = df.withColumn("__rn", F.row_number().over(W.partitionBy(*part).orderBy(*order)))
     same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__o{i}")) for i, k in enumerate(part)]
-    return (ranked.join(offsets, same).withColumn(out, F.col("__before") + F.col("__rn"))
-            .drop("__bucket", "__rn", "__before", *[f"__o{i}" for i in range(len(part))]))
+    joined = ranked.join(offsets, same).withColumn(out, F.col("__before") + F.col("__rn"))
+    if total:
+        joined = joined.withColumn(total, F.col("__total"))
+    return joined.drop("__bucket", "__rn", "__before", "__total", *[f"__o{i}" for i in range(len(part))])
 
 
 def seq_bucket(order: str = "seq") -> Column:
@@ -92,12 +96,9 @@ def stratified_split(df: DataFrame, ratio: float = K.VALID_RATIO, seed: int = K.
     narrow = df.select(F.col(order).alias("__seq"), F.col("label").alias("__label"),
                        split_hash(seed, key).alias("__hash"))
     ranked = rank_within(narrow, ["__label"], F.substring("__hash", 1, 4),
-                         [F.col("__hash"), F.col("__seq")], "__rank")
-    sizes = narrow.groupBy(F.col("__label").alias("__size_label")).agg(F.count(F.lit(1)).alias("__n"))
+                         [F.col("__hash"), F.col("__seq")], "__rank", "__n")
     valid = F.when(F.col("__n") > 1, F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(ratio), 0))).otherwise(0)
-    # One row per label: a label vocabulary, far below any broadcast bound.
-    picked = (ranked.join(sizes, F.col("__label") == F.col("__size_label"))
-              .select("__seq", F.when(F.col("__rank") <= valid, "valid").otherwise("train").alias("split")))
+    picked = ranked.select("__seq", F.when(F.col("__rank") <= valid, "valid").otherwise("train").alias("split"))
     return df.join(picked, F.col(order) == F.col("__seq")).drop("__seq")
 
 

@@ -16,30 +16,51 @@ from postsift.schemas import EMAIL
 PART_DEPTH = 5
 
 
+
+
+# Bits of seq: file rank, block of the file, row of the task.
+FILE_BITS, BLOCK_BITS, ROW_BITS = 21, 14, 28
+BROADCAST_FILES = 200_000
+
+
+def _ranked_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, rank, length) from a listing only: no content is read. One row per input file."""
+    listed = None
+    for i, path in enumerate(paths):
+        part = spark.read.format("binaryFile").load(path).select(
+            F.lit(i).alias("source"), F.col("_metadata.file_path").alias("file"), "length")
+        listed = part if listed is None else listed.unionByName(part)
+    return listed.withColumn("rank", F.row_number().over(W.orderBy("source", "file")) - 1)
+
+
 def read_emails(spark: SparkSession, paths: list[str], schema: StructType = EMAIL, mode: str = "FAILFAST") -> DataFrame:
-    """JSON-lines files, in argument order, with ``seq`` following file and line order.
+    """JSON-lines files, in argument order, with a ``seq`` that follows file and line order.
 
-    ``seq`` is the rank of the input split in its upper bits and the row's place in its lower 33
-    bits: unique and ordered without numbering all rows in one place. Only the list of splits, one
-    row per file block, is ranked.
+    ``seq`` packs the file's rank, the block inside the file and the row's place in its task: unique
+    and ordered without a pass over the data or numbering in one place.
     """
-    order = {path: i for i, path in enumerate(paths)}
-    frames = []
-    for path, i in order.items():
-        frames.append(spark.read.schema(schema).option("mode", mode).json(path)
-                      .withColumn("__file", F.concat(F.lit(f"{i:08d}|"), F.col("_metadata.file_path")))
-                      .withColumn("__block", F.col("_metadata.file_block_start"))
-                      .withColumn("__row", F.monotonically_increasing_id()))
+    files = _ranked_files(spark, paths)
+    # Splits of one file start at multiples of a size that is never below this unit.
+    unit = min(int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()),
+               int(spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()))
+    found = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("length"), F.lit(0)).alias("longest")).first()
+    if found["n"] >= 1 << FILE_BITS or found["longest"] // unit >= 1 << BLOCK_BITS:
+        raise ValueError("too many files, or a file too long, for the seq layout: merge or split the input files")
+    frames = [spark.read.schema(schema).option("mode", mode).json(path)
+              .withColumns({"__source": F.lit(i), "__path": F.col("_metadata.file_path"),
+                            "__block": F.floor(F.col("_metadata.file_block_start") / F.lit(unit)),
+                            "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+              for i, path in enumerate(paths)]
     rows = frames[0]
     for frame in frames[1:]:
         rows = rows.unionByName(frame)
-    splits = rows.select("__file", "__block").distinct().select(
-        F.col("__file").alias("__f"), F.col("__block").alias("__b"),
-        (F.row_number().over(W.orderBy("__file", "__block")) - 1).alias("__split"))
-    low = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
-    return (rows.join(F.broadcast(splits), (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
-            .withColumn("seq", F.shiftleft(F.col("__split").cast("long"), 33).bitwiseOR(low))
-            .drop("__file", "__block", "__row", "__f", "__b", "__split"))
+    ranks = files.select("source", "file", "rank")
+    # A checked size: a longer file list joins by shuffle instead.
+    ranks = F.broadcast(ranks) if found["n"] <= BROADCAST_FILES else ranks
+    seq = (F.shiftleft(F.col("rank").cast("long"), BLOCK_BITS + ROW_BITS)
+           .bitwiseOR(F.shiftleft("__block", ROW_BITS)).bitwiseOR(F.col("__row")))
+    return (rows.join(ranks, (F.col("__source") == F.col("source")) & (F.col("__path") == F.col("file")))
+            .withColumn("seq", seq).drop("__source", "__path", "__block", "__row", "source", "file", "rank"))
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -163,7 +184,9 @@ def missing_labels(dictionary: DataFrame, mailbox: DataFrame) -> DataFrame:
 def extract_by_label(df: DataFrame, resolved: DataFrame, n: int | None = None) -> DataFrame:
     """One row per (message, resolved label); at most the first ``n`` messages of each label."""
     rows = (df.select("*", F.explode("label_ids").alias("__lid"))
-            .join(resolved.select(F.col("canonical"), F.col("label_id").alias("__rid")), F.col("__lid") == F.col("__rid"))
+            # At most one row per canonical label.
+            .join(F.broadcast(resolved.select(F.col("canonical"), F.col("label_id").alias("__rid"))),
+                  F.col("__lid") == F.col("__rid"))
             .withColumn("label", F.col("canonical")).drop("__lid", "__rid", "canonical"))
     if n is None:
         return rows
