@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsift.session import cut_lineage
+from postsift.session import remove_stage, write_stage
 
 MAX_ROUNDS = 60
 
@@ -42,12 +42,14 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
     """
     links = edges.filter(F.col("u") != F.col("v")).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    current = cut_lineage(links, "components")
+    current, path = write_stage(links, "components")
     before = _state(current)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        current = cut_lineage(_small_star(_large_star(current).distinct()).distinct(), "components")
+        replaced = path
+        current, path = write_stage(_small_star(_large_star(current).distinct()).distinct(), "components")
+        remove_stage(edges.sparkSession, replaced)
         after = _state(current)
         if after == before:
             break

@@ -262,7 +262,7 @@ def group_members(components: DataFrame, groups: DataFrame, span: int = MEMBER_S
             .select("template_group_id", "chunk", F.col("m.id").alias("message_ids")))
 
 
-def grouping_summary(components: DataFrame, groups: DataFrame) -> DataFrame:
-    totals = components.agg(F.count(F.lit(1)).alias("input_records"), F.count(F.lit(1)).alias("assignments"))
-    return totals.crossJoin(groups.agg(F.count(F.lit(1)).alias("representatives"),
-                                       F.coalesce(F.max("group_size"), F.lit(0)).alias("largest_group")))
+def grouping_summary(groups: DataFrame) -> DataFrame:
+    covered = F.coalesce(F.sum("group_size"), F.lit(0))
+    return groups.agg(covered.alias("input_records"), F.count(F.lit(1)).alias("representatives"), covered.alias("assignments"),
+                      F.coalesce(F.max("group_size"), F.lit(0)).alias("largest_group"))

@@ -8,6 +8,7 @@ from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postsift.functions.arrays import l2_normalize
@@ -33,8 +34,9 @@ def known_labels(df: DataFrame) -> list[str]:
 def class_weights(df: DataFrame, labels: list[str]) -> DataFrame:
     """Add ``class_weight`` = rows / (classes * rows of the label)."""
     sizes = df.groupBy(F.col("label").alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    weighted = sizes.crossJoin(total).select("__l", (F.col("__total") / (F.lit(len(labels)) * F.col("__n"))).alias("class_weight"))
+    total = F.sum("__n").over(W.partitionBy())
+    weighted = sizes.select("__l", (total / (F.lit(len(labels)) * F.col("__n"))).alias("class_weight"))
+    # One row per class of the model.
     return df.join(F.broadcast(weighted), F.col("label") == F.col("__l")).drop("__l")
 
 

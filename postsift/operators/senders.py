@@ -89,9 +89,9 @@ def mine_senders(df: DataFrame, min_count: int = 3) -> dict[str, DataFrame]:
     marked = T.first_contained(F.lower("domain"), K.AUTOMATED_DOMAIN_MARKERS).isNotNull()
     domain_candidates = (domains.filter((F.col("count") >= min_count) & marked).select("domain", "count")
                          .orderBy(F.desc("count"), "domain"))
-    found = sender_counts(df)
-    totals = (df.agg(F.count(F.lit(1)).alias("records"))
-              .crossJoin(found.agg(F.count(F.lit(1)).alias("unique_senders"),
-                                   F.countDistinct("domain").alias("unique_domains"))))
+    email = F.nullif(T.extract_email(F.col("from")), F.lit(""))
+    totals = df.select(email.alias("e"), F.substring_index(email, "@", -1).alias("d")).agg(
+        F.count(F.lit(1)).alias("records"), F.countDistinct("e").alias("unique_senders"),
+        F.countDistinct("d").alias("unique_domains"))
     return {"candidates": candidates, "domain_candidates": domain_candidates,
             "top_domains": top_domains(df), "totals": totals}

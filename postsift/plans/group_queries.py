@@ -143,7 +143,7 @@ def group_members(spark, sf):
     "SELECT (SELECT count(*) FROM comp) AS input_records, (SELECT count(*) FROM groups) AS representatives, "
     "(SELECT count(*) FROM assign) AS assignments, (SELECT max(group_size) FROM groups) AS largest_group")))
 def grouping_summary(spark, sf):
-    return G.grouping_summary(*grouped(spark, sf)).withColumn("largest_group", F.col("largest_group").cast("long"))
+    return G.grouping_summary(grouped(spark, sf)[1]).withColumn("largest_group", F.col("largest_group").cast("long"))
 
 
 # Representatives with an answer: one account stays unlabelled, and low confidence blanks the label.

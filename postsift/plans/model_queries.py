@@ -42,12 +42,14 @@ def _by_term(weights: DataFrame) -> DataFrame:
 
 @register("word_tfidf", with_ctes(O.EMAILS_CTE, *_WORDS, *_WEIGHTS, select=_BY_TERM))
 def word_tfidf(spark, sf):
-    return _by_term(FE.word_tfidf(T.join_email_fields(X.emails(spark, sf)), "joined_text"))
+    mail = X.emails(spark, sf)
+    return _by_term(FE.word_tfidf(T.join_email_fields(mail), "joined_text", n_docs=mail.count()))
 
 
 @register("char_tfidf", with_ctes(O.EMAILS_CTE, *_CHARS, *_WEIGHTS, select=_BY_TERM))
 def char_tfidf(spark, sf):
-    return _by_term(FE.char_tfidf(T.join_email_fields(X.emails(spark, sf)), "joined_text"))
+    mail = X.emails(spark, sf)
+    return _by_term(FE.char_tfidf(T.join_email_fields(mail), "joined_text", n_docs=mail.count()))
 
 
 @register("l2_normalize", """

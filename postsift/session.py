@@ -48,8 +48,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/postsift/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def write_stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder; returns the table read back and its path.
 
     A written table outlives lost executors, keeps column pruning, and gives the optimizer real
     file sizes, which an RDD checkpoint does not.
@@ -57,4 +57,14 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    return write_stage(df, name)[0]
+
+
+def remove_stage(spark: SparkSession, path: str) -> None:
+    """Delete a stage that a later written stage has replaced."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -133,3 +133,11 @@ def test_streams_do_not_repeat_rows(spark, tmp_path):
     assert run() == 2
     mail.coalesce(1).write.mode("append").parquet(source)
     assert run() == 2
+
+
+def test_balanced_class_weights(spark):
+    from postsift.operators.models import class_weights
+
+    df = spark.createDataFrame([("a",)] * 6 + [("b",)] * 2, "label string")
+    got = {r["label"]: r["class_weight"] for r in class_weights(df, ["a", "b"]).distinct().collect()}
+    assert got == {"a": pytest.approx(8 / 12), "b": pytest.approx(2.0)}
