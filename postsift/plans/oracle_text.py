@@ -5,9 +5,6 @@ from __future__ import annotations
 from postsift import constants as K
 from postsift.plans import fixtures as X
 
-BIG = 1 << 40
-
-
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -87,20 +84,17 @@ def normalize_label(x: str) -> str:
     return sub(sub(x, "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
-# Unicode word boundaries: RE2's are ASCII, so letters outside ASCII are shielded while masking.
 def similarity_ctes(prefix: str, stripped: str, body: str, domain: str) -> str:
     """CTEs ending in ``{prefix}`` with ``norm``, the similarity text, and ``dom``."""
     x = (f"lower(concat('subject: ', subject, ' from: ', dom, ' snippet: ', snippet, "
          f"CASE WHEN {body} <> '' THEN concat(' ', {body}) ELSE '' END))")
-    masked = "shielded"
+    masked = "lowered"
     for pattern, repl in K.SIMILARITY_MASKS:
         masked = sub(masked, "(?i)" + pattern, repl)
-    shield = f"regexp_replace({x}, '([^\\x00-\\x7f])', '_\\1_', 'g')"
-    tokens = f"regexp_extract_all(replace(masked, chr(1), ''), {q(K.SIMILARITY_TOKEN)})"
+    tokens = f"regexp_extract_all(masked, {q(K.SIMILARITY_TOKEN)})"
     collapsed = ", ".join(q(t) for t in K.COLLAPSED_TOKENS)
-    del shield
     return (f"{prefix}1 AS (SELECT *, {domain} AS dom FROM {stripped}),\n"
-            f"{prefix}2 AS (SELECT *, {x} AS shielded FROM {prefix}1),\n"
+            f"{prefix}2 AS (SELECT *, {x} AS lowered FROM {prefix}1),\n"
             f"{prefix}3 AS (SELECT *, {masked} AS masked FROM {prefix}2),\n"
             f"{prefix}4 AS (SELECT *, {tokens} AS toks FROM {prefix}3),\n"
             f"{prefix} AS (SELECT *, array_to_string(list_filter(toks, lambda s, i: i = 1 OR NOT (s IN ({collapsed}) "
