@@ -10,7 +10,11 @@ key stays null. Only the key and the text are read, so other columns may have an
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ from postsift.llm.batches import bounded_batches
 
 MAX_LEN = 2048
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 
 
 def piece_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:
@@ -35,39 +39,66 @@ def piece_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:
 class WordTokenizer:
     """Token ids of whole texts through the ids of their words.
 
-    For tokenizers that drop white space and never join across it, a text's ids are those of its words in order, so
-    each different word is encoded once. The cache only saves time; it is emptied when it holds ``limit`` words.
+    For tokenizers that lower case, drop white space and cut signs from letters, a text's ids are those of its words
+    in order, so each different word is encoded once. The cache only saves time; it is emptied when it holds
+    ``limit`` words.
     """
 
+    #: Texts in which a sign could join a letter or spell a special token are only cut at white space.
+    DELICATE = r"<\||\pM|\x{130}"
+    #: Words that normalizing and cutting leave as they are; the model can be asked at once.
+    SIMPLE = re.compile("[a-zß-öø-ÿ]+").fullmatch
+
     def __init__(self, path: str, limit: int = CACHED_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.model, self.limit = Tokenizer.from_file(path), limit
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
+        self.spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
+    def _ids(self, words: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.known = {}
-        new = [w for w in words if w not in self.known]
-        for word, coded in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(coded.ids, dtype=np.uint32)
+        merge, rest = self.model.model.tokenize, []
+        for word in words:
+            if word not in self.known:
+                if self.SIMPLE(word):
+                    letters = word if word.isascii() else self.spelled.pre_tokenize_str(word)[0][0]
+                    self.known[word] = array("I", [t.id for t in merge(letters)]).tobytes()
+                else:
+                    rest.append(word)
+        for word, coded in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[word] = array("I", coded.ids).tobytes()
         return [self.known[w] for w in words]
 
+    def _simpler(self, texts: pa.Array) -> pa.Array:
+        """The texts with fewer different words and the same ids: capitals lowered, an end sign apart from its word."""
+        delicate = pc.match_substring_regex(texts, self.DELICATE)
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,!?;:])(\s|$)", r"\1 \2\3")
+        return pc.if_else(delicate, texts, plain)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text begins in them (one entry more than texts)."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        lists = pc.ascii_split_whitespace(self._simpler(pc.fill_null(texts, "")))
         bounds = lists.offsets.to_numpy()
         coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         ids = self._ids(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        firsts = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         which = coded.indices.to_numpy()
-        ends = np.concatenate([[0], np.cumsum(sizes[which])]) if len(which) else np.zeros(1, np.int64)
-        at = np.repeat(firsts[which] - ends[:-1], sizes[which]) + np.arange(ends[-1])
+        taken = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], taken) + np.arange(ends[-1])
         return flat[at], ends[bounds - bounds[0]]
 
 
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One per Python worker, so that later tasks find the words of earlier ones."""
+    return WordTokenizer(path)
+
+
 def _pieces(batch: pa.RecordBatch, coder: WordTokenizer, max_len: int, end_id: int) -> pa.RecordBatch:
     ids, begins = coder.encode(batch.column(1))
     data, end = memoryview(ids.astype("<u4").tobytes()), np.array([end_id], "<u4").tobytes()
@@ -102,7 +133,7 @@ def pack(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str =
                            T.StructField("ids", T.BinaryType())])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokenizer(tokenizer_file)
+        coder = worker_tokenizer(tokenizer_file)
         for batch in bounded_batches(batches):
             yield _pieces(batch, coder, max_len, end_id)
 
