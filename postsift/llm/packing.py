@@ -27,7 +27,7 @@ from postsift.llm.batches import bounded_batches
 
 MAX_LEN = 2048
 END_ID = 1
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 
 def piece_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:

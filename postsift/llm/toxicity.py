@@ -25,12 +25,16 @@ from postsift.llm.ngrams import char_ngrams, summed, words_of
 LOW, HIGH = 3, 5
 BUCKETS = 1 << 17
 DIM = 8
-EPOCHS = 120
+EPOCHS = 20
 LEAST_DOCS = 10
-RATE = 0.2
-SCALE = 30.0
+RATE = 0.02
+#: Log odds below this start at 0.
+TELLING = 1.5
+SCALE = 100.0
 SMOOTH = 0.1
-DECAY = 1e-4
+#: The first bias: a text of words that say nothing is clean.
+PRIOR = -4.0
+DECAY = 0.001
 #: The fit's bounds: labelled rows of each class, and characters of a row that may be chosen.
 PER_CLASS = 2000
 FIT_CHARS = 20_000
@@ -76,25 +80,31 @@ class _Sparse:
         return out
 
 
-def _frequent(doc, word, owner, bucket, buckets, docs, least) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The buckets that occur in ``least`` documents, and the incidence of words with those only."""
+def _frequent(doc, word, owner, bucket, buckets, y, least) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets that occur in ``least`` documents, their log odds, and the incidence of words with those only."""
     order = np.argsort(owner, kind="stable")
     sizes = np.bincount(owner, minlength=word.max() + 1 if len(word) else 0)
     firsts = np.cumsum(sizes) - sizes
-    frequency = np.zeros(buckets, np.int64)
-    cuts = np.searchsorted(doc, np.arange(docs + 1))
-    for lo, hi in zip(cuts, cuts[1:]):
+    frequency = np.zeros((2, buckets))
+    cuts = np.searchsorted(doc, np.arange(len(y) + 1))
+    for toxic, lo, hi in zip(y.astype(int), cuts, cuts[1:]):
         n = sizes[word[lo:hi]]
         at = np.repeat(firsts[word[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        frequency[np.unique(bucket[order[at]])] += 1
-    keep = frequency[bucket] >= least
+        frequency[toxic, np.unique(bucket[order[at]])] += 1
+    keep = frequency.sum(axis=0)[bucket] >= least
     used, place = np.unique(bucket[keep], return_inverse=True)
-    return used, owner[keep], place
+    clean, toxic = (frequency[c, used] / (y == c).sum() for c in (0, 1))
+    ratio = np.log((toxic + least / len(y)) / (clean + least / len(y)))
+    return used, np.where(np.abs(ratio) > TELLING, ratio, 0), owner[keep], place
 
 
 def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY,
           dim: int = DIM, buckets: int = BUCKETS, least_docs: int = LEAST_DOCS) -> Model:
-    """Full-batch Adam on the cross entropy with the classes weighted alike."""
+    """Full-batch Adam on the cross entropy with the classes weighted alike.
+
+    Vectors start along one axis at the log odds of their n-gram, so that n-grams of either class alone need not be
+    told from common words by many steps.
+    """
     y = np.array(toxic, np.float32)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(buckets), -50.0)
@@ -105,13 +115,15 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, rate:
     doc, word = pair // len(words.names), pair % len(words.names)
     bags = np.bincount(owner, minlength=len(words.names))
     size = np.maximum(np.bincount(doc, bags[word] * count, len(y)), 1)
-    used, owner, bucket = _frequent(doc, word, owner, bucket, buckets, len(y), least_docs)
+    used, ratio, owner, bucket = _frequent(doc, word, owner, bucket, buckets, y, least_docs)
     in_doc = _Sparse(doc, word, len(y), len(words.names), (count / size[doc]).astype(np.float32))
     in_word = _Sparse(owner, bucket, len(words.names), len(used))
 
     random = np.random.default_rng(11)
-    params = [np.zeros((len(used), dim), np.float32), random.normal(0, 0.3, (dim, 2)).astype(np.float32),
-              np.zeros((1, 2), np.float32)]
+    axis = random.normal(0, 1, dim)
+    axis = (axis / np.linalg.norm(axis)).astype(np.float32)
+    params = [np.outer(ratio, axis).astype(np.float32), np.stack([-axis / 2, axis / 2], axis=1),
+              np.array([[0, PRIOR]], np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())).astype(np.float32)[:, None]
     target = np.stack([1 - y, y], axis=1)
@@ -124,13 +136,11 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, rate:
         g = (p - target) * share
         back = SCALE * in_word.dot(in_doc.dot(g @ weights.T, 1), 1)
         for k, grad in enumerate((back, mean.T @ g, g.sum(axis=0, keepdims=True))):
-            if k < 2:
-                grad = grad + decay * params[k] / len(params[k])
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.999 * second[k] + 0.001 * grad * grad
             spread = np.sqrt(second[k] / (1 - 0.999**step))
             # Beside the largest gradient those of rare n-grams are small: they stay near 0 and learn no text by heart.
-            params[k] = params[k] - rate * (first[k] / (1 - 0.9**step)) / (spread + SMOOTH * spread.max() + 1e-30)
+            params[k] = params[k] * (1 - decay * (k == 0)) - rate * (first[k] / (1 - 0.9**step)) / (spread + SMOOTH * spread.max() + 1e-30)
     vectors, weights, bias = params
     out = np.zeros(buckets)
     out[used] = SCALE * vectors @ (weights[:, 1] - weights[:, 0])
