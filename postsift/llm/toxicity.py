@@ -25,9 +25,9 @@ from postsift.llm.ngrams import char_ngrams, summed, words_of
 LOW, HIGH = 3, 5
 BUCKETS = 1 << 17
 DIM = 8
-EPOCHS = 20
+EPOCHS = 30
 LEAST_DOCS = 10
-RATE = 0.02
+RATE = 0.05
 #: Log odds below this start at 0.
 TELLING = 1.5
 SCALE = 100.0
@@ -36,7 +36,7 @@ SMOOTH = 0.1
 PRIOR = -4.0
 DECAY = 0.001
 #: The fit's bounds: labelled rows of each class, and characters of a row that may be chosen.
-PER_CLASS = 2000
+PER_CLASS = 1000
 FIT_CHARS = 20_000
 THRESHOLD = 0.7
 
@@ -66,8 +66,8 @@ class _Sparse:
         self.shape = (rows, cols)
         self.sides = []
         for a, b, n in ((row, col, rows), (col, row, cols)):
-            order = np.argsort(a, kind="stable")
-            a_, b_ = a[order], b[order]
+            order = np.argsort(a, kind="stable").astype(np.int32)
+            a_, b_ = a[order].astype(np.int32), b[order].astype(np.int32)
             starts = np.flatnonzero(np.append(True, a_[1:] != a_[:-1])) if len(a_) else np.zeros(0, np.int64)
             self.sides.append((a_[starts], starts, b_, None if weight is None else weight[order][:, None], n))
 
@@ -80,9 +80,19 @@ class _Sparse:
         return out
 
 
+def _incidence(names: np.ndarray, buckets: int, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """char_ngrams of many words in small integers, some words at a time."""
+    owners, found = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for at in range(0, len(names), step):
+        owner, bucket = char_ngrams(names[at: at + step], LOW, HIGH, buckets)
+        owners.append((owner + at).astype(np.int32))
+        found.append(bucket.astype(np.int32))
+    return np.concatenate(owners), np.concatenate(found)
+
+
 def _frequent(doc, word, owner, bucket, buckets, y, least) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The buckets that occur in ``least`` documents, their log odds, and the incidence of words with those only."""
-    order = np.argsort(owner, kind="stable")
+    order = np.argsort(owner, kind="stable").astype(np.int32)
     sizes = np.bincount(owner, minlength=word.max() + 1 if len(word) else 0)
     firsts = np.cumsum(sizes) - sizes
     frequency = np.zeros((2, buckets))
@@ -95,7 +105,7 @@ def _frequent(doc, word, owner, bucket, buckets, y, least) -> tuple[np.ndarray,
     used, place = np.unique(bucket[keep], return_inverse=True)
     clean, toxic = (frequency[c, used] / (y == c).sum() for c in (0, 1))
     ratio = np.log((toxic + least / len(y)) / (clean + least / len(y)))
-    return used, np.where(np.abs(ratio) > TELLING, ratio, 0), owner[keep], place
+    return used, np.where(np.abs(ratio) > TELLING, ratio, 0), owner[keep], place.astype(np.int32)
 
 
 def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY,
@@ -109,7 +119,7 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, rate:
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(buckets), -50.0)
     words = words_of(pa.array(texts, pa.string()))
-    owner, bucket = char_ngrams(words.names, LOW, HIGH, buckets)
+    owner, bucket = _incidence(words.names, buckets)
     doc = np.repeat(np.arange(len(y)), np.diff(words.begins))
     pair, count = np.unique(doc * len(words.names) + words.which, return_counts=True)
     doc, word = pair // len(words.names), pair % len(words.names)
