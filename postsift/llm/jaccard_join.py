@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postsift.llm.batches import bounded_batches
+from postsift.llm.batches import bounded_batches, groups
 from postsift.llm.shingles import shingle_set, word_codes
 from postsift.operators.components import connected_components
 from postsift.session import write_stage
@@ -139,26 +139,6 @@ def _band_hashes(sign: np.ndarray, mix: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The runs of rows with equal ``keys`` in a sorted stream."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        cols = [table.column(k).to_numpy() for k in keys]
-        changes = np.zeros(table.num_rows - 1, bool)
-        for c in cols:
-            changes |= c[1:] != c[:-1]
-        cuts = [0, *(np.flatnonzero(changes) + 1).tolist()]
-        for lo, hi in zip(cuts, cuts[1:]):
-            yield table.slice(lo, hi - lo)
-        rest = table.slice(cuts[-1])
-    if rest is not None:
-        yield rest
-
-
 def _verified(group: pa.Table, size: int, threshold: float, needs: list[int], factors: np.ndarray) -> tuple:
     """(nodes, links, labels) of the members of one block pair that have a link in it."""
     codes, begins = word_codes(group.column("text").combine_chunks())
@@ -190,7 +170,7 @@ def verified_links(grouped: DataFrame, size: int, threshold: float, tolerance: f
     needs = [least_matches(k, threshold, tolerance) for k in range(STEP, bands * rows + 1, STEP)]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["group", "lo", "hi"]):
+        for group in groups(batches, ["group", "lo", "hi"]):
             if group.num_rows < 2:
                 continue
             node, links, label = _verified(group, size, threshold, needs, factors)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.llm import decontam, jaccard_join, langid, oracle_sql, packing, quality, secrets, toxicity, url_filter, warc
+from postsift.llm import decontam, jaccard_join, langid, oracle_sql, packing, quality, secrets, suffix_dedup, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +93,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = toxicity.remainder("doc_id", 5) == 0
     rows = langid.predicted(docs, langid.fit(docs, ~held_out))
     return rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@register("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
