@@ -45,3 +45,30 @@ SELECT version, rule, count(*) AS documents, count(*) FILTER (WHERE (fail_bits &
        count(*) FILTER (WHERE (fail_bits & (mask - bit)) = 0) AS kept_without
 FROM ledger CROSS JOIN cells GROUP BY version, rule
 """
+
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {at}, 5) AS INTEGER) >> {shift}) & 31), 1)"
+_BASE32 = " || ".join(_DIGIT.format(at=5 * j + 1, shift=15 - 5 * k) for j in range(8) for k in range(4))
+
+WARC = f"""
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT h, min(page_id) AS first_id FROM hashed GROUP BY h)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM hashed JOIN firsts USING (h)
+"""
+
+JACCARD = rf"""
+WITH RECURSIVE lists AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE
+    list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM lists WHERE len(w) > 0),
+rows_ AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS nu, any_value(b.n) AS nv, count(*) AS k
+    FROM rows_ a JOIN rows_ b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT u, v FROM common WHERE 5 * k >= 4 * (nu + nv - k)),
+reach(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.v, r.root FROM reach r JOIN links l ON r.node = l.u),
+classes AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node),
+counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT doc_id, class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links
+FROM documents JOIN classes ON doc_id = node LEFT JOIN counts ON doc_id = u
+"""

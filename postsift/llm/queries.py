@@ -62,13 +62,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-@register("op10_warc")
+@register("op10_warc", oracle_sql.WARC)
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive(table(spark, sf_dir, "pages"), with_payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@register("op6_ngram_jaccard")
+@register("op6_ngram_jaccard", oracle_sql.JACCARD)
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_copies(table(spark, sf_dir, "documents")).drop("text_hash")
 
