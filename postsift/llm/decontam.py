@@ -174,7 +174,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str, text: str = "te
 
 def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(key, leaked, item_ids, coverage, tiles): one row per row of ``docs``; coverage is that of the most covered item."""
-    rows = with_leaks(docs.select(key, F.col(text).alias("__body")), benchmark, "__leaks", "__body", **options)
+    rows = with_leaks(docs.select(F.col(key), F.col(text).alias("__body")), benchmark, "__leaks", "__body", **options)
     best = F.array_max(F.transform("__leaks", lambda x: F.struct(x["coverage"].alias("c"), x["tiles"].alias("t"))))
     return rows.select(key, (F.size("__leaks") > 0).alias("leaked"),
                        F.array_sort(F.col("__leaks.item_id")).alias("item_ids"),
@@ -183,4 +183,5 @@ def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that leak no item, with their own columns."""
-    return with_leaks(docs, benchmark, "__leaks", text, **options).filter(F.size("__leaks") == 0).drop("__leaks")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(text).alias("body"))
+    return with_leaks(rows, benchmark, "leaks", "body", **options).filter(F.size("leaks") == 0).select("doc.*")

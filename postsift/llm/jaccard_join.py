@@ -230,8 +230,10 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 def keep_one(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their class, with their own columns; a row that repeats id and text counts once."""
     losers = (classes.filter(~F.col(key).eqNullSafe(F.col("class_id")))
-              .select(F.col(key).alias("__k"), F.col("text_hash").alias("__h")).distinct())
-    body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    kept = docs.withColumn("__hash", body)
-    kept = kept.join(losers, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__hash") == F.col("__h")), "left_anti")
-    return kept.dropDuplicates([key, "__hash"]).drop("__hash")
+              .select(F.col(key).alias("k"), F.col("text_hash").alias("h")).distinct())
+    # A document travels as one column, so that its names cannot meet those used here.
+    doc = F.col("doc")
+    rows = docs.select(F.struct("*").alias("doc"))
+    rows = rows.select("doc", doc[key].alias("id"), F.xxhash64(F.coalesce(doc[text], F.lit(""))).alias("hash"))
+    rows = rows.join(losers, F.col("id").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left_anti")
+    return rows.dropDuplicates(["id", "hash"]).select("doc.*")

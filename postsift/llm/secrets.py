@@ -166,17 +166,19 @@ def digests(scans: DataFrame, key: str = "doc_id") -> DataFrame:
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span, or run of overlapping ones, replaced by ``mark``; other rows stay as they are."""
     spans = (scan(docs, key, text, scope).filter(F.size("all") > 0)
-             .select(F.col(key).alias("__k"), F.col("text_hash").alias("__h"), F.col("all").alias("__all"))
-             .dropDuplicates(["__k", "__h"]))
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("__hash", F.xxhash64(body)).join(
-        spans, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__hash") == F.col("__h")), "left")
+             .select(F.col(key).alias("k"), F.col("text_hash").alias("h"), F.col("all").alias("spans"))
+             .dropDuplicates(["k", "h"]))
+    # A document travels as one column, so that its names cannot meet those used here.
+    rows = docs.select(F.struct("*").alias("doc"))
+    doc, all_ = F.col("doc"), F.col("spans")
+    body = F.coalesce(doc[text], F.lit(""))
+    rows = rows.withColumn("hash", F.xxhash64(body)).join(spans, doc[key].eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left")
     part = lambda lo, hi: F.substring(body, (lo + 1).cast("int"), (hi - lo).cast("int"))
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["stop"]).alias("at"),
         F.when(s["start"] >= acc["at"], F.concat(acc["out"], part(acc["at"], s["start"]), F.lit(mark)))
         .otherwise(acc["out"]).alias("out"))
-    clean = F.aggregate(F.col("__all"), F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step,
+    clean = F.aggregate(all_, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step,
                         lambda acc: F.concat(acc["out"], part(acc["at"], F.length(body).cast("long"))))
-    new = F.when(F.col("__all").isNotNull(), clean).otherwise(F.col(text))
-    return rows.select(*[new.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    new = F.when(all_.isNotNull(), clean).otherwise(doc[text])
+    return rows.select(*[(new if c == text else doc[c]).alias(c) for c in docs.columns])

@@ -101,8 +101,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length as bytes: all first bytes, all second bytes and so on, compressed."""
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    """Columns of one length as bytes: steps from row to row, all first bytes, all second bytes and so on, compressed."""
+    planes = [np.diff(c, prepend=c.dtype.type(0)).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
@@ -112,7 +112,7 @@ def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
     for kind in kinds:
         size = np.dtype(kind).itemsize
         planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        out.append(np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind))
         at += n * size
     return out
 
@@ -141,20 +141,26 @@ def _settled(columns: tuple[np.ndarray, ...], count: int) -> list[tuple[int, boo
             for at in range(0, len(columns[0]), step)]
 
 
-def _first_ranks(core: np.ndarray, doc: np.ndarray, place: np.ndarray, count: int) -> pa.RecordBatch:
-    """One task's anchors for the cells: of a core that it saw in several documents one stands for all."""
+def _in_several(core: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every row, whether its core occurs in several documents, and whether it is the first one of its core."""
     order = np.lexsort((doc, core))
-    core, doc, place = core[order], doc[order], place[order]
+    core, doc = core[order], doc[order]
     starts = np.flatnonzero(np.append(True, core[1:] != core[:-1]))
     sizes = np.diff(np.append(starts, len(core)))
-    several = np.repeat(doc[starts] != doc[starts + sizes - 1], sizes)
-    head = np.zeros(len(core), bool)
-    head[starts] = True
-    asked = head | ~several
+    several, first = np.empty(len(core), bool), np.zeros(len(core), bool)
+    several[order] = np.repeat(doc[starts] != doc[starts + sizes - 1], sizes)
+    first[order[starts]] = True
+    return several, first
+
+
+def _first_ranks(core: np.ndarray, doc: np.ndarray, tag: np.ndarray, place: np.ndarray, count: int) -> pa.RecordBatch:
+    """One task's anchors for the cells: of a core that it saw in several documents one stands for all."""
+    several, first = _in_several(core, doc)
+    place, asked = place.astype(np.uint32), first | ~several
     cells = ((core[asked] >> np.uint64(32)) % np.uint64(count)).astype(np.int64)
     rows = [(cell, False, _pack(*columns)) for cell, columns in _split(
-        cells, core[asked].astype(np.uint32), doc[asked], place[asked].astype(np.uint32))]
-    return _cell_rows(rows + _settled((doc[several], place[several].astype(np.uint32)), count))
+        cells, core[asked].astype(np.uint32), doc[asked], tag[asked], place[asked])]
+    return _cell_rows(rows + _settled((doc[several], tag[several], place[several]), count))
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -163,22 +169,19 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _repeated_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduces cells to (doc, place) of the anchors whose core occurs in two documents."""
+    """Reduces cells to (doc, tag, place) of the anchors whose core occurs in two documents."""
     for cell in groups(batches, ["cell"]):
         direct, bodies = cell.column("direct").to_pylist(), cell.column("body").to_pylist()
-        done = [_unpack(b, np.int64, np.uint32) for d, b in zip(direct, bodies) if d]
-        asked = [_unpack(b, np.uint32, np.int64, np.uint32) for d, b in zip(direct, bodies) if not d]
+        done = [_unpack(b, np.int64, np.uint32, np.uint32) for d, b in zip(direct, bodies) if d]
+        asked = [_unpack(b, np.uint32, np.int64, np.uint32, np.uint32) for d, b in zip(direct, bodies) if not d]
         if asked:
-            core, doc, place = (np.concatenate(c) for c in zip(*asked))
-            order = np.lexsort((doc, core))
-            core, doc, place = core[order], doc[order], place[order]
-            starts = np.flatnonzero(np.append(True, core[1:] != core[:-1]))
-            sizes = np.diff(np.append(starts, len(core)))
-            several = np.repeat(doc[starts] != doc[starts + sizes - 1], sizes)
-            done.append([doc[several], place[several]])
+            core, *rest = (np.concatenate(c) for c in zip(*asked))
+            several, _ = _in_several(core, rest[0])
+            done.append([c[several] for c in rest])
         if done:
-            doc, place = (np.concatenate(c) for c in zip(*done))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place.astype(np.int32))], ["doc", "place"])
+            doc, tag, place = (np.concatenate(c) for c in zip(*done))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc), pa.array(tag.astype(np.int64)), pa.array(place.astype(np.int32))], ["doc", "dtag", "place"])
 
 
 class _Contexts:
@@ -187,8 +190,8 @@ class _Contexts:
     def __init__(self, count: int):
         self.count, self.seen, self.size = count, {}, 0
 
-    def add(self, context: bytes, lead: int, doc: int, start: int) -> None:
-        self.seen.setdefault((context, lead), []).append((doc, start))
+    def add(self, context: bytes, lead: int, doc: int, tag: int, start: int) -> None:
+        self.seen.setdefault((context, lead), []).append((doc, tag, start))
         self.size += 1
 
     def flush(self) -> pa.RecordBatch:
@@ -196,30 +199,31 @@ class _Contexts:
         for (context, lead), places in self.seen.items():
             least = min(places)[0]
             cell = zlib.crc32(context[lead: lead + CORE]) % self.count
-            for doc, start in places:
+            for doc, tag, start in places:
                 if doc > least:
-                    settled.append((doc, start, start + len(context)))
+                    settled.append((doc, tag, start, start + len(context)))
                 else:
-                    asked.setdefault(cell, []).append((doc, start, lead, len(context), context))
+                    asked.setdefault(cell, []).append((doc, tag, start, lead, len(context), context))
         rows = []
         for cell, items in asked.items():
-            doc, start, lead, size, contexts = zip(*items)
-            head = _pack(np.array(doc, np.int64), np.array(start, np.uint32), np.array(lead, np.uint8), np.array(size, np.uint8))
+            doc, tag, start, lead, size, contexts = zip(*sorted(items))
+            head = _pack(np.array(doc, np.int64), np.array(tag, np.uint32), np.array(start, np.uint32), np.array(lead, np.uint8),
+                         np.array(size, np.uint8))
             body = zstandard.ZstdCompressor(level=1).compress(b"".join(contexts))
             rows.append((cell, False, len(head).to_bytes(4, "little") + head + body))
         if settled:
-            doc, start, stop = np.array(settled, np.int64).T
-            rows += _settled((doc, start.astype(np.uint32), stop.astype(np.uint32)), self.count)
+            doc, *rest = np.array(sorted(settled), np.int64).T
+            rows += _settled((doc, *[c.astype(np.uint32) for c in rest]), self.count)
         self.seen, self.size = {}, 0
         return _cell_rows(rows)
 
 
-def _spans_of(items: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
-    """(doc, start, stop) repeated in an earlier document, from (doc, start, lead, context) that share a core."""
+def _spans_of(items: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
+    """(doc, tag, start, stop) repeated in an earlier document, from (doc, tag, start, lead, context) that share a core."""
     if min(items)[0] == max(items)[0]:
         return []
     first: dict[tuple[int, bytes], int] = {}
-    for doc, _, lead, context in items:
+    for doc, _, _, lead, context in items:
         whole = (lead, context)
         first[whole] = min(doc, first.get(whole, doc))
     strings: dict[bytes, int] = {}
@@ -229,9 +233,9 @@ def _spans_of(items: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int,
             if strings.get(string, doc) >= doc:
                 strings[string] = doc
     out = []
-    for doc, start, lead, context in items:
+    for doc, tag, start, lead, context in items:
         if first[lead, context] < doc:
-            out.append((doc, start, start + len(context)))
+            out.append((doc, tag, start, start + len(context)))
             continue
         begun = None
         for k in range(len(context) - LENGTH + 1):
@@ -239,48 +243,57 @@ def _spans_of(items: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int,
                 begun = k if begun is None else begun
                 stop = k + LENGTH
             elif begun is not None:
-                out.append((doc, start + begun, start + stop))
+                out.append((doc, tag, start + begun, start + stop))
                 begun = None
         if begun is not None:
-            out.append((doc, start + begun, start + stop))
+            out.append((doc, tag, start + begun, start + stop))
     return out
 
 
 def _repeated_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduces cells to the (doc, start, stop) that are repeated; the same bytes may come more than once."""
+    """Reduces cells to the (doc, tag, start, stop) that are repeated; the same bytes may come more than once."""
     for cell in groups(batches, ["cell"]):
         spans, by_core = [], {}
         for direct, body in zip(cell.column("direct").to_pylist(), cell.column("body").to_pylist()):
             if direct:
-                doc, start, stop = _unpack(body, np.int64, np.uint32, np.uint32)
-                spans += zip(doc.tolist(), start.tolist(), stop.tolist())
+                columns = _unpack(body, np.int64, np.uint32, np.uint32, np.uint32)
+                spans += zip(*[c.tolist() for c in columns])
                 continue
             n = int.from_bytes(body[:4], "little")
-            doc, start, lead, size = (c.tolist() for c in _unpack(body[4: 4 + n], np.int64, np.uint32, np.uint8, np.uint8))
+            doc, tag, start, lead, size = (
+                c.tolist() for c in _unpack(body[4: 4 + n], np.int64, np.uint32, np.uint32, np.uint8, np.uint8))
             raw, at = zstandard.ZstdDecompressor().decompress(body[4 + n:]), 0
-            for d, s, x, z in zip(doc, start, lead, size):
+            for d, t, s, x, z in zip(doc, tag, start, lead, size):
                 context = raw[at: at + z]
-                by_core.setdefault(context[x: x + CORE], []).append((d, s, x, context))
+                by_core.setdefault(context[x: x + CORE], []).append((d, t, s, x, context))
                 at += z
         for items in by_core.values():
             spans += _spans_of(items)
         if spans:
-            doc, start, stop = np.array(spans, np.int64).T
+            doc, tag, start, stop = np.array(spans, np.int64).T
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["doc", "start", "stop"])
+                [pa.array(doc), pa.array(tag), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))],
+                ["doc", "dtag", "start", "stop"])
 
 
 def packed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, z): the texts' bytes compressed, which is what travels when documents meet their spans."""
+    """(key, tag, z): the texts' bytes compressed, which is what travels when documents meet their spans.
+
+    The tag, a checksum of the text, tells rows that share an id apart.
+    """
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            bodies = [press.compress(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["key", "z"])
+            bodies = [press.compress(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], ["key", "tag", "z"])
+
+    return _bodies(docs, key, text).mapInArrow(squeeze, "key long, tag long, z binary")
 
+
+def _bodies(docs: DataFrame, key: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return docs.select(F.col(key).cast("long").alias("key"), body.alias("body")).mapInArrow(squeeze, "key long, z binary")
+    return docs.select(F.col(key).cast("long").alias("key"), F.crc32(body).alias("tag"), body.alias("body"))
 
 
 def first_ranks(docs: DataFrame, key: str, text: str, count: int) -> DataFrame:
@@ -289,13 +302,13 @@ def first_ranks(docs: DataFrame, key: str, text: str, count: int) -> DataFrame:
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            data, bounds = _buffers(batch.column(1))
-            ids = batch.column(0).to_numpy()
+            data, bounds = _buffers(batch.column(2))
+            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32)
             core, place, _, _ = anchors(data, bounds)
             doc = np.searchsorted(bounds, place, "right") - 1
             for at in range(0, len(core), FLUSH_ANCHORS):
                 cut = slice(at, at + FLUSH_ANCHORS)
-                held.append((core[cut], ids[doc[cut]], place[cut] - bounds[doc[cut]]))
+                held.append((core[cut], ids[doc[cut]], tags[doc[cut]], place[cut] - bounds[doc[cut]]))
                 size += len(core[cut])
                 if size >= FLUSH_ANCHORS:
                     yield _first_ranks(*(np.concatenate(c) for c in zip(*held)), count)
@@ -303,18 +316,18 @@ def first_ranks(docs: DataFrame, key: str, text: str, count: int) -> DataFrame:
         if size:
             yield _first_ranks(*(np.concatenate(c) for c in zip(*held)), count)
 
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(key).cast("long").alias("key"), body.alias("body"))
+    rows = _bodies(docs, key, text)
     return rows.filter((F.length("body") >= LENGTH) & F.col("key").isNotNull()).mapInArrow(rank, CELL_ROW)
 
 
 def contexts(joined: DataFrame, count: int) -> DataFrame:
-    """CELL_ROW from (key, z, places): the contexts of the anchors at ``places``."""
+    """CELL_ROW from (key, tag, z, places): the contexts of the anchors at ``places``."""
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Contexts(count)
         for batch in batches:
-            ids, packed, places = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            ids, tags, packed = (batch.column(c).to_pylist() for c in range(3))
+            places = batch.column(3)
             unpack = zstandard.ZstdDecompressor()
             texts, begun, size = [], 0, 0
             for i in range(len(ids)):
@@ -331,25 +344,25 @@ def contexts(joined: DataFrame, count: int) -> DataFrame:
                 good = wanted[place]
                 doc = np.searchsorted(bounds, first[good], "right") - 1
                 for d, p, lo, hi in zip(doc.tolist(), place[good].tolist(), first[good].tolist(), last[good].tolist()):
-                    held.add(data[lo: hi + LENGTH], p - lo, ids[begun + d], lo - int(bounds[d]))
+                    held.add(data[lo: hi + LENGTH], p - lo, ids[begun + d], tags[begun + d], lo - int(bounds[d]))
                     if held.size >= FLUSH_CONTEXTS:
                         yield held.flush()
                 texts, begun, size = [], i + 1, 0
         if held.size:
             yield held.flush()
 
-    return joined.select("key", "z", "places").mapInArrow(rank, CELL_ROW)
+    return joined.select("key", "tag", "z", "places").mapInArrow(rank, CELL_ROW)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, start, stop) in bytes of the strings that also start in an earlier document; overlaps are not merged."""
+    """(doc, dtag, start, stop) in bytes of the strings that also start in an earlier document; overlaps are not merged."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     count = max(1, -(-total // CELL_BYTES))
     by_cell = lambda rows: rows.repartition("cell").sortWithinPartitions("cell")
-    places = (by_cell(first_ranks(docs, key, text, count)).mapInArrow(_repeated_cores, "doc long, place int")
-              .groupBy("doc").agg(F.collect_set("place").alias("places")))
-    joined = packed_texts(docs, key, text).join(places, F.col("key") == F.col("doc"))
-    return by_cell(contexts(joined, count)).mapInArrow(_repeated_strings, "doc long, start int, stop int")
+    places = (by_cell(first_ranks(docs, key, text, count)).mapInArrow(_repeated_cores, "doc long, dtag long, place int")
+              .groupBy("doc", "dtag").agg(F.collect_set("place").alias("places")))
+    joined = packed_texts(docs, key, text).join(places, (F.col("key") == F.col("doc")) & (F.col("tag") == F.col("dtag")))
+    return by_cell(contexts(joined, count)).mapInArrow(_repeated_strings, "doc long, dtag long, start int, stop int")
 
 
 def _kept(data: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
@@ -369,9 +382,10 @@ def _kept(data: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept): one row per row of ``docs``; ``kept`` are the bytes that stay."""
-    spans = (repeated_spans(docs, key, text).groupBy("doc")
+    spans = (repeated_spans(docs, key, text).groupBy("doc", "dtag")
              .agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
-    rows = packed_texts(docs, key, text).join(spans, F.col("key") == F.col("doc"), "left").select("key", "z", "spans")
+    met = (F.col("key") == F.col("doc")) & (F.col("tag") == F.col("dtag"))
+    rows = packed_texts(docs, key, text).join(spans, met, "left").select("key", "z", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
