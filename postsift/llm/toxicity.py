@@ -150,7 +150,7 @@ def train(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, rate:
             second[k] = 0.999 * second[k] + 0.001 * grad * grad
             spread = np.sqrt(second[k] / (1 - 0.999**step))
             # Beside the largest gradient those of rare n-grams are small: they stay near 0 and learn no text by heart.
-            params[k] = params[k] * (1 - decay * (k == 0)) - rate * (first[k] / (1 - 0.9**step)) / (spread + SMOOTH * spread.max() + 1e-30)
+            params[k] = params[k] * (1 - decay * (k == 0)) - rate * (first[k] / (1 - 0.9**step)) / (spread + SMOOTH * spread.max(initial=0) + 1e-30)
     vectors, weights, bias = params
     out = np.zeros(buckets)
     out[used] = SCALE * vectors @ (weights[:, 1] - weights[:, 0])

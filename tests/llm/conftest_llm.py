@@ -7,3 +7,4 @@ _spec = importlib.util.spec_from_file_location("llm_conftest", Path(__file__).wi
 _module = importlib.util.module_from_spec(_spec)
 _spec.loader.exec_module(_module)
 BASE, CLASHING, EDGE, docs_frame, prose = (getattr(_module, n) for n in ("BASE", "CLASHING", "EDGE", "docs_frame", "prose"))
+DATA = "/root/testdata/sf0.001"
