@@ -32,10 +32,11 @@ from postsift.llm.batches import groups
 
 LENGTH = 50
 CORE = 25
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 FLUSH_ANCHORS = 1 << 20
 FLUSH_CONTEXTS = 150_000
 CELL_BYTES = 8 << 20
+LEVEL = 6
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 BYTES = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -153,14 +154,14 @@ def _in_several(core: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return several, first
 
 
-def _first_ranks(core: np.ndarray, doc: np.ndarray, tag: np.ndarray, place: np.ndarray, count: int) -> pa.RecordBatch:
+def _first_ranks(core: np.ndarray, doc: np.ndarray, place: np.ndarray, count: int) -> pa.RecordBatch:
     """One task's anchors for the cells: of a core that it saw in several documents one stands for all."""
     several, first = _in_several(core, doc)
     place, asked = place.astype(np.uint32), first | ~several
     cells = ((core[asked] >> np.uint64(32)) % np.uint64(count)).astype(np.int64)
     rows = [(cell, False, _pack(*columns)) for cell, columns in _split(
-        cells, core[asked].astype(np.uint32), doc[asked], tag[asked], place[asked])]
-    return _cell_rows(rows + _settled((doc[several], tag[several], place[several]), count))
+        cells, core[asked].astype(np.uint32), doc[asked], place[asked])]
+    return _cell_rows(rows + _settled((doc[several], place[several]), count))
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -169,19 +170,18 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _repeated_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduces cells to (doc, tag, place) of the anchors whose core occurs in two documents."""
+    """Reduces cells to (doc, place) of the anchors whose core occurs in two documents."""
     for cell in groups(batches, ["cell"]):
         direct, bodies = cell.column("direct").to_pylist(), cell.column("body").to_pylist()
-        done = [_unpack(b, np.int64, np.uint32, np.uint32) for d, b in zip(direct, bodies) if d]
-        asked = [_unpack(b, np.uint32, np.int64, np.uint32, np.uint32) for d, b in zip(direct, bodies) if not d]
+        done = [_unpack(b, np.int64, np.uint32) for d, b in zip(direct, bodies) if d]
+        asked = [_unpack(b, np.uint32, np.int64, np.uint32) for d, b in zip(direct, bodies) if not d]
         if asked:
             core, *rest = (np.concatenate(c) for c in zip(*asked))
             several, _ = _in_several(core, rest[0])
             done.append([c[several] for c in rest])
         if done:
-            doc, tag, place = (np.concatenate(c) for c in zip(*done))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(tag.astype(np.int64)), pa.array(place.astype(np.int32))], ["doc", "dtag", "place"])
+            doc, place = (np.concatenate(c) for c in zip(*done))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place.astype(np.int32))], ["doc", "place"])
 
 
 class _Contexts:
@@ -209,7 +209,7 @@ class _Contexts:
             doc, tag, start, lead, size, contexts = zip(*sorted(items))
             head = _pack(np.array(doc, np.int64), np.array(tag, np.uint32), np.array(start, np.uint32), np.array(lead, np.uint8),
                          np.array(size, np.uint8))
-            body = zstandard.ZstdCompressor(level=1).compress(b"".join(contexts))
+            body = zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(contexts))
             rows.append((cell, False, len(head).to_bytes(4, "little") + head + body))
         if settled:
             doc, *rest = np.array(sorted(settled), np.int64).T
@@ -283,7 +283,7 @@ def packed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             bodies = [press.compress(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], ["key", "tag", "z"])
@@ -303,12 +303,12 @@ def first_ranks(docs: DataFrame, key: str, text: str, count: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             data, bounds = _buffers(batch.column(2))
-            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32)
+            ids = batch.column(0).to_numpy()
             core, place, _, _ = anchors(data, bounds)
             doc = np.searchsorted(bounds, place, "right") - 1
             for at in range(0, len(core), FLUSH_ANCHORS):
                 cut = slice(at, at + FLUSH_ANCHORS)
-                held.append((core[cut], ids[doc[cut]], tags[doc[cut]], place[cut] - bounds[doc[cut]]))
+                held.append((core[cut], ids[doc[cut]], place[cut] - bounds[doc[cut]]))
                 size += len(core[cut])
                 if size >= FLUSH_ANCHORS:
                     yield _first_ranks(*(np.concatenate(c) for c in zip(*held)), count)
@@ -339,7 +339,8 @@ def contexts(joined: DataFrame, count: int) -> DataFrame:
                 bounds = np.cumsum([0, *map(len, texts)])
                 wanted = np.zeros(len(data) + 1, bool)
                 for k in range(len(texts)):
-                    wanted[bounds[k] + places[begun + k].values.to_numpy()] = True
+                    mine = places[begun + k].values.to_numpy()
+                    wanted[bounds[k] + mine[mine < len(texts[k])]] = True  # rows that share an id share their places
                 _, place, first, last = anchors(np.frombuffer(data, np.uint8), bounds)
                 good = wanted[place]
                 doc = np.searchsorted(bounds, first[good], "right") - 1
@@ -359,9 +360,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     count = max(1, -(-total // CELL_BYTES))
     by_cell = lambda rows: rows.repartition("cell").sortWithinPartitions("cell")
-    places = (by_cell(first_ranks(docs, key, text, count)).mapInArrow(_repeated_cores, "doc long, dtag long, place int")
-              .groupBy("doc", "dtag").agg(F.collect_set("place").alias("places")))
-    joined = packed_texts(docs, key, text).join(places, (F.col("key") == F.col("doc")) & (F.col("tag") == F.col("dtag")))
+    places = (by_cell(first_ranks(docs, key, text, count)).mapInArrow(_repeated_cores, "doc long, place int")
+              .groupBy("doc").agg(F.collect_set("place").alias("places")))
+    joined = packed_texts(docs, key, text).join(places, F.col("key") == F.col("doc"))
     return by_cell(contexts(joined, count)).mapInArrow(_repeated_strings, "doc long, dtag long, start int, stop int")
 
 
