@@ -125,7 +125,7 @@ SYSTEM_MAIL_LABELS = ["DRAFT", "SENT", "TRASH", "SPAM"]
 DRAFT_LOCAL_MARKERS = ["no-reply", "noreply", "notification", "mailer", "bot", "alerts", "digest", "newsletter"]
 DRAFT_DOMAIN_MARKERS = [
     "github", "tl.dv", "tldv", "slack", "jira", "atlassian", "linear", "notion", "calendly",
-    "google", "sendgrid", "mailgun", "amazonses", "mailchimp",
+    "google.com", "sendgrid", "mailgun", "amazonses", "mailchimp",
 ]
 
 # Labeller gate and training defaults.

@@ -168,7 +168,7 @@ def scoring_text(df: DataFrame, out: str = "scoring_text", body_chars: int | Non
     return clean_text(df, F.concat_ws(" ", *parts, last), out).drop(body)
 
 
-def labeller_text(df: DataFrame, out: str = "training_text", max_chars: int | None = 3000) -> DataFrame:
+def labeller_text(df: DataFrame, out: str = "training_text", max_chars: int | None = None) -> DataFrame:
     """Subject, sender, snippet and stripped body; the parts are not cleaned again as a whole."""
     body = _tmp()
     df = strip_reply_noise(df, "text", body, max_chars)
@@ -182,7 +182,7 @@ def sender_domain(c: Column) -> Column:
     return F.when(domain != "", domain).otherwise(F.substring(lowered, 1, 80))
 
 
-def similarity_text(df: DataFrame, out: str = "similarity_text", max_chars: int | None = 3000,
+def similarity_text(df: DataFrame, out: str = "similarity_text", max_chars: int | None = None,
                     domain: Column | None = None) -> DataFrame:
     """Subject, domain, snippet and body with volatile values masked, as a token string.
 

@@ -10,20 +10,6 @@ from postsift.functions import text as T
 from postsift.operators.rows import keep_one
 from postsift.schemas import LABEL_ANSWER, LABEL_RESPONSE
 
-PROMPT = """You label mail for one mailbox owner. Choose one label and answer with JSON only.
-urgent: a hard deadline, an outage, an escalation or another serious risk that cannot wait.
-action_needed: the owner must act, approve, reply, review, send something or decide.
-follow_up: the sender is reminding or checking in, without urgency.
-awaiting_reply: the owner has answered already and now waits for someone else.
-meeting: invitations, scheduling, agendas and call details.
-fyi: information without a clear action.
-done: something is finished, resolved or closed.
-payment: invoices, receipts, refunds, transfers, charges and billing.
-newsletter: recurring digests, article collections and product updates.
-marketing: offers, promotions, sales contacts and trials.
-misc: nothing above is clear."""
-
-
 def existing_ids(df: DataFrame) -> DataFrame:
     return df.filter(F.col("message_id") != "").select("message_id").distinct()
 
@@ -34,7 +20,7 @@ def pending_records(df: DataFrame, done: DataFrame, limit: int | None = None) ->
     return pending if limit is None else pending.orderBy("seq").limit(limit)
 
 
-def label_requests(df: DataFrame, model: str, max_body_chars: int | None = 3000) -> DataFrame:
+def label_requests(df: DataFrame, model: str, prompt: str, max_body_chars: int | None = None) -> DataFrame:
     """One JSON request per record for a batch labeller, with a strict answer schema."""
     def text_or_blank(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit("")).alias(name)
@@ -62,7 +48,7 @@ def label_requests(df: DataFrame, model: str, max_body_chars: int | None = 3000)
                     F.lit(True).alias("strict"), answer.alias("schema"))
     return df.select("message_id", mail.alias("mail_json"), F.to_json(F.struct(
         F.lit(model).alias("model"),
-        F.array(message("system", F.lit(PROMPT)), message("user", mail)).alias("input"),
+        F.array(message("system", F.lit(prompt)), message("user", mail)).alias("input"),
         F.struct(form.alias("format")).alias("text"),
         F.lit(120).alias("max_output_tokens"))).alias("request"))
 
@@ -102,7 +88,8 @@ def confidence_gate(df: DataFrame, min_confidence: float = K.MIN_CONFIDENCE) ->
             .withColumn("review_status", F.when(sure, "auto_accepted").otherwise("needs_review")))
 
 
-def merge_reviews(base: DataFrame, reviewed: DataFrame, with_display_text: bool = True) -> DataFrame:
+def merge_reviews(base: DataFrame, reviewed: DataFrame, with_display_text: bool = True,
+                  max_chars: int | None = None) -> DataFrame:
     """Base rows overridden, field by field, by the last review of the same message."""
     latest = keep_one(reviewed, ["message_id"], last=True)
     fields = [c for c in latest.columns if c not in ("seq", "message_id")]
@@ -118,7 +105,7 @@ def merge_reviews(base: DataFrame, reviewed: DataFrame, with_display_text: bool
     source = F.col("text")
     if "training_text" in merged.columns:
         source = F.when(F.col("training_text") != "", F.col("training_text")).otherwise(source)
-    return T.strip_reply_noise(merged, source, "display_text", 4000)
+    return T.strip_reply_noise(merged, source, "display_text", max_chars)
 
 
 def upsert_reviews(base: DataFrame, reviewed: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +116,7 @@ def upsert_reviews(base: DataFrame, reviewed: DataFrame, updates: DataFrame) ->
         .when(F.col("__known").isNull(), "message not found")).drop("__known")
     rejected = checked.filter(F.col("reject_reason").isNotNull())
     accepted = keep_one(checked.filter(F.col("reject_reason").isNull()), ["message_id"], last=True)
-    current = merge_reviews(keep_one(base, ["message_id"]), reviewed, with_display_text=False)
+    current = merge_reviews(keep_one(base, ["message_id"]), reviewed)
     change = accepted.select(F.col("message_id").alias("__id"), F.col("seq").alias("__seq"), F.col("label").alias("__label"),
                              F.coalesce("review_status", F.lit("reviewed")).alias("__status"))
     fresh = (current.join(change, F.col("message_id") == F.col("__id"))

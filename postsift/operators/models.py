@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postsift.functions.arrays import l2_normalize
 from postsift.operators.features import TextFeatures, fit_text_features
-from postsift.operators.scoring import topk
+from postsift.operators.scoring import softmax, topk
 
 NGRAM_BUCKETS = 1 << 18
-ROWS_PER_GRADIENT = 5_000
+#: Gradients of many partitions are summed in this many steps before they reach the driver.
+AGGREGATION_DEPTH = 3
 
 
 def label_index(labels: list[str], c: Column) -> Column:
@@ -40,47 +42,102 @@ def class_weights(df: DataFrame, labels: list[str]) -> DataFrame:
     return df.join(F.broadcast(weighted), F.col("label") == F.col("__l")).drop("__l")
 
 
-def _paced(df: DataFrame, rows: int) -> DataFrame:
-    """Fewer partitions for few rows: each one ships a coefficient-sized gradient every iteration."""
-    wanted = rows // ROWS_PER_GRADIENT + 1
-    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
-
-
 def fit_logistic(df: DataFrame, labels: list[str], c: float, max_iter: int, balanced: bool):
     """Multinomial L2 logistic regression; the penalty follows C through 1 / (C * weight sum)."""
     rows = df.count()
-    df = _paced(df, rows)
     lr = LogisticRegression(featuresCol="features", labelCol="label_index", family="multinomial", maxIter=max_iter, tol=1e-6,
-                            elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * max(rows, 1)))
+                            elasticNetParam=0.0, standardization=False, aggregationDepth=AGGREGATION_DEPTH,
+                            regParam=1.0 / (c * max(rows, 1)))
     data = df.withColumn("label_index", label_index(labels, F.col("label")))
     if balanced:
         data, lr = class_weights(data, labels), lr.setWeightCol("class_weight")
     return lr.fit(data)
 
 
+@dataclass
+class NgramFeatures:
+    """Hashed word n-grams, n = 1..word_n."""
+
+    word_n: int
+    buckets: int
+
+    def transform(self, df: DataFrame, column: str) -> DataFrame:
+        df = RegexTokenizer(inputCol=column, outputCol="__g1", pattern=r"\s+", toLowercase=False).transform(df)
+        grams = [F.col("__g1")]
+        for n in range(2, self.word_n + 1):
+            df = NGram(n=n, inputCol="__g1", outputCol=f"__g{n}").transform(df)
+            grams.append(F.col(f"__g{n}"))
+        df = df.withColumn("__grams", F.concat(*grams))
+        df = HashingTF(inputCol="__grams", outputCol="features", numFeatures=self.buckets).transform(df)
+        return df.drop("__grams", *[f"__g{n}" for n in range(1, self.word_n + 1)])
+
+    def save(self, path: str) -> dict:
+        return {"kind": "ngram", "word_n": self.word_n, "buckets": self.buckets}
+
+
+@dataclass
+class EmbeddingFeatures:
+    """A vector column, scaled to unit length."""
+
+    def transform(self, df: DataFrame, column: str) -> DataFrame:
+        return df.withColumn("features", array_to_vector(l2_normalize(F.col(column))))
+
+    def save(self, path: str) -> dict:
+        return {"kind": "embedding"}
+
+
 @dataclass
 class Classifier:
     """A fitted model that turns rows into the top-k candidate labels."""
 
     model: object
     labels: list[str]
-    features: object
+    features: TextFeatures | NgramFeatures | EmbeddingFeatures
+
+    def _scored(self, df: DataFrame, text: str) -> tuple[DataFrame, Column]:
+        scored = self.model.transform(self.features.transform(df, text))
+        if "probability" in scored.columns:
+            return scored, vector_to_array(F.col("probability"))
+        # One-vs-rest gives margins: decision scores become probabilities.
+        return scored, softmax(vector_to_array(F.col("rawPrediction")))
 
     def candidates(self, df: DataFrame, text: str = "training_text", k: int = 3, out: str = "candidates") -> DataFrame:
-        ready = self.features(df, text)
-        scored = self.model.transform(ready)
-        probability = vector_to_array(F.col("probability")) if "probability" in scored.columns else None
-        if probability is None:
-            # One-vs-rest margins: turn decision scores into probabilities.
-            from postsift.operators.scoring import softmax
-
-            probability = softmax(vector_to_array(F.col("rawPrediction")))
+        scored, probability = self._scored(df, text)
         return scored.withColumn(out, topk(probability, self.labels, k)).select(*df.columns, out)
 
     def predict(self, df: DataFrame, text: str = "training_text") -> DataFrame:
         return (self.candidates(df, text, 1, "__c").withColumn("prediction", F.get(F.col("__c"), F.lit(0))["label"])
                 .drop("__c"))
 
+    def class_mass(self, df: DataFrame, text: str = "training_text") -> DataFrame:
+        """(label, mass): summed probability of each label; one-vs-rest models count each label's own sigmoid.
+
+        Over the training rows of a converged model it is the number of rows of the label.
+        """
+        scored, probability = self._scored(df, text)
+        if "probability" not in scored.columns:
+            probability = F.transform(vector_to_array(F.col("rawPrediction")), lambda m: 1 / (1 + F.exp(-m)))
+        return (scored.select(F.posexplode(probability).alias("i", "p")).groupBy("i").agg(F.sum("p").alias("mass"))
+                .select(F.get(F.array(*map(F.lit, self.labels)), F.col("i")).alias("label"), "mass"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Model, labels and features below ``path``, for :func:`load_classifier`."""
+        self.model.write().overwrite().save(f"{path}/model")
+        about = {"labels": self.labels, "ova": isinstance(self.model, OneVsRestModel), "features": self.features.save(path)}
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load_classifier(spark: SparkSession, path: str) -> Classifier:
+    about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+    made = about["features"]
+    kind = made.pop("kind")
+    if kind == "tfidf":
+        features = TextFeatures(spark.read.parquet(f"{path}/vocabulary"), **made)
+    else:
+        features = {"ngram": NgramFeatures, "embedding": EmbeddingFeatures}[kind](**made)
+    reader = OneVsRestModel if about["ova"] else LogisticRegressionModel
+    return Classifier(reader.load(f"{path}/model"), about["labels"], features)
+
 
 def train_tfidf(train: DataFrame, text: str = "training_text", c: float = 4.0, max_iter: int = 2000, balanced: bool = False,
                 word_n: int = 2, char_n: int = 5, min_df: int = 2, max_features: int = 120_000) -> Classifier:
@@ -91,7 +148,7 @@ def train_tfidf(train: DataFrame, text: str = "training_text", c: float = 4.0, m
         model = fit_logistic(data, labels, c, max_iter, balanced)
     finally:
         data.unpersist()
-    return Classifier(model, labels, lambda df, column: fitted.transform(df, column))
+    return Classifier(model, labels, fitted)
 
 
 def train_ngram(train: DataFrame, text: str = "training_text", loss: str = "softmax", word_n: int = 2, c: float = 4.0,
@@ -101,17 +158,8 @@ def train_ngram(train: DataFrame, text: str = "training_text", loss: str = "soft
         raise ValueError(f"unsupported loss: {loss}")
     labels = known_labels(train)
 
-    def features(df: DataFrame, column: str) -> DataFrame:
-        df = RegexTokenizer(inputCol=column, outputCol="__g1", pattern=r"\s+", toLowercase=False).transform(df)
-        grams = [F.col("__g1")]
-        for n in range(2, word_n + 1):
-            df = NGram(n=n, inputCol="__g1", outputCol=f"__g{n}").transform(df)
-            grams.append(F.col(f"__g{n}"))
-        df = df.withColumn("__grams", F.concat(*grams))
-        df = HashingTF(inputCol="__grams", outputCol="features", numFeatures=buckets).transform(df)
-        return df.drop("__grams", *[f"__g{n}" for n in range(1, word_n + 1)])
-
-    data = features(train.select("label", text), text).select("label", "features").persist()
+    features = NgramFeatures(word_n, buckets)
+    data = features.transform(train.select("label", text), text).select("label", "features").persist()
     try:
         if loss == "softmax":
             model = fit_logistic(data, labels, c, max_iter, False)
@@ -129,10 +177,8 @@ def train_embedding(train: DataFrame, vectors: str = "embedding", c: float = 1.0
                     balanced: bool = False) -> Classifier:
     labels = known_labels(train)
 
-    def features(df: DataFrame, column: str) -> DataFrame:
-        return df.withColumn("features", array_to_vector(l2_normalize(F.col(column))))
-
-    data = features(train.select("label", vectors), vectors).select("label", "features").persist()
+    features = EmbeddingFeatures()
+    data = features.transform(train.select("label", vectors), vectors).select("label", "features").persist()
     try:
         model = fit_logistic(data, labels, c, max_iter, balanced)
     finally:

@@ -14,10 +14,12 @@ def label_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction",
+                          labels: DataFrame | None = None) -> DataFrame:
     """Per-label precision, recall, F1 and support, then accuracy, macro and weighted rows.
 
-    Rows collapse to (label, prediction) counts first; all later steps run on that confusion table.
+    Rows collapse to (label, prediction) counts first; all later steps run on that confusion table. ``labels`` (a
+    ``label`` column) is the whole label set: one that occurs on neither side counts with zeros in the macro average.
     """
     confusion = df.groupBy(F.col(label).alias("y"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     sides = confusion.select(
@@ -28,6 +30,10 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
         F.sum(F.when(F.col("s.truth") == 1, F.col("n")).otherwise(0)).alias("support"),
         F.sum(F.when(F.col("s.truth") == 0, F.col("n")).otherwise(0)).alias("predicted"),
         F.sum(F.when((F.col("s.truth") == 1) & F.col("hit"), F.col("n")).otherwise(0)).alias("tp"))
+    if labels is not None:
+        known = labels.select(F.col("label").alias("__l")).distinct()
+        per = per.join(known, F.col("label") == F.col("__l"), "full").select(
+            F.coalesce("label", "__l").alias("label"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("support", "predicted", "tp")])
     zero = F.lit(0.0)
     per = (per.withColumn("precision", F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(zero))
            .withColumn("recall", F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(zero)))

@@ -57,7 +57,7 @@ def template_subject(c: Column) -> Column:
     return F.substring(c, 1, K.TEMPLATE_SUBJECT_CHARS)
 
 
-def signatures(df: DataFrame, max_chars: int | None = 3000, domain: Column | None = None,
+def signatures(df: DataFrame, max_chars: int | None = None, domain: Column | None = None,
                feature_hash: Callable[[Column], Column] = md5_hash) -> DataFrame:
     """(seq, message_id, domain, template_subject, prefix, norm_len, simhash).
 

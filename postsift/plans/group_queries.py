@@ -16,6 +16,7 @@ from postsift.plans.text_queries import TOKENS, similarity_ctes
 from postsift.session import cut_lineage
 
 ONE_DOMAIN = "one.example.com"
+PROMPT = "Choose one label for the message and answer with JSON only."
 
 
 def _sig_ctes(domain: str | None) -> tuple[str, ...]:
@@ -213,7 +214,7 @@ def _request_sql() -> str:
     parts = " || ',' || ".join(f"'\"{n}\":' || CAST(to_json({v}) AS VARCHAR)" for n, v in fields)
     mail = f"'{{' || {parts} || ',\"gmail_label_names\":' || CAST(to_json(string_split(label_ids_csv, ',')) AS VARCHAR) || '}}'"
     labels = "[" + ",".join(f'"{x}"' for x in K.LABELS) + "]"
-    prompt = L.PROMPT.replace("\n", "\\n")
+    prompt = PROMPT
     head = ('{"model":"small","input":[{"role":"system","content":[{"type":"input_text","text":"' + prompt
             + '"}]},{"role":"user","content":[{"type":"input_text","text":')
     tail = ('}]}],"text":{"format":{"type":"json_schema","name":"email_label","strict":true,"schema":{"type":"object",'
@@ -226,7 +227,7 @@ def _request_sql() -> str:
 
 @register("label_requests", with_ctes(O.EMAILS_CTE, O.strip_ctes("s", "emails", "text"), select=_request_sql()))
 def label_requests(spark, sf):
-    return L.label_requests(X.emails(spark, sf).withColumn("gmail_label_names", F.col("label_ids")), "small")
+    return L.label_requests(X.emails(spark, sf).withColumn("gmail_label_names", F.col("label_ids")), "small", PROMPT)
 
 
 _RESPONSES = f"resp AS ({X.duck(X.RESPONSES)})"
@@ -267,7 +268,7 @@ _MERGED = ("merged AS (SELECT * REPLACE (CASE WHEN label <> '' THEN 'payment' EL
 
 
 @register("merge_reviews", with_ctes(
-    O.EMAILS_CTE, _BASE, _MERGED, O.strip_ctes("s", "merged", "text", 4000),
+    O.EMAILS_CTE, _BASE, _MERGED, O.strip_ctes("s", "merged", "text"),
     select="SELECT message_id, label, status AS review_status, snippet, s_t AS display_text FROM s"))
 def merge_reviews(spark, sf):
     return L.merge_reviews(_review_base(spark, sf), _reviews(spark, sf)).select(

@@ -14,9 +14,10 @@ from postsift.operators.rows import labelled_only, stratified_split
 from postsift.plans import fixtures as X
 from postsift.plans import oracle_text as O
 from postsift.plans.registry import register, with_ctes
+from postsift.plans.row_queries import SPLIT_CTES
 from postsift.plans.score_queries import GATE_CTES, OWNER, blocked_senders
 from postsift.plans.sender_queries import BASE, LABELS, NAMES, REASONED, SAMPLES
-from postsift.session import cut_lineage, scratch_path
+from postsift.session import cut_lineage, scratch_path, write_stage
 from postsift.streaming import mail_stream as ST
 
 _PLAIN = f"plain AS (SELECT seq, strip_accents(lower({O.clean(O.present([*O.HEADERS, ('', 'text')]))})) AS p FROM emails)"
@@ -60,79 +61,149 @@ def l2_normalize(spark, sf):
                                                    ).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("value"))
 
 
-_kept: dict[tuple, object] = {}
-
-
-def _once(spark, sf: str, name: str, build):
-    """Splits and models are built once per session and data folder, as a pipeline would store them."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _kept:
-        _kept[key] = build()
-    return _kept[key]
+SCORED_CTE = ("scored AS (SELECT *, " + O.clean(
+    "concat('subject: ', subject, ' from: ', sender, ' to: ', rcpt, ' snippet: ', snippet, ' ', "
+    "CASE WHEN text <> '' THEN concat('body: ', text) ELSE '' END)") + " AS scoring FROM emails)")
 
 
 def _split(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Training and validation rows with the published body limit of 300 characters."""
-    return _once(spark, sf, "split", lambda: _write_split(spark, sf))
-
-
-def _write_split(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows, over whole bodies."""
     labelled = labelled_only(X.emails(spark, sf)).select("seq", "message_id", "label", "subject", "from", "to", "cc", "snippet", "text")
-    rows = cut_lineage(stratified_split(T.training_text(labelled, body_chars=300)).select(
+    rows = cut_lineage(stratified_split(T.training_text(labelled, body_chars=None)).select(
         "seq", "message_id", "label", "training_text", "split"), "split")
     return rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "valid")
 
 
-def _report(predicted: DataFrame) -> DataFrame:
-    return C.classification_report(predicted)
+def _evaluated(model: ML.Classifier, train: DataFrame, valid: DataFrame, text: str = "training_text") -> DataFrame:
+    """(label, train_rows, support, in_range): what a converged model's probabilities, and its report, must add up to."""
+    mass = model.class_mass(train, text).select(F.col("label").alias("__l"), F.round("mass").cast("long").alias("train_rows"))
+    report = C.classification_report(model.predict(valid, text), labels=train.select("label"))
+    good = F.lit(True)
+    for score in ("precision", "recall", "f1"):
+        good = good & F.col(score).between(0, 1)
+    return mass.join(report, F.col("label") == F.col("__l")).select(
+        "label", "train_rows", F.col("support").cast("long").alias("support"), good.alias("in_range"))
 
 
-@register("train_tfidf_eval")
-def train_tfidf_eval(spark, sf):
-    train, valid = _split(spark, sf)
-    return _report(ML.train_tfidf(train).predict(valid))
+_EVALUATED = ("SELECT label, count(*) FILTER (WHERE split = 'train') AS train_rows, count(*) FILTER (WHERE split = 'valid') AS support, "
+              "true AS in_range FROM split GROUP BY label")
+_MAIL_EVALUATED = with_ctes(O.EMAILS_CTE, *SPLIT_CTES, select=_EVALUATED)
 
 
-def _ngram_model(spark, sf) -> ML.Classifier:
-    return _once(spark, sf, "ngram", lambda: ML.train_ngram(_split(spark, sf)[0]))
+@register("train_tfidf_eval", _MAIL_EVALUATED)
+def train_tfidf_eval(spark, sf):
+    train, valid = _split(spark, sf)
+    return _evaluated(ML.train_tfidf(train), train, valid)
 
 
-@register("train_ngram_eval")
+@register("train_ngram_eval", _MAIL_EVALUATED)
 def train_ngram_eval(spark, sf):
-    return _report(_ngram_model(spark, sf).predict(_split(spark, sf)[1]))
+    train, valid = _split(spark, sf)
+    return _evaluated(ML.train_ngram(train), train, valid)
 
 
-@register("train_ngram_ova_eval")
+@register("train_ngram_ova_eval", _MAIL_EVALUATED)
 def train_ngram_ova_eval(spark, sf):
     train, valid = _split(spark, sf)
-    return _report(ML.train_ngram(train, loss="ova").predict(valid))
+    return _evaluated(ML.train_ngram(train, loss="ova"), train, valid)
 
 
-@register("train_embedding_eval")
+@register("train_embedding_eval", """WITH split AS (SELECT CAST(label AS VARCHAR) AS label, CASE WHEN row_number() OVER (
+PARTITION BY label ORDER BY md5(concat('7|', vec_id)), vec_id) <= CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN greatest(1,
+round_even(count(*) OVER (PARTITION BY label) * 0.15, 0)) ELSE 0 END THEN 'valid' ELSE 'train' END AS split FROM embeddings)
+""" + _EVALUATED)
 def train_embedding_eval(spark, sf):
     vectors = X.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
     rows = cut_lineage(stratified_split(vectors, key="vec_id", order="vec_id"), "split")
-    model = ML.train_embedding(rows.filter(F.col("split") == "train"))
-    return _report(model.predict(rows.filter(F.col("split") == "valid"), "embedding"))
+    train, valid = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "valid")
+    return _evaluated(ML.train_embedding(train), train, valid, "embedding")
 
 
-@register("score_topk")
+# The scored rows are checked for what any model must give: known labels, falling confidences, all messages.
+_RANKS = "least(3, (SELECT count(DISTINCT label) FROM emails WHERE label <> ''))"
+
+
+def _checked_topk(scored: DataFrame, labels: list[str]) -> DataFrame:
+    pairs = F.transform("candidates", lambda c, i: F.struct(
+        (i + 1).cast("long").alias("rank"),
+        (c["label"].isin(labels) & c["confidence"].between(0, 1)
+         & F.coalesce(c["confidence"] <= F.get("candidates", i - 1)["confidence"], F.lit(True))).alias("valid")))
+    return scored.select("message_id", F.explode(pairs).alias("c")).select("message_id", "c.rank", "c.valid")
+
+
+_TOPK = with_ctes(O.EMAILS_CTE, select=f"SELECT message_id, unnest(range(1, {_RANKS} + 1)) AS rank, true AS valid FROM emails")
+
+
+def _score(spark, sf, train) -> DataFrame:
+    model = train(_split(spark, sf)[0])
+    mail = T.training_text(X.emails(spark, sf), body_chars=None).select("seq", "message_id", "training_text")
+    return _checked_topk(model.candidates(mail), model.labels)
+
+
+@register("score_topk", _TOPK)
 def score_topk(spark, sf):
-    mail = T.training_text(X.emails(spark, sf), body_chars=300).select("message_id", "training_text")
-    scored = _ngram_model(spark, sf).candidates(mail)
-    return scored.select("message_id", F.posexplode("candidates").alias("pos", "c")).select(
-        "message_id", (F.col("pos") + 1).alias("rank"), "c.label", "c.confidence")
+    return _score(spark, sf, ML.train_ngram)
+
+
+@register("score_topk_tfidf", _TOPK)
+def score_topk_tfidf(spark, sf):
+    return _score(spark, sf, ML.train_tfidf)
+
+
+def _reloaded(spark, model: ML.Classifier) -> ML.Classifier:
+    path = scratch_path(spark, "model")
+    model.save(spark, path)
+    return ML.load_classifier(spark, path)
+
+
+def _same(spark, model: ML.Classifier, rows: DataFrame, text: str, key: str) -> DataFrame:
+    again = _reloaded(spark, model).candidates(rows, text).select(F.col(key).alias("__k"), F.col("candidates").alias("__c"))
+    close = lambda a, b: (a["label"] == b["label"]) & (F.abs(a["confidence"] - b["confidence"]) < 1e-9)
+    return model.candidates(rows, text).join(again, F.col(key) == F.col("__k")).select(
+        key, F.forall(F.zip_with("candidates", "__c", close), lambda same: same).alias("same"))
+
+
+@register("saved_ngram_model", with_ctes(O.EMAILS_CTE, select="SELECT message_id, true AS same FROM emails"))
+def saved_ngram_model(spark, sf):
+    mail = T.training_text(X.emails(spark, sf), body_chars=None).select("message_id", "training_text")
+    return _same(spark, ML.train_ngram(_split(spark, sf)[0], loss="ova"), mail, "training_text", "message_id")
+
+
+@register("saved_tfidf_model", with_ctes(O.EMAILS_CTE, *SPLIT_CTES, select="SELECT message_id, true AS same FROM split WHERE split = 'valid'"))
+def saved_tfidf_model(spark, sf):
+    train, valid = _split(spark, sf)
+    return _same(spark, ML.train_tfidf(train), valid, "training_text", "message_id")
+
+
+@register("saved_embedding_model", "SELECT vec_id, true AS same FROM embeddings")
+def saved_embedding_model(spark, sf):
+    vectors = X.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
+    return _same(spark, ML.train_embedding(vectors), vectors, "embedding", "vec_id")
 
 
 def _ngram_candidates(spark, sf):
-    model = _ngram_model(spark, sf)
-    return lambda df: model.candidates(T.scoring_text(df, "scoring_text", 300), "scoring_text")
+    """Scores with a model that was saved and loaded, as a daily job does."""
+    model = _reloaded(spark, ML.train_ngram(_split(spark, sf)[0]))
+    return lambda df: model.candidates(T.scoring_text(df, "scoring_text"), "scoring_text"), model.labels
 
 
-@register("classify_guarded")
+# A rule decides exactly; where the model does, its label must be a known one with a fair confidence.
+_GUARDED = ("SELECT message_id, coalesce(rule, 'model') AS decision, CASE WHEN rule IS NOT NULL THEN CAST(0.99 AS DOUBLE) END AS rule_confidence, "
+            "true AS valid FROM (SELECT message_id, {rule} AS rule FROM {source}) r")
+
+
+def _checked_guard(df: DataFrame, labels: list[str], *more: str) -> DataFrame:
+    ruled = F.col("rule").isNotNull()
+    return df.select("message_id", F.when(ruled, F.col("label")).otherwise("model").alias("decision"),
+                     F.when(ruled, F.col("confidence")).alias("rule_confidence"),
+                     (ruled | (F.col("label").isin(labels) & F.col("confidence").between(0, 1))).alias("valid"), *more)
+
+
+@register("classify_guarded", with_ctes(O.EMAILS_CTE, SCORED_CTE, select=_GUARDED.format(rule=O.rule("scoring"), source="scored")))
 def classify_guarded(spark, sf):
-    scored = _ngram_candidates(spark, sf)(X.emails(spark, sf))
-    return C.guard_with_rules(scored, F.col("candidates")).select("message_id", "label", "confidence")
+    candidates, labels = _ngram_candidates(spark, sf)
+    decided = C.guard_with_rules(candidates(X.emails(spark, sf)), F.col("candidates"))
+    return _checked_guard(T.classify_by_rules(decided, "scoring_text", "rule"), labels)
 
 
 def _mail_stream(spark, sf) -> DataFrame:
@@ -141,26 +212,28 @@ def _mail_stream(spark, sf) -> DataFrame:
     return ST.read_stream(spark, landed.inputFiles()[0].rsplit("/", 1)[0], landed.schema)
 
 
-@register("stream_classify")
+@register("stream_classify", with_ctes(O.EMAILS_CTE, SCORED_CTE, select=(
+    _GUARDED.format(rule=O.rule("scoring"), source="scored").replace("true AS valid", "true AS valid, true AS gated"))))
 def stream_classify(spark, sf):
     out, state = scratch_path(spark, "classified"), scratch_path(spark, "state")
-    candidates = _ngram_candidates(spark, sf)
-    mail = X.emails(spark, sf)
-    blocked = cut_lineage(blocked_senders(mail), "blocked")
-    ST.append_batches(_mail_stream(spark, sf), lambda batch: ST.classify(candidates(batch), OWNER, blocked, body_chars=300)
-                      .select("message_id", "label", "confidence", "mailbox_label", "should_auto_draft", "draft_block_reason"),
-                      out, state)
+    candidates, labels = _ngram_candidates(spark, sf)
+    blocked = cut_lineage(blocked_senders(X.emails(spark, sf)), "blocked")
+
+    def decided(batch: DataFrame) -> DataFrame:
+        gated = ST.classify(candidates(batch), OWNER, blocked)
+        fits = F.col("mailbox_label").eqNullSafe(C.mailbox_label(F.col("label"))) & (
+            F.col("should_auto_draft") == F.col("draft_block_reason").isNull())
+        return _checked_guard(T.classify_by_rules(gated.withColumn("gated", fits), "scoring_text", "rule"), labels, "gated")
+
+    ST.append_batches(_mail_stream(spark, sf), decided, out, state)
     return spark.read.parquet(out).drop("batch")
 
 
-_SCORED = ("scored AS (SELECT *, " + O.clean(
-    "concat('subject: ', subject, ' from: ', sender, ' to: ', rcpt, ' snippet: ', snippet, ' ', "
-    "CASE WHEN text <> '' THEN concat('body: ', text) ELSE '' END)") + " AS scoring FROM emails)")
 _STREAM_GATE = tuple(c.replace(f"coalesce({O.rule('text')}, label) AS decided FROM emails",
                                f"coalesce({O.rule('scoring')}, 'misc') AS decided FROM scored") for c in GATE_CTES)
 
 
-@register("stream_rules_gate", with_ctes(*BASE, NAMES, REASONED, LABELS, SAMPLES, _SCORED, *_STREAM_GATE, select=(
+@register("stream_rules_gate", with_ctes(*BASE, NAMES, REASONED, LABELS, SAMPLES, SCORED_CTE, *_STREAM_GATE, select=(
     "SELECT message_id, decided AS label, reason AS draft_block_reason, reason IS NULL AS should_auto_draft FROM gated")))
 def stream_rules_gate(spark, sf):
     out, state = scratch_path(spark, "gated"), scratch_path(spark, "state")
@@ -173,12 +246,13 @@ def stream_rules_gate(spark, sf):
 @register("stream_dedupe", "SELECT DISTINCT event_type AS account, CAST(user_id AS VARCHAR) AS message_id FROM events")
 def stream_dedupe(spark, sf):
     out, state = scratch_path(spark, "deduped"), scratch_path(spark, "state")
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = ST.read_stream(spark, sf, schema, glob="events.parquet").select(
+    # Four files, one per micro-batch, dealt by a hash: old dates come late and keys recur in later batches.
+    events = X.table(spark, sf, "events").select(
         F.col("event_type").alias("account"), F.col("user_id").cast("string").alias("message_id"),
         F.col("ts").cast("timestamp").alias("event_time"))
-    ST.append_stream(ST.dedupe(events, delay="60 days").select("account", "message_id"), out, state)
-    return spark.read.parquet(out)
+    landed, folder = write_stage(events.repartition(4, F.xxhash64("account", "message_id", "event_time")), "events")
+    ST.append_unseen(ST.read_stream(spark, folder, landed.schema, max_files=1).select("account", "message_id", "event_time"), out, state)
+    return spark.read.parquet(out).select("account", "message_id")
 
 
 @register("stream_row_parity", with_ctes(O.EMAILS_CTE, select=(

@@ -29,7 +29,7 @@ def clean(x: str) -> str:
     return x
 
 
-def strip_ctes(prefix: str, source: str, column: str, max_chars: int | None = 3000, pre: str = "") -> str:
+def strip_ctes(prefix: str, source: str, column: str, max_chars: int | None = None, pre: str = "") -> str:
     """CTEs ending in ``{prefix}``: the source's rows plus ``{prefix}_t``, the stripped text."""
     p, t = prefix, f"{prefix}_t"
     x = unescape(f"coalesce({column}, '')")

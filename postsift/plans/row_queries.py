@@ -12,6 +12,7 @@ from postsift.operators import rows as R
 from postsift.plans import fixtures as X
 from postsift.plans import oracle_text as O
 from postsift.plans.registry import register, with_ctes
+from postsift.schemas import raw_message
 from postsift.session import scratch_path
 from postsift.sources import mail as M
 
@@ -33,26 +34,20 @@ def existing_ids(spark, sf):
     return L.existing_ids(X.thread_mail(spark, sf))
 
 
-# Three MIME shapes: nested plain parts, HTML only, and plain beside HTML; pages are HTML only.
+# Three MIME shapes: nested plain parts, HTML only, and plain beside HTML; leaves lie 2, 6 and 9 levels deep.
 def _raw(spark, sf) -> DataFrame:
     def coded(c):
         return F.translate(F.regexp_replace(F.base64(F.encode(c, "UTF-8")), "[\r\n=]", ""), "+/", "-_")
 
-    def leaf(kind, c):
-        return F.struct(F.lit(kind).alias("mimeType"), F.struct(coded(c).alias("data")).alias("body"))
-
-    def node(kind, *children):
-        return F.struct(F.lit(kind).alias("mimeType"), F.struct(F.lit(None).cast("string").alias("data")).alias("body"),
-                        F.array(*children).alias("parts"))
-
-    # A leaf beside a node needs the same type, so leaves sit in single-child nodes one level down.
-    def wrapped(kind, c):
-        return node("multipart/related", leaf(kind, c))
+    def nested(kind, c):
+        leaf = F.to_json(F.struct(F.lit(kind).alias("mimeType"), F.struct(coded(c).alias("data")).alias("body")))
+        levels = F.element_at(F.array(F.lit(1), F.lit(5), F.lit(8)), (F.col("seq") % 5 % 3 + 1).cast("int"))
+        return F.concat(F.repeat(F.lit('{"mimeType":"multipart/related","parts":['), levels), leaf, F.repeat(F.lit("]}"), levels))
 
     mail = X.emails(spark, sf)
-    plain2 = F.array(wrapped("text/plain", F.col("snippet")), wrapped("text/html", F.col("subject")), wrapped("text/plain", F.col("text")))
-    html = F.array(wrapped("text/html", F.col("text")))
-    both = F.array(wrapped("text/html", F.col("subject")), wrapped("text/plain", F.col("text")))
+    plain2 = F.concat_ws(",", nested("text/plain", F.col("snippet")), nested("text/html", F.col("subject")), nested("text/plain", F.col("text")))
+    html = nested("text/html", F.col("text"))
+    both = F.concat_ws(",", nested("text/html", F.col("subject")), nested("text/plain", F.col("text")))
     parts = F.when(F.col("seq") % 3 == 0, plain2).when(F.col("seq") % 3 == 1, html).otherwise(both)
 
     def header(name, value):
@@ -60,11 +55,11 @@ def _raw(spark, sf) -> DataFrame:
 
     headers = F.array(header("SUBJECT", F.col("subject")), header("From", F.col("from")), header("from", F.lit("second")),
                       header("To", F.col("to")))
+    payload = F.concat(F.lit('{"headers":'), F.to_json(headers), F.lit(',"mimeType":"multipart/mixed","parts":['), parts, F.lit("]}"))
     return mail.select(
         "seq", F.col("message_id").alias("id"), F.col("thread_id").alias("threadId"), F.col("label_ids").alias("labelIds"),
         F.col("internal_date").alias("internalDate"), "snippet",
-        F.struct(headers.alias("headers"), F.lit("multipart/mixed").alias("mimeType"),
-                 F.struct(F.lit(None).cast("string").alias("data")).alias("body"), parts.alias("parts")).alias("payload"))
+        F.from_json(payload, raw_message(M.PART_DEPTH)["payload"].dataType).alias("payload"))
 
 
 @register("flatten_messages", with_ctes(O.EMAILS_CTE, select=(
@@ -72,7 +67,7 @@ def _raw(spark, sf) -> DataFrame:
     + O.clean("CASE WHEN seq % 3 = 0 THEN concat(snippet, chr(10), text) ELSE text END") + " AS text, "
     "'action_needed' AS label FROM emails")))
 def flatten_messages(spark, sf):
-    flat = M.flatten_messages(_raw(spark, sf), "office", "Action Needed", depth=2)
+    flat = M.flatten_messages(_raw(spark, sf), "office", "Action Needed")
     return flat.select("message_id", "thread_id", "subject", F.col("from").alias("sender"), F.col("to").alias("rcpt"), "cc",
                        "snippet", "text", "label")
 
@@ -90,12 +85,24 @@ def _mailbox(mail: DataFrame) -> DataFrame:
     return ids.withColumn("name", F.when(F.col("label_id") == "L_ready", K.DRAFT_READY_LABEL).otherwise(name))
 
 
+# Half of the accounts name the labels otherwise, and one id is unknown to the other half.
+_OTHER = "(account IN ('src1', 'src3', 'src5', 'src7', 'src9', 'src11', 'src13', 'src15', 'src17', 'src19'))"
+
+
+def _account_labels(mail: DataFrame) -> DataFrame:
+    named = mail.select("account").distinct().crossJoin(F.broadcast(_mailbox(mail)))  # a handful of labels
+    other = F.expr(_OTHER)
+    return named.withColumn("name", F.when(other, F.concat(F.col("name"), F.lit(" 2"))).otherwise(F.col("name"))).filter(
+        other | (F.col("label_id") != "L_ready"))
+
+
 @register("map_label_names", with_ctes(O.EMAILS_CTE, _MAILBOX, select=(
-    "SELECT i.message_id, string_agg(coalesce(m.name, i.label_id), '|' ORDER BY i.pos) AS gmail_label_names "
-    "FROM ids i LEFT JOIN mailbox m ON i.label_id = m.label_id GROUP BY i.message_id")))
+    "SELECT i.message_id, string_agg(CASE WHEN m.name IS NULL THEN i.label_id "
+    f"WHEN {_OTHER} THEN m.name || ' 2' WHEN i.label_id = 'L_ready' THEN i.label_id ELSE m.name END, '|' ORDER BY i.pos) "
+    "AS gmail_label_names FROM ids i JOIN emails e ON e.seq = i.seq LEFT JOIN mailbox m ON i.label_id = m.label_id GROUP BY i.message_id")))
 def map_label_names(spark, sf):
     mail = X.emails(spark, sf)
-    return M.map_label_names(mail, _mailbox(mail)).select("message_id", F.array_join("gmail_label_names", "|").alias("gmail_label_names"))
+    return M.map_label_names(mail, _account_labels(mail)).select("message_id", F.array_join("gmail_label_names", "|").alias("gmail_label_names"))
 
 
 def _dictionary_sql() -> str:
@@ -169,7 +176,7 @@ def dedupe_content(spark, sf):
     return R.dedupe_content(X.reexported(spark, sf)).select("seq", "account", "message_id")
 
 
-_SPLIT = ("labelled AS (SELECT * FROM emails WHERE label <> '')",
+SPLIT_CTES = ("labelled AS (SELECT * FROM emails WHERE label <> '')",
           "split AS (SELECT seq, message_id, label, CASE WHEN row_number() OVER (PARTITION BY label "
           "ORDER BY md5(concat('7|', message_id)), seq) <= CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN greatest(1, "
           "round_even(count(*) OVER (PARTITION BY label) * 0.15, 0)) ELSE 0 END THEN 'valid' ELSE 'train' END AS split FROM labelled)")
@@ -179,12 +186,12 @@ def split_mail(spark, sf) -> DataFrame:
     return R.stratified_split(R.labelled_only(X.emails(spark, sf)))
 
 
-@register("stratified_split", with_ctes(O.EMAILS_CTE, *_SPLIT, select="SELECT message_id, label, split FROM split"))
+@register("stratified_split", with_ctes(O.EMAILS_CTE, *SPLIT_CTES, select="SELECT message_id, label, split FROM split"))
 def stratified_split(spark, sf):
     return split_mail(spark, sf).select("message_id", "label", "split")
 
 
-@register("split_sizes", with_ctes(O.EMAILS_CTE, *_SPLIT, select=(
+@register("split_sizes", with_ctes(O.EMAILS_CTE, *SPLIT_CTES, select=(
     "SELECT label, count(*) AS n, count(*) FILTER (WHERE split = 'valid') AS valid_rows, "
     "count(*) FILTER (WHERE split = 'train') AS train_rows FROM split GROUP BY label")))
 def split_sizes(spark, sf):
@@ -192,7 +199,7 @@ def split_sizes(spark, sf):
 
 
 MIN_PER_LABEL = 50
-_OVER = (O.EMAILS_CTE, *_SPLIT,
+_OVER = (O.EMAILS_CTE, *SPLIT_CTES,
          "train AS (SELECT *, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY seq) - 1 "
          "AS r FROM split WHERE split = 'train')",
          f"draws AS (SELECT label, n, copy, ('0x' || substring(md5(concat('7|', label, '|', copy)), 1, 15))::BIGINT % n AS pick "

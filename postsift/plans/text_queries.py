@@ -24,7 +24,7 @@ def clean_pages_html(spark, sf):
     return T.clean_text(X.table(spark, sf, "pages"), "html", "cleaned").select("page_id", "cleaned")
 
 
-@_over_mail("strip_reply_noise", "stripped", "s_t", O.strip_ctes("s", "emails", "text"), source="s")
+@_over_mail("strip_reply_noise", "stripped", "s_t", O.strip_ctes("s", "emails", "text", 3000), source="s")
 def strip_reply_noise(spark, sf):
     return T.strip_reply_noise(X.emails(spark, sf), "text", "stripped").select("message_id", "stripped")
 

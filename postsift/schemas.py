@@ -20,13 +20,11 @@ EMAIL = T.StructType([
 
 
 def raw_message(depth: int) -> T.StructType:
-    """A provider message whose MIME tree may nest ``depth`` levels below the payload."""
+    """A provider message; MIME parts nested more than ``depth`` levels below the payload stay JSON text."""
     header = T.ArrayType(_struct(name=_S, value=_S))
     part = None
     for _ in range(depth + 1):
-        fields = {"mimeType": _S, "body": _struct(data=_S)}
-        if part is not None:
-            fields["parts"] = T.ArrayType(part)
+        fields = {"mimeType": _S, "body": _struct(data=_S), "parts": _S if part is None else T.ArrayType(part)}
         part = _struct(**fields)
     payload = T.StructType([T.StructField("headers", header), *part.fields])
     return _struct(id=_S, threadId=_S, labelIds=T.ArrayType(_S), internalDate=_S, snippet=_S, payload=payload)

@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from postsift import constants as K
 from postsift.functions import text as T
 from postsift.functions.arrays import let
-from postsift.operators.rows import rank_within, seq_bucket
 from postsift.schemas import EMAIL
 
 PART_DEPTH = 5
-
-
-
-
-# Bits of seq: file rank, block of the file, row of the task.
-FILE_BITS, BLOCK_BITS, ROW_BITS = 21, 14, 28
-BROADCAST_FILES = 200_000
+SEQ_BITS = 63
 
 
 def _ranked_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -33,6 +30,12 @@ def _ranked_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return listed.withColumn("rank", F.row_number().over(W.orderBy("source", "file")) - 1)
 
 
+def _byte_size(text: str) -> int:
+    """Bytes of a size setting such as ``134217728b``, ``128MB`` or ``4m``."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", text.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def read_emails(spark: SparkSession, paths: list[str], schema: StructType = EMAIL, mode: str = "FAILFAST") -> DataFrame:
     """JSON-lines files, in argument order, with a ``seq`` that follows file and line order.
 
@@ -41,11 +44,11 @@ def read_emails(spark: SparkSession, paths: list[str], schema: StructType = EMAI
     """
     files = _ranked_files(spark, paths)
     # Splits of one file start at multiples of a size that is never below this unit.
-    unit = min(int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()),
-               int(spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()))
+    unit = min(_byte_size(spark.conf.get(f"spark.sql.files.{name}")) for name in ("maxPartitionBytes", "openCostInBytes"))
     found = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("length"), F.lit(0)).alias("longest")).first()
-    if found["n"] >= 1 << FILE_BITS or found["longest"] // unit >= 1 << BLOCK_BITS:
-        raise ValueError("too many files, or a file too long, for the seq layout: merge or split the input files")
+    # The listing decides the widths; what files and blocks leave is for the rows of a block.
+    block_bits = max(1, (found["longest"] // unit).bit_length())
+    row_bits = SEQ_BITS - max(1, found["n"].bit_length()) - block_bits
     frames = [spark.read.schema(schema).option("mode", mode).json(path)
               .withColumns({"__source": F.lit(i), "__path": F.col("_metadata.file_path"),
                             "__block": F.floor(F.col("_metadata.file_block_start") / F.lit(unit)),
@@ -55,11 +58,12 @@ def read_emails(spark: SparkSession, paths: list[str], schema: StructType = EMAI
     for frame in frames[1:]:
         rows = rows.unionByName(frame)
     ranks = files.select("source", "file", "rank")
-    # A checked size: a longer file list joins by shuffle instead.
-    ranks = F.broadcast(ranks) if found["n"] <= BROADCAST_FILES else ranks
-    seq = (F.shiftleft(F.col("rank").cast("long"), BLOCK_BITS + ROW_BITS)
-           .bitwiseOR(F.shiftleft("__block", ROW_BITS)).bitwiseOR(F.col("__row")))
-    return (rows.join(ranks, (F.col("__source") == F.col("source")) & (F.col("__path") == F.col("file")))
+    seq = (F.shiftleft(F.col("rank").cast("long"), block_bits + row_bits)
+           .bitwiseOR(F.shiftleft("__block", row_bits)).bitwiseOR(F.col("__row")))
+    fault = lambda message: F.raise_error(F.concat(F.lit(message), F.col("__path"))).cast("long")
+    seq = (F.when(F.col("rank").isNull(), fault("a file came after the listing: "))
+           .when(F.shiftright("__row", row_bits) != 0, fault("too many rows in a block for the seq layout: ")).otherwise(seq))
+    return (rows.join(ranks, (F.col("__source") == F.col("source")) & (F.col("__path") == F.col("file")), "left")
             .withColumn("seq", seq).drop("__source", "__path", "__block", "__row", "source", "file", "rank"))
 
 
@@ -110,26 +114,57 @@ def decode_body(data: Column) -> Column:
     return let(fixed, lambda f: F.when(F.length(f) % 4 != 1, F.make_valid_utf8(F.unbase64(f).cast("string"))).otherwise(""))
 
 
+LEAF = "struct<mime:string,data:string,rest:string>"
+
+
 def _leaves(part: Column, depth: int) -> Column:
-    """(mimeType, data) of a part and all parts below it, depth first."""
-    own = F.array(F.struct(part["mimeType"].alias("mime"), part["body"]["data"].alias("data")))
+    """(mime, data, rest) of a part and all parts below it, depth first; parts below ``depth`` are one JSON ``rest``."""
+    none = F.lit(None).cast("string")
+    own = F.array(F.struct(part["mimeType"].alias("mime"), part["body"]["data"].alias("data"), none.alias("rest")))
     if depth == 0:
-        return own
+        deeper = F.struct(none.alias("mime"), none.alias("data"), part["parts"].alias("rest"))
+        return F.concat(own, F.when(part["parts"].isNotNull(), F.array(deeper)).otherwise(F.array().cast(f"array<{LEAF}>")))
     below = F.flatten(F.transform(F.coalesce(part["parts"], F.array()), lambda child: _leaves(child, depth - 1)))
     return F.concat(own, below)
 
 
+@F.pandas_udf(ArrayType(ArrayType(StructType([StructField(n, StringType()) for n in ("mime", "data", "rest")]))))
+def _deep_leaves(rests: pd.Series) -> pd.Series:
+    """The leaves of each JSON text of nested parts, depth first, however deep they go."""
+
+    def walk(text: str) -> list[dict]:
+        out, stack = [], list(reversed(json.loads(text)))
+        while stack:
+            part = stack.pop()
+            out.append({"mime": part.get("mimeType"), "data": (part.get("body") or {}).get("data"), "rest": None})
+            stack += reversed(part.get("parts") or [])
+        return out
+
+    return rests.map(lambda texts: None if texts is None else [walk(t) for t in texts])
+
+
+def _all_leaves(df: DataFrame, depth: int) -> DataFrame:
+    """Adds ``__leaves``; only the JSON of parts below ``depth``, in most mail none, travels to Python."""
+    df = df.withColumn("__flat", _leaves(F.col("payload"), depth))
+    rests = F.filter("__flat", lambda e: e["rest"].isNotNull())
+    df = df.withColumn("__deep", _deep_leaves(F.when(F.size(rests) > 0, F.transform(rests, lambda e: e["rest"]))))
+    place = lambda i: F.size(F.filter(F.slice("__flat", F.lit(1), i + 1), lambda e: e["rest"].isNotNull())) - 1
+    grown = F.flatten(F.transform("__flat", lambda e, i: F.when(e["rest"].isNull(), F.array(e)).otherwise(
+        F.get("__deep", place(i)))))
+    return df.withColumn("__leaves", F.when(F.col("__deep").isNull(), F.col("__flat")).otherwise(grown)).drop("__flat", "__deep")
+
+
 def flatten_messages(raw: DataFrame, account: str | Column, label: str | Column = "", depth: int = PART_DEPTH) -> DataFrame:
     """Provider messages to mail records.
 
-    Plain parts joined by newlines, HTML parts only when there is no plain part. ``depth`` must match
-    the schema (:func:`postsift.schemas.raw_message`). ``body_raw`` keeps the text before cleaning.
+    Plain parts joined by newlines, HTML parts only when there is no plain part, at any depth. ``depth`` must match
+    the schema (:func:`postsift.schemas.raw_message`): it says how far parts are columns, and what lies deeper is read
+    from their JSON. ``body_raw`` keeps the text before cleaning.
     """
     def value(v: str | Column) -> Column:
         return F.lit(v) if isinstance(v, str) else v
 
-    leaves = _leaves(F.col("payload"), depth)
-    df = raw.withColumn("__leaves", leaves)
+    df = _all_leaves(raw, depth)
 
     def texts(kind: str) -> Column:
         return F.transform(F.filter("__leaves", lambda p: p["mime"] == kind), lambda p: decode_body(p["data"]))
@@ -151,12 +186,17 @@ def flatten_messages(raw: DataFrame, account: str | Column, label: str | Column
 
 
 def map_label_names(df: DataFrame, labels: DataFrame, ids: str = "label_ids", out: str = "gmail_label_names") -> DataFrame:
-    """Label ids to names through a (label_id, name) table; unknown ids stay.
+    """Label ids to names through an (account, label_id, name) table; unknown ids stay.
 
-    Ids are exploded and joined, so a label table of any size works, then gathered per message.
+    Ids belong to one account's mailbox; two names for one id of an account are an error. Ids are exploded and joined,
+    so a label table of any size works, then gathered per message.
     """
-    exploded = df.select(F.col("seq").alias("__seq"), F.posexplode(ids).alias("pos", "id"))
-    named = exploded.join(labels.select(F.col("label_id").alias("__lid"), "name"), F.col("id") == F.col("__lid"), "left")
+    exploded = df.select(F.col("seq").alias("__seq"), F.col("account").alias("__of"), F.posexplode(ids).alias("pos", "id"))
+    names = labels.groupBy(F.col("account").alias("__a"), F.col("label_id").alias("__lid")).agg(
+        F.min("name").alias("name"), F.max("name").alias("__other"))
+    twice = F.raise_error(F.concat_ws(" ", F.lit("two names for label"), "__a", "__lid"))
+    names = names.withColumn("name", F.when(F.col("name") == F.col("__other"), F.col("name")).otherwise(twice)).drop("__other")
+    named = exploded.join(names, F.col("__of").eqNullSafe(F.col("__a")) & (F.col("id") == F.col("__lid")), "left")
     names = named.groupBy("__seq").agg(
         F.array_sort(F.collect_list(F.struct("pos", F.coalesce("name", "id").alias("name")))).alias("__n"))
     return (df.join(names, F.col("seq") == F.col("__seq"), "left")
@@ -190,7 +230,6 @@ def extract_by_label(df: DataFrame, resolved: DataFrame, n: int | None = None) -
             .withColumn("label", F.col("canonical")).drop("__lid", "__rid", "canonical"))
     if n is None:
         return rows
-    narrow = rows.select(F.col("seq").alias("__seq"), F.col("label").alias("__label"))
-    ranked = rank_within(narrow, ["__label"], seq_bucket("__seq"), [F.col("__seq")], "__rank").filter(F.col("__rank") <= n)
-    return rows.join(ranked.select("__seq", "__label"), (F.col("seq") == F.col("__seq")) & (
-        F.col("label") == F.col("__label")), "left_semi")
+    # The planner limits each label's rows before they are shuffled.
+    rank = F.row_number().over(W.partitionBy("label").orderBy("seq"))
+    return rows.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")

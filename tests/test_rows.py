@@ -125,14 +125,54 @@ def test_streams_do_not_repeat_rows(spark, tmp_path):
     mail.coalesce(1).write.parquet(source)
 
     def run():
-        stream = ST.dedupe(ST.event_time(ST.read_stream(spark, source, mail.schema)))
-        ST.append_stream(stream.select("account", "message_id"), out, state)
+        ST.append_unseen(ST.event_time(ST.read_stream(spark, source, mail.schema)), out, state)
         return spark.read.parquet(out).count()
 
     assert run() == 2
     assert run() == 2
     mail.coalesce(1).write.mode("append").parquet(source)
     assert run() == 2
+    # Mail from long ago is not too late, and a key that comes again much later is still known.
+    late = [("a", "3", "1600000000000"), ("a", "1", "1800000000000"), ("a", None, "1800000000000"), ("a", None, "1600000000000")]
+    spark.createDataFrame(late, mail.schema).coalesce(1).write.mode("append").parquet(source)
+    assert run() == 4
+    assert run() == 4
+
+
+def test_report_counts_labels_nobody_saw(spark):
+    rows = spark.createDataFrame([("a", "a"), ("a", "a")], "label string, prediction string")
+    labels = spark.createDataFrame([("a",), ("b",), ("b",)], "label string")
+    report = {r["label"]: r for r in C.classification_report(rows, labels=labels).collect()}
+    assert report["b"]["support"] == 0 and report["macro avg"]["f1"] == pytest.approx(0.5) and report["accuracy"]["f1"] == 1
+
+
+def test_label_names_belong_to_an_account(spark):
+    mail = spark.createDataFrame([(1, "x", ["L1", "INBOX"]), (2, "y", ["L1"]), (3, None, ["L1"])], "seq long, account string, label_ids array<string>")
+    names = spark.createDataFrame([("x", "L1", "Bills"), ("y", "L1", "Fun")], "account string, label_id string, name string")
+    got = {r["seq"]: r["gmail_label_names"] for r in M.map_label_names(mail, names).collect()}
+    assert got == {1: ["Bills", "INBOX"], 2: ["Fun"], 3: ["L1"]}
+    with pytest.raises(Exception, match="two names"):
+        M.map_label_names(mail, names.union(spark.createDataFrame([("x", "L1", "Other")], names.schema))).collect()
+
+
+def test_parts_of_any_depth_are_found(spark):
+    def message(depth):
+        part = {"mimeType": "text/plain", "body": {"data": base64.urlsafe_b64encode(b"deep").decode()}}
+        first = {"mimeType": "text/plain", "body": {"data": base64.urlsafe_b64encode(b"first").decode()}}
+        for level in range(depth):
+            part = {"mimeType": "multipart/mixed", "parts": [first, part] if level == 0 else [part]}
+        return json.dumps({"id": str(depth), "payload": {"mimeType": "multipart/mixed", "headers": [], "parts": [part]}})
+
+    raw = spark.read.schema(raw_message(M.PART_DEPTH)).json(spark.sparkContext.parallelize([message(d) for d in (1, 4, 5, 6, 7, 9, 30)]))
+    texts = {r["message_id"]: r["text"] for r in M.flatten_messages(raw, "a").collect()}
+    assert texts == {str(d): "first deep" for d in (1, 4, 5, 6, 7, 9, 30)}
+
+
+def test_only_notification_hosts_are_blocked(spark):
+    senders = ["Ann <ann@googlemail.com>", "Bo <bo@docs.google.com>"]
+    mail = spark.createDataFrame([(i, s, "me@x.org", "urgent") for i, s in enumerate(senders)], "seq long, `from` string, `to` string, label string")
+    gated = C.draft_gate(mail, "me@x.org", spark.createDataFrame([], "email string")).orderBy("seq").collect()
+    assert gated[0]["should_auto_draft"] and gated[1]["draft_block_reason"] == "automated_sender_domain:docs.google.com"
 
 
 def test_balanced_class_weights(spark):
