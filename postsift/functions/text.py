@@ -123,6 +123,11 @@ def _limit_words(c: Column, max_chars: int | None) -> Column:
                   ).otherwise(c)
 
 
+def body_source(df: DataFrame) -> Column:
+    """``body_raw`` where a row has it, as quote and signature marks need its line breaks; else ``text``."""
+    return F.coalesce("body_raw", "text") if "body_raw" in df.columns else F.col("text")
+
+
 def strip_reply_noise(df: DataFrame, source: str | Column, out: str, max_chars: int | None = 3000) -> DataFrame:
     """The newest human-written part of a message; ``max_chars=None`` keeps all of it."""
     t = _tmp()
@@ -150,7 +155,7 @@ def training_text(df: DataFrame, out: str = "training_text", body_chars: int | N
     if body_chars == 0:
         return clean_text(df, fields_present(HEADER_FIELDS), out)
     body = _tmp()
-    df = strip_reply_noise(df, "text", body, body_chars)
+    df = strip_reply_noise(df, body_source(df), body, body_chars)
     return clean_text(df, fields_present([*HEADER_FIELDS, ("body: ", body)]), out).drop(body)
 
 
@@ -160,7 +165,7 @@ def scoring_text(df: DataFrame, out: str = "scoring_text", body_chars: int | Non
     if body_chars is None:
         df = df.withColumn(body, F.coalesce(F.col("text"), F.lit("")))
     elif body_chars > 0:
-        df = strip_reply_noise(df, "text", body, body_chars)
+        df = strip_reply_noise(df, body_source(df), body, body_chars)
     else:
         df = df.withColumn(body, F.lit(""))
     parts = [F.concat(F.lit(f"{n}: "), F.coalesce(_col(n), F.lit(""))) for n in ("subject", "from", "to", "snippet")]
@@ -171,7 +176,7 @@ def scoring_text(df: DataFrame, out: str = "scoring_text", body_chars: int | Non
 def labeller_text(df: DataFrame, out: str = "training_text", max_chars: int | None = None) -> DataFrame:
     """Subject, sender, snippet and stripped body; the parts are not cleaned again as a whole."""
     body = _tmp()
-    df = strip_reply_noise(df, "text", body, max_chars)
+    df = strip_reply_noise(df, body_source(df), body, max_chars)
     parts = [F.concat(F.lit(f"{n}: "), F.coalesce(_col(n), F.lit(""))) for n in ("subject", "from", "snippet")]
     return df.withColumn(out, F.concat_ws(" ", *parts, F.when(F.col(body) != "", F.col(body)))).drop(body)
 
@@ -190,7 +195,7 @@ def similarity_text(df: DataFrame, out: str = "similarity_text", max_chars: int
     masked value vanishes; that is the defined behaviour.
     """
     t = _tmp()
-    df = strip_reply_noise(df, "text", t, max_chars)
+    df = strip_reply_noise(df, body_source(df), t, max_chars)
     c = F.lower(F.concat_ws(
         " ",
         F.concat(F.lit("subject: "), F.coalesce(F.col("subject"), F.lit(""))),

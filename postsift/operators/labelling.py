@@ -25,7 +25,7 @@ def label_requests(df: DataFrame, model: str, prompt: str, max_body_chars: int |
     def text_or_blank(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit("")).alias(name)
 
-    df = T.strip_reply_noise(df, "text", "__body", max_body_chars)
+    df = T.strip_reply_noise(df, T.body_source(df), "__body", max_body_chars)
     mail = F.to_json(F.struct(
         *[text_or_blank(n) for n in ("subject", "from", "to", "date", "snippet")],
         F.col("__body").alias("body"),

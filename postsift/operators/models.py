@@ -141,6 +141,7 @@ def load_classifier(spark: SparkSession, path: str) -> Classifier:
 
 def train_tfidf(train: DataFrame, text: str = "training_text", c: float = 4.0, max_iter: int = 2000, balanced: bool = False,
                 word_n: int = 2, char_n: int = 5, min_df: int = 2, max_features: int = 120_000) -> Classifier:
+    train = train.filter(F.col(text) != "")
     labels = known_labels(train)
     fitted: TextFeatures = fit_text_features(train, text, word_n, char_n, min_df, max_features)
     data = fitted.transform(train.select("seq", "label", text), text).select("label", "features").persist()
@@ -156,6 +157,7 @@ def train_ngram(train: DataFrame, text: str = "training_text", loss: str = "soft
     """Linear model over hashed word n-grams; ``loss`` is "softmax" or "ova" (one model per label)."""
     if loss not in ("softmax", "ova"):
         raise ValueError(f"unsupported loss: {loss}")
+    train = train.filter(F.col(text) != "")
     labels = known_labels(train)
 
     features = NgramFeatures(word_n, buckets)

@@ -128,6 +128,14 @@ def test_limits_keep_whole_words(spark):
     assert got == [("word " * 600).strip(), "z" * 3000]
 
 
+def test_flattened_mail_loses_its_quotes(spark):
+    rows = [(1, "s", "a@b.co", "", "", "fine On Monday Ann wrote: > old", "fine\nOn Monday Ann wrote:\n> old"), (2, "s", "a@b.co", "", "", "as it is", None)]
+    df = spark.createDataFrame(rows, "seq long, subject string, `from` string, `to` string, snippet string, text string, body_raw string")
+    df = df.withColumn("cc", F.lit(""))
+    assert [("old" in v, "fine" in v or "as it is" in v) for v in results(T.training_text(df, "o", None), "o")] == [(False, True)] * 2
+    assert [("old" in v, "fine" in v or "as it is" in v) for v in results(T.similarity_text(df, "o"), "o")] == [(False, True)] * 2
+
+
 def test_masked_values_vanish_from_similarity_text(spark):
     row = spark.createDataFrame([(1, "TICK-12 due 12/05/2024 usd 450", "Ann <ann@x.example.com>", "call 5551234 now now", "see a@b.co")],
                                 "seq long, subject string, `from` string, snippet string, text string")
