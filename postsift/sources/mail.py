@@ -221,8 +221,15 @@ def missing_labels(dictionary: DataFrame, mailbox: DataFrame) -> DataFrame:
     return dictionary.select("canonical").distinct().join(resolve_labels(dictionary, mailbox), "canonical", "left_anti")
 
 
-def extract_by_label(df: DataFrame, resolved: DataFrame, n: int | None = None) -> DataFrame:
+def without_spam_trash(df: DataFrame) -> DataFrame:
+    """Rows that carry neither the spam nor the trash label; missing labels are none."""
+    ids = F.coalesce("label_ids", F.array().cast("array<string>"))
+    return df.filter(~F.arrays_overlap(ids, F.array(F.lit("SPAM"), F.lit("TRASH"))))
+
+
+def extract_by_label(df: DataFrame, resolved: DataFrame, n: int | None = None, include_spam_trash: bool = False) -> DataFrame:
     """One row per (message, resolved label); at most the first ``n`` messages of each label."""
+    df = df if include_spam_trash else without_spam_trash(df)
     rows = (df.select("*", F.explode("label_ids").alias("__lid"))
             # At most one row per canonical label.
             .join(F.broadcast(resolved.select(F.col("canonical"), F.col("label_id").alias("__rid"))),

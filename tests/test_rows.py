@@ -155,6 +155,13 @@ def test_label_names_belong_to_an_account(spark):
         M.map_label_names(mail, names.union(spark.createDataFrame([("x", "L1", "Other")], names.schema))).collect()
 
 
+def test_spam_and_trash_stay_out(spark):
+    mail = spark.createDataFrame([(1, ["L1"]), (2, ["L1", "SPAM"]), (3, ["TRASH", "L1"]), (4, None)], "seq long, label_ids array<string>")
+    resolved = spark.createDataFrame([("fyi", "L1")], "canonical string, label_id string")
+    assert [r["seq"] for r in M.extract_by_label(mail, resolved).collect()] == [1]
+    assert sorted(r["seq"] for r in M.extract_by_label(mail, resolved, 2, include_spam_trash=True).collect()) == [1, 2]
+
+
 def test_parts_of_any_depth_are_found(spark):
     def message(depth):
         part = {"mimeType": "text/plain", "body": {"data": base64.urlsafe_b64encode(b"deep").decode()}}
