@@ -11,7 +11,10 @@ ranked by growing prefixes, and a suffix leaves the sort as soon as its rank is
 3. Anchors of equal core and different context are ranked by each of their strings, past the threshold.
 
 Ranks of one cell (a range of core hashes) meet in one task; before that, every task keeps of equal ranks of its own
-only the one of the smallest document, so a string that a third of the documents share arrives once per task.
+only the one of the smallest document, so a string that a third of the documents share arrives once per task. Where a
+shared passage ends, one core has as many contexts as documents. Such hot cores are found by their contexts in a
+sample, and their strings meet one by one, each in a cell of its own hash. The sample decides only where strings meet:
+every string is compared, by its bytes, whichever way it goes.
 
 Defined cases: a null text is empty; documents without id neither lose nor take bytes, as no id is smaller; rows
 that share an id do not take bytes from each other. Texts are bytes: what is left may not be valid UTF-8.
@@ -19,6 +22,7 @@ that share an id do not take bytes from each other. Texts are bytes: what is lef
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsift.llm.batches import groups
+from postsift.llm.batches import bounded_batches, groups
 
 LENGTH = 50
 CORE = 25
@@ -37,6 +41,12 @@ FLUSH_ANCHORS = 1 << 20
 FLUSH_CONTEXTS = 150_000
 CELL_BYTES = 8 << 20
 LEVEL = 6
+#: One in so many pieces of the documents is sampled, and a core with so many contexts in the sample is hot.
+SAMPLE_ONE_IN = 256
+SAMPLE_PIECE = 64 << 10
+HOT_SAMPLED = 64
+#: In place of a lead: this is one string of a hot core.
+BY_STRING = 255
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 BYTES = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -184,26 +194,63 @@ def _repeated_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place.astype(np.int32))], ["doc", "place"])
 
 
+def _met_by(context: bytes, lead: int) -> bytes:
+    """What contexts must share to meet: their core, or the whole string of a hot one."""
+    return context if lead == BY_STRING else context[lead: lead + CORE]
+
+
+def _joined_spans(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Spans of one document that touch as one."""
+    out: list[tuple[int, int, int, int]] = []
+    for doc, tag, start, stop in sorted(spans):
+        if out and out[-1][:2] == (doc, tag) and start <= out[-1][3]:
+            out[-1] = (doc, tag, out[-1][2], max(stop, out[-1][3]))
+        else:
+            out.append((doc, tag, start, stop))
+    return out
+
+
 class _Contexts:
     """One task's contexts: of equal ones those of the smallest document are asked about, the rest are settled."""
 
     def __init__(self, count: int):
-        self.count, self.seen, self.size = count, {}, 0
+        self.count, self.seen, self.hot, self.size = count, {}, {}, 0
 
     def add(self, context: bytes, lead: int, doc: int, tag: int, start: int) -> None:
         self.seen.setdefault((context, lead), []).append((doc, tag, start))
         self.size += 1
 
+    def add_hot(self, context: bytes, lead: int, doc: int, tag: int, start: int) -> None:
+        places = self.hot.setdefault((context, lead), [])
+        self.size += 1 if places else len(context) - LENGTH + 1
+        places.append((doc, tag, start))
+
+    def _hot_strings(self, settled: list[tuple[int, int, int, int]]) -> dict[tuple[bytes, int], list[tuple[int, int, int]]]:
+        """The strings of the hot contexts that are asked about; the others go to ``settled``."""
+        strings: dict[tuple[bytes, int], list[tuple[int, int, int]]] = {}
+        for (context, _), places in self.hot.items():
+            least = min(places)[0]
+            for doc, tag, start in places:
+                if doc > least:
+                    settled.append((doc, tag, start, start + len(context)))
+                    continue
+                for k in range(len(context) - LENGTH + 1):
+                    strings.setdefault((context[k: k + LENGTH], BY_STRING), []).append((doc, tag, start + k))
+        return strings
+
     def flush(self) -> pa.RecordBatch:
         settled, asked = [], {}
-        for (context, lead), places in self.seen.items():
+        strings = self._hot_strings(settled)
+        for (context, lead), places in itertools.chain(self.seen.items(), strings.items()):
             least = min(places)[0]
-            cell = zlib.crc32(context[lead: lead + CORE]) % self.count
+            cell = zlib.crc32(_met_by(context, lead)) % self.count
             for doc, tag, start in places:
                 if doc > least:
                     settled.append((doc, tag, start, start + len(context)))
                 else:
                     asked.setdefault(cell, []).append((doc, tag, start, lead, len(context), context))
+        if strings:
+            settled = _joined_spans(settled)
         rows = []
         for cell, items in asked.items():
             doc, tag, start, lead, size, contexts = zip(*sorted(items))
@@ -214,7 +261,7 @@ class _Contexts:
         if settled:
             doc, *rest = np.array(sorted(settled), np.int64).T
             rows += _settled((doc, *[c.astype(np.uint32) for c in rest]), self.count)
-        self.seen, self.size = {}, 0
+        self.seen, self.hot, self.size = {}, {}, 0
         return _cell_rows(rows)
 
 
@@ -265,7 +312,7 @@ def _repeated_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             raw, at = zstandard.ZstdDecompressor().decompress(body[4 + n:]), 0
             for d, t, s, x, z in zip(doc, tag, start, lead, size):
                 context = raw[at: at + z]
-                by_core.setdefault(context[x: x + CORE], []).append((d, t, s, x, context))
+                by_core.setdefault(_met_by(context, x), []).append((d, t, s, x, context))
                 at += z
         for items in by_core.values():
             spans += _spans_of(items)
@@ -301,7 +348,7 @@ def first_ranks(docs: DataFrame, key: str, text: str, count: int) -> DataFrame:
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in bounded_batches(batches, 2):
             data, bounds = _buffers(batch.column(2))
             ids = batch.column(0).to_numpy()
             core, place, _, _ = anchors(data, bounds)
@@ -320,8 +367,40 @@ def first_ranks(docs: DataFrame, key: str, text: str, count: int) -> DataFrame:
     return rows.filter((F.length("body") >= LENGTH) & F.col("key").isNotNull()).mapInArrow(rank, CELL_ROW)
 
 
-def contexts(joined: DataFrame, count: int) -> DataFrame:
-    """CELL_ROW from (key, tag, z, places): the contexts of the anchors at ``places``."""
+def hot_cores(docs: DataFrame, key: str, text: str) -> np.ndarray:
+    """The sorted ranks of the cores with HOT_SAMPLED or more different contexts in a sample.
+
+    Pieces are sampled, not documents, so one long document counts too. A core with many times
+    SAMPLE_ONE_IN * HOT_SAMPLED contexts is all but surely among them.
+    """
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = _buffers(batch.column(0))
+            core, _, first, last = anchors(data, bounds)
+            raw = data.tobytes()
+            crc = [zlib.crc32(raw[lo: hi + LENGTH]) for lo, hi in zip(first.tolist(), last.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(crc, pa.int64())], ["core", "crc"])
+
+    picked = F.filter(F.sequence(F.lit(0), F.floor((F.length("body") - 1) / SAMPLE_PIECE).cast("int")), lambda i: F.pmod(
+        F.xxhash64("key", F.length("body"), i), F.lit(SAMPLE_ONE_IN)) == 0)
+    rows = _bodies(docs, key, text).select("key", "body").filter((F.length("body") >= LENGTH) & F.col("key").isNotNull())
+    pieces = rows.select("body", F.explode(picked).alias("i")).select(
+        F.substring("body", F.col("i") * SAMPLE_PIECE + 1, F.lit(SAMPLE_PIECE + LENGTH - 1)).alias("piece"))
+    counts = pieces.mapInArrow(pairs, "core long, crc long").distinct().groupBy("core").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.filter(F.col("n") >= HOT_SAMPLED).select("core").toArrow().column("core").to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def contexts(joined: DataFrame, count: int, hot: np.ndarray) -> DataFrame:
+    """CELL_ROW from (key, tag, z, places): the contexts of the anchors at ``places``, by string where the core is ``hot``."""
+    known = joined.sparkSession.sparkContext.broadcast(hot)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Contexts(count)
@@ -341,11 +420,13 @@ def contexts(joined: DataFrame, count: int) -> DataFrame:
                 for k in range(len(texts)):
                     mine = places[begun + k].values.to_numpy()
                     wanted[bounds[k] + mine[mine < len(texts[k])]] = True  # rows that share an id share their places
-                _, place, first, last = anchors(np.frombuffer(data, np.uint8), bounds)
+                core, place, first, last = anchors(np.frombuffer(data, np.uint8), bounds)
                 good = wanted[place]
                 doc = np.searchsorted(bounds, first[good], "right") - 1
-                for d, p, lo, hi in zip(doc.tolist(), place[good].tolist(), first[good].tolist(), last[good].tolist()):
-                    held.add(data[lo: hi + LENGTH], p - lo, ids[begun + d], tags[begun + d], lo - int(bounds[d]))
+                for d, p, lo, hi, h in zip(doc.tolist(), place[good].tolist(), first[good].tolist(), last[good].tolist(),
+                                           _among(core[good], known.value).tolist()):
+                    add = held.add_hot if h else held.add
+                    add(data[lo: hi + LENGTH], p - lo, ids[begun + d], tags[begun + d], lo - int(bounds[d]))
                     if held.size >= FLUSH_CONTEXTS:
                         yield held.flush()
                 texts, begun, size = [], i + 1, 0
@@ -355,15 +436,20 @@ def contexts(joined: DataFrame, count: int) -> DataFrame:
     return joined.select("key", "tag", "z", "places").mapInArrow(rank, CELL_ROW)
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, dtag, start, stop) in bytes of the strings that also start in an earlier document; overlaps are not merged."""
+def string_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """CELL_ROW: what is left to compare of the anchors whose core occurs in several documents, by cell."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     count = max(1, -(-total // CELL_BYTES))
     by_cell = lambda rows: rows.repartition("cell").sortWithinPartitions("cell")
     places = (by_cell(first_ranks(docs, key, text, count)).mapInArrow(_repeated_cores, "doc long, place int")
               .groupBy("doc").agg(F.collect_set("place").alias("places")))
     joined = packed_texts(docs, key, text).join(places, F.col("key") == F.col("doc"))
-    return by_cell(contexts(joined, count)).mapInArrow(_repeated_strings, "doc long, dtag long, start int, stop int")
+    return by_cell(contexts(joined, count, hot_cores(docs, key, text)))
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, dtag, start, stop) in bytes of the strings that also start in an earlier document; overlaps are not merged."""
+    return string_cells(docs, key, text).mapInArrow(_repeated_strings, "doc long, dtag long, start int, stop int")
 
 
 def _kept(data: bytes, spans: list[dict]) -> tuple[bytes, int, int]:

@@ -114,6 +114,26 @@ def test_removed_bytes_match_brute_force(spark, nothing, monkeypatch):
     assert X.without_repeats(nothing).count() == 0
 
 
+def test_contexts_of_a_hot_core_do_not_meet_in_one_group(spark, monkeypatch):
+    shared = prose(77, 20)
+    rows = [(i, f"{prose(5000 + i, 4, 9000)}{shared}{prose(7000 + i, 12, 9000)}") for i in range(90)] + suffix_rows()[-12:]
+    docs = docs_frame(spark, rows)
+    assert len(X.hot_cores(docs, "doc_id", "text")) == 0  # too few documents for the default
+    sizes, spans_of = [], X._spans_of
+    monkeypatch.setattr(X, "SAMPLE_ONE_IN", 1)
+    for flush in (1 << 20, 100):
+        monkeypatch.setattr(X, "FLUSH_CONTEXTS", flush)
+        assert 1 <= len(X.hot_cores(docs, "doc_id", "text")) <= 20
+        got = X.without_repeats(docs).collect()
+        assert sorted(map(str, ((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got))) == \
+            sorted(map(str, brute_removal(rows)))
+    monkeypatch.setattr(X, "FLUSH_CONTEXTS", 1 << 20)
+    cells = X.string_cells(docs, "doc_id", "text").coalesce(1).sortWithinPartitions("cell").toArrow()
+    monkeypatch.setattr(X, "_spans_of", lambda items: sizes.append(len({x[4] for x in items})) or spans_of(items))
+    list(X._repeated_strings(iter(cells.to_batches())))
+    assert max(sizes) < X.HOT_SAMPLED
+
+
 def test_anchors_cover_every_string_in_chunks(monkeypatch):
     data = np.frombuffer(prose(4, 900).encode(), np.uint8)
     bounds = np.array([0, 10, 1000, 1049, 1100, len(data)])
