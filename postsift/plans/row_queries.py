@@ -135,6 +135,13 @@ def extract_by_label(spark, sf):
     return M.extract_by_label(mail, M.resolve_labels(M.label_dictionary(spark), _mailbox(mail)), 20).select("label", "message_id")
 
 
+@register("extract_by_label_all", with_ctes(*_LABELS, select=(
+    "SELECT canonical AS label, message_id FROM ids JOIN resolved ON ids.label_id = resolved.label_id")))
+def extract_by_label_all(spark, sf):
+    mail = X.emails(spark, sf)
+    return M.extract_by_label(mail, M.resolve_labels(M.label_dictionary(spark), _mailbox(mail))).select("label", "message_id")
+
+
 @register("append_new", with_ctes(O.EMAILS_CTE, select="SELECT message_id, subject FROM emails WHERE label = ''"))
 def append_new(spark, sf):
     mail = X.emails(spark, sf)
