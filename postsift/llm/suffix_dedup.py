@@ -1,7 +1,8 @@
-"""Removal of repeated byte strings by prefix doubling over sampled suffixes.
+"""Removal of repeated byte strings by winnowing: anchors of least hash, then contexts, then strings.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. Suffixes are
-ranked by growing prefixes, and a suffix leaves the sort as soon as its rank is unique:
+A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. This takes the
+place of prefix doubling in Spark: there are no rounds of growing offset, doubling only builds the hash of CORE bytes.
+An anchor is done as soon as its core occurs in one document only:
 
 1. Every string of LENGTH bytes is represented by its anchor, the place in it where the hash of CORE bytes (built by
    doubling) is least; equal strings have equal anchors, so one suffix in thirteen or so need be sorted. Anchors are
