@@ -72,3 +72,42 @@ counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
 SELECT doc_id, class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links
 FROM documents JOIN classes ON doc_id = node LEFT JOIN counts ON doc_id = u
 """
+
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) r WHERE rank <= 5
+"""
+
+TRIE = r"""
+WITH RECURSIVE t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    sha256(concat(length(coalesce(role, '')), ':', role, text))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t),
+crc(conv_id, s, i, v) AS (SELECT conv_id, s, 0, CAST(4294967295 AS BIGINT) FROM ids
+    UNION ALL SELECT conv_id, s, i + 1, CASE WHEN w & 1 = 1 THEN xor(w >> 1, 3988292384) ELSE w >> 1 END
+    FROM (SELECT conv_id, s, i, CASE WHEN i % 8 = 0 THEN xor(v, CAST(ascii(substr(s, i // 8 + 1, 1)) AS BIGINT)) ELSE v END AS w
+        FROM crc WHERE i < 8 * length(s)) b),
+cut AS (SELECT conv_id, xor(v, 4294967295) % 9 AS h FROM crc WHERE i = 8 * length(s)),
+rebuilt AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS pos FROM (
+    SELECT c.conv_id, 0 AS part, pos, role, text FROM cut c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 WHERE pos <= h
+    UNION ALL SELECT c.conv_id, 1, pos, role, text FROM cut c JOIN t ON t.conv_id = c.conv_id WHERE pos > h) u),
+pre(conv_id, d, k, up, bytes) AS (SELECT conv_id, CAST(0 AS BIGINT), '', '', CAST(0 AS BIGINT) FROM ids
+    UNION ALL SELECT p.conv_id, d + 1, md5(concat(k, length(role), ':', role, text)), k, CAST(strlen(text) AS BIGINT)
+    FROM pre p JOIN rebuilt r ON r.conv_id = p.conv_id AND r.pos = p.d + 1),
+nodes AS (SELECT k, any_value(d) AS depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes
+    FROM pre GROUP BY k),
+kids AS (SELECT up, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up),
+below AS (SELECT DISTINCT a.k AS top, b.k AS k FROM pre a JOIN pre b ON a.conv_id = b.conv_id AND a.d <= b.d),
+sums AS (SELECT top, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * bytes) AS BIGINT) AS saved_tokens
+    FROM below JOIN nodes USING (k) LEFT JOIN kids ON kids.up = nodes.k GROUP BY top),
+lasts AS (SELECT conv_id, arg_max(k, d) AS k FROM pre GROUP BY conv_id),
+ends AS (SELECT k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS e FROM lasts GROUP BY k)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+    sha256(coalesce(e, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.k = n.up LEFT JOIN kids ON kids.up = n.k JOIN sums ON sums.top = n.k
+LEFT JOIN ends ON ends.k = n.k
+"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.llm import decontam, jaccard_join, langid, oracle_sql, packing, quality, secrets, suffix_dedup, toxicity, url_filter, warc
+from postsift.llm import (decontam, jaccard_join, langid, oracle_sql, packing, prefix_trie, quality, secrets, structure_repair, suffix_dedup,
+                          topk_search, toxicity, url_filter, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,3 +100,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op11_topk_search", oracle_sql.TOP_K)
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(topk_search.quantised(table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
+
+
+@register("op12_prefix_trie", oracle_sql.TRIE)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.digests(table(spark, sf_dir, "conversations"))))
+
+
+@register("op13_structure_repair")
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repaired(structure_repair.damaged(table(spark, sf_dir, "conversations")))
