@@ -10,13 +10,19 @@ from postsift.functions import text as T
 from postsift.operators.rows import keep_one
 from postsift.schemas import LABEL_ANSWER, LABEL_RESPONSE
 
-def existing_ids(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("message_id") != "").select("message_id").distinct()
 
+def existing_ids(df: DataFrame, keys: list[str] = ("message_id",)) -> DataFrame:
+    """The distinct keys of rows with an id, which is the last key."""
+    return df.filter(F.col(keys[-1]) != "").select(*keys).distinct()
 
-def pending_records(df: DataFrame, done: DataFrame, limit: int | None = None) -> DataFrame:
-    """Rows whose id is not in ``done``, in order; a missing id is always pending."""
-    pending = df.join(existing_ids(done), "message_id", "left_anti")
+
+def pending_records(df: DataFrame, done: DataFrame, limit: int | None = None, keys: list[str] = ("message_id",)) -> DataFrame:
+    """Rows whose key is not in ``done``, in order; a missing id is always pending."""
+    known = existing_ids(done, keys).select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = F.col(keys[-1]) == F.col(f"__{keys[-1]}")
+    for key in keys[:-1]:
+        same = same & F.col(key).eqNullSafe(F.col(f"__{key}"))
+    pending = df.join(known, same, "left_anti")
     return pending if limit is None else pending.orderBy("seq").limit(limit)
 
 

@@ -243,16 +243,20 @@ def stream_rules_gate(spark, sf):
     return spark.read.parquet(out)
 
 
-@register("stream_dedupe", "SELECT DISTINCT event_type AS account, CAST(user_id AS VARCHAR) AS message_id FROM events")
+@register("stream_dedupe", """
+SELECT DISTINCT event_type AS account, CAST(user_id AS VARCHAR) AS message_id, CAST(NULL AS VARCHAR) AS row FROM events WHERE user_id % 50 <> 0
+UNION ALL SELECT event_type, NULL, CAST(event_id AS VARCHAR) FROM events WHERE user_id % 50 = 0""")
 def stream_dedupe(spark, sf):
+    """Some events have no id: all of them pass, and ``row`` tells them apart."""
     out, state = scratch_path(spark, "deduped"), scratch_path(spark, "state")
+    missing = F.col("user_id") % 50 == 0
     # Four files, one per micro-batch, dealt by a hash: old dates come late and keys recur in later batches.
     events = X.table(spark, sf, "events").select(
-        F.col("event_type").alias("account"), F.col("user_id").cast("string").alias("message_id"),
-        F.col("ts").cast("timestamp").alias("event_time"))
-    landed, folder = write_stage(events.repartition(4, F.xxhash64("account", "message_id", "event_time")), "events")
-    ST.append_unseen(ST.read_stream(spark, folder, landed.schema, max_files=1).select("account", "message_id", "event_time"), out, state)
-    return spark.read.parquet(out).select("account", "message_id")
+        F.col("event_type").alias("account"), F.when(~missing, F.col("user_id").cast("string")).alias("message_id"),
+        F.when(missing, F.col("event_id").cast("string")).alias("row"))
+    landed, folder = write_stage(events.repartition(4, F.xxhash64("account", "message_id", "row")), "events")
+    ST.append_unseen(ST.read_stream(spark, folder, landed.schema, max_files=1), out, state)
+    return spark.read.parquet(out).select("account", "message_id", "row")
 
 
 @register("stream_row_parity", with_ctes(O.EMAILS_CTE, select=(

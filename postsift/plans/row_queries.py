@@ -20,13 +20,34 @@ THREADS_CTE = f"threads AS ({X.duck(X.THREAD_MAIL)})"
 
 
 @register("scan_emails", with_ctes(O.EMAILS_CTE, select=(
-    "SELECT message_id, account, subject, sender, internal_date, md5(text) AS text_md5, label, label_ids_csv FROM emails")))
+    "SELECT message_id, account, subject, sender, internal_date, md5(text) AS text_md5, label, label_ids_csv, "
+    "CASE WHEN seq % 2 = 0 THEN concat('{\"importance\":', seq % 5, ',\"read\":true}') END AS extra_fields FROM emails")))
 def scan_emails(spark, sf):
+    """Half of the messages hold fields that the schema does not know; they are written and read again with the rest."""
     path = scratch_path(spark, "scan")
-    M.write_jsonl(X.emails(spark, sf).drop("seq", "confidence"), path)
+    more = F.concat(F.lit('{"importance":'), (F.col("seq") % 5).cast("string"), F.lit(',"read":true}'))
+    M.write_jsonl(X.emails(spark, sf).withColumn(M.EXTRA, F.when(F.col("seq") % 2 == 0, more)).drop("seq", "confidence"), path)
     return M.read_emails(spark, [path]).select(
         "message_id", "account", "subject", F.col("from").alias("sender"), "internal_date", F.md5("text").alias("text_md5"),
-        "label", F.array_join("label_ids", ",").alias("label_ids_csv"))
+        "label", F.array_join("label_ids", ",").alias("label_ids_csv"), M.EXTRA)
+
+
+# Mail in id order, in two folders; the later ids are the second folder's.
+_NUMBERED = ("SELECT message_id, (row_number() OVER (PARTITION BY later ORDER BY seq) - 1) AS line, later AS folder FROM "
+             "(SELECT *, CASE WHEN seq % 3 = 0 THEN 1 ELSE 0 END AS later FROM emails) e")
+
+
+@register("line_numbers", with_ctes(O.EMAILS_CTE, select=_NUMBERED))
+def line_numbers(spark, sf):
+    """Numbers kept by a manifest: the second folder is listed after the first is numbered, and comes first by name."""
+    base = scratch_path(spark, "numbered")
+    mail = X.emails(spark, sf).select("seq", "message_id")
+    for folder, rows in ((f"{base}/z", F.col("seq") % 3 != 0), (f"{base}/a", F.col("seq") % 3 == 0)):
+        ordered = mail.filter(rows).repartition(1).sortWithinPartitions("seq")
+        ordered.select(F.to_json(F.struct("message_id")).alias("value")).write.text(folder)
+        found = M.read_emails(spark, [f"{base}/z"] if folder.endswith("z") else [f"{base}/a", f"{base}/z"], manifest=f"{base}/manifest")
+    return found.select("message_id", F.col("seq").bitwiseAND(F.lit((1 << M.LINE_BITS) - 1)).alias("line"),
+                        F.shiftright("seq", M.LINE_BITS).alias("folder"))
 
 
 @register("existing_ids", with_ctes(THREADS_CTE, select="SELECT DISTINCT message_id FROM threads WHERE message_id <> ''"))
@@ -89,8 +110,15 @@ def _mailbox(mail: DataFrame) -> DataFrame:
 _OTHER = "(account IN ('src1', 'src3', 'src5', 'src7', 'src9', 'src11', 'src13', 'src15', 'src17', 'src19'))"
 
 
+def mailbox_labels(mail: DataFrame) -> DataFrame:
+    """(account, label_id, name): the labels that an account's messages carry, each mailbox with its own rows."""
+    carried = mail.select("account", F.explode("label_ids").alias("label_id")).distinct()
+    names = _mailbox(mail).withColumnRenamed("label_id", "__id")
+    return carried.join(names, F.col("label_id") == F.col("__id")).drop("__id")
+
+
 def _account_labels(mail: DataFrame) -> DataFrame:
-    named = mail.select("account").distinct().crossJoin(F.broadcast(_mailbox(mail)))  # a handful of labels
+    named = mailbox_labels(mail)
     other = F.expr(_OTHER)
     return named.withColumn("name", F.when(other, F.concat(F.col("name"), F.lit(" 2"))).otherwise(F.col("name"))).filter(
         other | (F.col("label_id") != "L_ready"))
@@ -142,6 +170,20 @@ def extract_by_label_all(spark, sf):
     return M.extract_by_label(mail, M.resolve_labels(M.label_dictionary(spark), _mailbox(mail))).select("label", "message_id")
 
 
+# Both halves of a two-account export use the same ids; one account's mail is stored.
+_TWO = ("two AS (SELECT message_id, 'old' AS account, seq FROM emails WHERE label <> '' UNION ALL "
+        "SELECT message_id, 'new', seq FROM emails)")
+
+
+@register("append_new_accounts", with_ctes(O.EMAILS_CTE, _TWO, select=(
+    "SELECT account, message_id FROM two WHERE NOT (account = 'old')")))
+def append_new_accounts(spark, sf):
+    mail, keys = X.emails(spark, sf), ["account", "message_id"]
+    old = mail.filter(F.col("label") != "").withColumn("account", F.lit("old"))
+    both = old.unionByName(mail.withColumn("account", F.lit("new")))
+    return M.append_new(both, L.existing_ids(old, keys), keys=keys).select(*keys)
+
+
 @register("append_new", with_ctes(O.EMAILS_CTE, select="SELECT message_id, subject FROM emails WHERE label = ''"))
 def append_new(spark, sf):
     mail = X.emails(spark, sf)

@@ -123,20 +123,70 @@ def test_streams_do_not_repeat_rows(spark, tmp_path):
     mail = spark.createDataFrame([("a", "1", "1704067200000"), ("a", "2", "1704067260000"), ("a", "1", "1704067320000")],
                                  "account string, message_id string, internal_date string")
     mail.coalesce(1).write.parquet(source)
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
     def run():
-        ST.append_unseen(ST.event_time(ST.read_stream(spark, source, mail.schema)), out, state)
-        return spark.read.parquet(out).count()
+        query = ST.append_unseen(ST.event_time(ST.read_stream(spark, source, mail.schema)), out, state)
+        progress = [p for p in query.recentProgress if p["numInputRows"]]
+        return spark.read.parquet(out).count(), progress
 
-    assert run() == 2
-    assert run() == 2
+    assert run()[0] == 2
+    assert run()[0] == 2 and spark.conf.get("spark.sql.streaming.stateStore.providerClass") == store
     mail.coalesce(1).write.mode("append").parquet(source)
-    assert run() == 2
-    # Mail from long ago is not too late, and a key that comes again much later is still known.
-    late = [("a", "3", "1600000000000"), ("a", "1", "1800000000000"), ("a", None, "1800000000000"), ("a", None, "1600000000000")]
+    assert run()[0] == 2
+    # Mail from long ago is not too late, a key that comes again much later is still known, and mail without an id all passes.
+    late = [("a", "3", "1600000000000"), ("a", "1", "1800000000000"), ("a", None, "1800000000000"), ("a", None, "1600000000000"),
+            ("a", "", "1600000000000"), (None, "1", "1600000000000"), (None, "1", "1700000000000")]
     spark.createDataFrame(late, mail.schema).coalesce(1).write.mode("append").parquet(source)
-    assert run() == 4
-    assert run() == 4
+    rows, progress = run()
+    assert rows == 7
+    # A batch reads what came and looks keys up in the state, whatever was stored before; it goes through the input twice.
+    assert sum(p["numInputRows"] for p in progress) <= 2 * len(late)
+    assert "RocksDB" in str(progress[-1]["stateOperators"][0]["customMetrics"]) or "rocksdb" in str(progress[-1]["stateOperators"][0]["customMetrics"])
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 4
+    assert run()[0] == 7
+
+
+def test_line_numbers_do_not_hang_on_splits_or_later_files(spark, tmp_path):
+    folder, manifest = tmp_path / "in", str(tmp_path / "manifest")
+    folder.mkdir()
+    for name in ("b", "d"):
+        lines = [json.dumps({"message_id": f"{name}{i}", **({"size": i, "tag": {"k": [1, "2"]}} if i % 2 else {})}) for i in range(900)]
+        (folder / f"{name}.jsonl").write_text("\n\n".join(lines) + "\n", encoding="utf-8")
+    (folder / "empty.jsonl").write_text("", encoding="utf-8")
+
+    def read():
+        return {r["message_id"]: (r["seq"], r["extra_fields"]) for r in M.read_emails(spark, [str(folder)], manifest=manifest).collect()}
+
+    first = read()
+    assert first["b0"] == (0, None) and first["b1"] == (2, '{"size":1,"tag":{"k":[1,"2"]}}') and first["b899"][0] == 2 * 899
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "4096")
+        spark.conf.set(names[1], "512")
+        assert read() == first
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    (folder / "a.jsonl").write_text('{"message_id":"new"}\n', encoding="utf-8")
+    again = read()
+    # The empty file has no number yet, and the new one comes third although its name is the first.
+    assert again.pop("new")[0] >> M.LINE_BITS == 2 and again == first
+    out = str(tmp_path / "out")
+    M.write_jsonl(M.read_emails(spark, [str(folder)]).drop("seq"), out)
+    assert {r["message_id"]: r["extra_fields"] for r in M.read_emails(spark, [out]).collect()}["d3"] == first["d3"][1]
+
+
+def test_two_accounts_may_use_one_id(spark, tmp_path):
+    keys, schema = ["account", "message_id"], "seq long, account string, message_id string"
+    stored = spark.createDataFrame([(1, "a", "1"), (2, None, "2"), (3, "a", None)], schema)
+    new = spark.createDataFrame([(4, "a", "1"), (5, "b", "1"), (6, None, "2"), (7, "b", None), (8, "a", "2")], schema)
+    known = L.existing_ids(stored, keys)
+    assert {r["seq"] for r in M.append_new(new, known, keys=keys).collect()} == {5, 7, 8}
+    assert {r["seq"] for r in M.append_new(new, L.existing_ids(stored)).collect()} == {7}
+    assert {r["seq"] for r in L.pending_records(new, stored, keys=keys).collect()} == {5, 7, 8}
+    assert M.write_new(new, known, str(tmp_path / "mail"), keys=keys) == {"exported": 3, "skipped": 2}
 
 
 def test_report_counts_labels_nobody_saw(spark):
@@ -165,9 +215,10 @@ def test_spam_and_trash_stay_out(spark):
 def test_parts_of_any_depth_are_found(spark):
     def message(depth):
         part = {"mimeType": "text/plain", "body": {"data": base64.urlsafe_b64encode(b"deep").decode()}}
+        odd = [None, 7, "x", {"parts": 3, "body": [1]}] if depth > 6 else [None]  # above, parts are read with a schema
         first = {"mimeType": "text/plain", "body": {"data": base64.urlsafe_b64encode(b"first").decode()}}
         for level in range(depth):
-            part = {"mimeType": "multipart/mixed", "parts": [first, part] if level == 0 else [part]}
+            part = {"mimeType": "multipart/mixed", "parts": [first, *odd, part] if level == 0 else [part]}
         return json.dumps({"id": str(depth), "payload": {"mimeType": "multipart/mixed", "headers": [], "parts": [part]}})
 
     raw = spark.read.schema(raw_message(M.PART_DEPTH)).json(spark.sparkContext.parallelize([message(d) for d in (1, 4, 5, 6, 7, 9, 30)]))
