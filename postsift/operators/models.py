@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel
-from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, NGram, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,11 +14,19 @@ from pyspark.sql import functions as F
 
 from postsift.functions.arrays import l2_normalize
 from postsift.operators.features import TextFeatures, fit_text_features
+from postsift.operators.rows import keep_one, labelled_only
 from postsift.operators.scoring import softmax, topk
 
-NGRAM_BUCKETS = 1 << 18
+#: N-grams that a model knows at the most.
+MAX_NGRAMS = 1 << 18
 #: Gradients of many partitions are summed in this many steps before they reach the driver.
 AGGREGATION_DEPTH = 3
+#: Doublings of the iterations before a fit counts as failed.
+EFFORTS = 8
+#: Rows of a task in training, at least.
+ROWS_PER_TASK = 2000
+#: One-vs-rest models that are fitted at a time.
+PARALLEL_FITS = 4
 
 
 def label_index(labels: list[str], c: Column) -> Column:
@@ -42,37 +50,93 @@ def class_weights(df: DataFrame, labels: list[str]) -> DataFrame:
     return df.join(F.broadcast(weighted), F.col("label") == F.col("__l")).drop("__l")
 
 
-def fit_logistic(df: DataFrame, labels: list[str], c: float, max_iter: int, balanced: bool):
+def _gathered(data: DataFrame, rows: int) -> DataFrame:
+    """``data`` in as few tasks as its rows need: every task sends a gradient of all coefficients in every iteration."""
+    return data.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
+def examples(df: DataFrame, text: str | None = None, keys: list[str] = ("account", "message_id")) -> DataFrame:
+    """What a trainer may learn from: rows with a label and with text, the first of each key.
+
+    Keys are compared null-safe, so mail without an id is one example a mailbox; ``keys=()`` keeps repeated rows.
+    """
+    usable = labelled_only(df)
+    if text is not None:
+        usable = usable.filter(F.col(text) != "")
+    return keep_one(usable, list(keys)) if keys else usable
+
+
+def _surplus(model, data: DataFrame, classes: int, weight: Column) -> float:
+    """The largest difference, over the classes, of summed probability and rows.
+
+    The intercept is free of penalty, so its gradient is this difference, and zero at the optimum.
+    """
+    scored = model.transform(data)
+    if "probability" in scored.columns and not isinstance(model, OneVsRestModel):
+        probability = vector_to_array(F.col("probability"))
+    else:
+        probability = F.transform(vector_to_array(F.col("rawPrediction")), lambda m: 1 / (1 + F.exp(-m)))
+    scored = scored.select(probability.alias("p"), "label_index", weight.alias("w"))
+    sums = scored.agg(*[F.sum(F.col("w") * (F.get("p", F.lit(k)) - (F.col("label_index") == k).cast("double"))).alias(f"s{k}")
+                        for k in range(classes)]).first()
+    return max(abs(s or 0.0) for s in sums)
+
+
+def fit_certified(estimator, data: DataFrame, classes: int, rows: int, first_iter: int, weight: Column | None = None):
+    """Fits with growing effort until every class's summed probability equals its rows.
+
+    Iterations double and the solver's own tolerance falls tenfold, so all fits together cost about twice the last one.
+    The certificate allows a quarter of a row, or a millionth of all rows where that is more.
+    """
+    solver = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
+    allowed, effort, tolerance = max(0.25, 1e-6 * rows), first_iter, 1e-6
+    for _ in range(EFFORTS):
+        solver.setMaxIter(effort).setTol(tolerance)
+        model = estimator.fit(data)
+        if _surplus(model, data, classes, F.lit(1.0) if weight is None else weight) <= allowed:
+            return model
+        effort, tolerance = 2 * effort, tolerance / 10
+    raise RuntimeError(f"the fit did not settle in {effort} iterations")
+
+
+def fit_logistic(df: DataFrame, labels: list[str], c: float, first_iter: int, balanced: bool):
     """Multinomial L2 logistic regression; the penalty follows C through 1 / (C * weight sum)."""
     rows = df.count()
-    lr = LogisticRegression(featuresCol="features", labelCol="label_index", family="multinomial", maxIter=max_iter, tol=1e-6,
-                            elasticNetParam=0.0, standardization=False, aggregationDepth=AGGREGATION_DEPTH,
-                            regParam=1.0 / (c * max(rows, 1)))
+    lr = LogisticRegression(featuresCol="features", labelCol="label_index", family="multinomial", elasticNetParam=0.0,
+                            standardization=False, aggregationDepth=AGGREGATION_DEPTH, regParam=1.0 / (c * max(rows, 1)))
     data = df.withColumn("label_index", label_index(labels, F.col("label")))
     if balanced:
         data, lr = class_weights(data, labels), lr.setWeightCol("class_weight")
-    return lr.fit(data)
+    return fit_certified(lr, data, len(labels), rows, first_iter, F.col("class_weight") if balanced else None)
 
 
 @dataclass
 class NgramFeatures:
-    """Hashed word n-grams, n = 1..word_n."""
+    """Counts of known word n-grams, n = 1..word_n; the vocabulary is what the training rows hold."""
 
     word_n: int
-    buckets: int
+    vocabulary: CountVectorizerModel
 
-    def transform(self, df: DataFrame, column: str) -> DataFrame:
+    @staticmethod
+    def _grams(df: DataFrame, column: str, word_n: int) -> DataFrame:
         df = RegexTokenizer(inputCol=column, outputCol="__g1", pattern=r"\s+", toLowercase=False).transform(df)
-        grams = [F.col("__g1")]
-        for n in range(2, self.word_n + 1):
+        for n in range(2, word_n + 1):
             df = NGram(n=n, inputCol="__g1", outputCol=f"__g{n}").transform(df)
-            grams.append(F.col(f"__g{n}"))
-        df = df.withColumn("__grams", F.concat(*grams))
-        df = HashingTF(inputCol="__grams", outputCol="features", numFeatures=self.buckets).transform(df)
-        return df.drop("__grams", *[f"__g{n}" for n in range(1, self.word_n + 1)])
+        grams = [f"__g{n}" for n in range(1, word_n + 1)]
+        return df.withColumn("__grams", F.concat(*grams)).drop(*grams)
+
+    @classmethod
+    def fit(cls, df: DataFrame, column: str, word_n: int, min_rows: int, size: int) -> NgramFeatures:
+        """The ``size`` most frequent n-grams of at least ``min_rows`` rows; no more than that reaches the driver."""
+        vectorizer = CountVectorizer(inputCol="__grams", outputCol="features", vocabSize=size, minDF=float(min_rows))
+        return cls(word_n, vectorizer.fit(cls._grams(df, column, word_n).select("__grams")))
+
+    def transform(self, df: DataFrame, column: str) -> DataFrame:
+        return self.vocabulary.transform(self._grams(df, column, self.word_n)).drop("__grams")
 
     def save(self, path: str) -> dict:
-        return {"kind": "ngram", "word_n": self.word_n, "buckets": self.buckets}
+        self.vocabulary.write().overwrite().save(f"{path}/vocabulary")
+        return {"kind": "ngram", "word_n": self.word_n}
 
 
 @dataclass
@@ -133,56 +197,67 @@ def load_classifier(spark: SparkSession, path: str) -> Classifier:
     kind = made.pop("kind")
     if kind == "tfidf":
         features = TextFeatures(spark.read.parquet(f"{path}/vocabulary"), **made)
+    elif kind == "ngram":
+        features = NgramFeatures(made["word_n"], CountVectorizerModel.load(f"{path}/vocabulary"))
     else:
-        features = {"ngram": NgramFeatures, "embedding": EmbeddingFeatures}[kind](**made)
+        features = EmbeddingFeatures()
     reader = OneVsRestModel if about["ova"] else LogisticRegressionModel
     return Classifier(reader.load(f"{path}/model"), about["labels"], features)
 
 
-def train_tfidf(train: DataFrame, text: str = "training_text", c: float = 4.0, max_iter: int = 2000, balanced: bool = False,
-                word_n: int = 2, char_n: int = 5, min_df: int = 2, max_features: int = 120_000) -> Classifier:
-    train = train.filter(F.col(text) != "")
+def train_tfidf(train: DataFrame, text: str = "training_text", c: float = 4.0, first_iter: int = 100, balanced: bool = False,
+                word_n: int = 2, char_n: int = 5, min_df: int = 2, max_features: int = 120_000,
+                keys: list[str] = ("account", "message_id")) -> Classifier:
+    train = examples(train, text, keys)
     labels = known_labels(train)
     fitted: TextFeatures = fit_text_features(train, text, word_n, char_n, min_df, max_features)
-    data = fitted.transform(train.select("seq", "label", text), text).select("label", "features").persist()
+    data = _gathered(fitted.transform(train.select("seq", "label", text), text).select("label", "features"), train.count()).persist()
     try:
-        model = fit_logistic(data, labels, c, max_iter, balanced)
+        model = fit_logistic(data, labels, c, first_iter, balanced)
     finally:
         data.unpersist()
     return Classifier(model, labels, fitted)
 
 
 def train_ngram(train: DataFrame, text: str = "training_text", loss: str = "softmax", word_n: int = 2, c: float = 4.0,
-                max_iter: int = 35, buckets: int = NGRAM_BUCKETS) -> Classifier:
-    """Linear model over hashed word n-grams; ``loss`` is "softmax" or "ova" (one model per label)."""
+                first_iter: int = 100, min_rows: int = 2, size: int = MAX_NGRAMS, keys: list[str] = ("account", "message_id")) -> Classifier:
+    """Linear model over word n-gram counts; ``loss`` is "softmax" or "ova" (one model per label).
+
+    N-grams of a single row say nothing about others and make most of the coefficients; ``min_rows=1`` keeps them.
+    """
     if loss not in ("softmax", "ova"):
         raise ValueError(f"unsupported loss: {loss}")
-    train = train.filter(F.col(text) != "")
+    train = examples(train, text, keys)
     labels = known_labels(train)
 
-    features = NgramFeatures(word_n, buckets)
-    data = features.transform(train.select("label", text), text).select("label", "features").persist()
+    features = NgramFeatures.fit(train, text, word_n, min_rows, size)
+    data = _gathered(features.transform(train.select("label", text), text).select("label", "features"), train.count()).persist()
     try:
         if loss == "softmax":
-            model = fit_logistic(data, labels, c, max_iter, False)
+            model = fit_logistic(data, labels, c, first_iter, False)
         else:
-            binary = LogisticRegression(featuresCol="features", labelCol="label_index", maxIter=max_iter, standardization=False,
-                                        regParam=1.0 / (c * max(data.count(), 1)))
-            model = OneVsRest(classifier=binary, featuresCol="features", labelCol="label_index", parallelism=len(labels)).fit(
-                data.withColumn("label_index", label_index(labels, F.col("label"))))
+            rows = data.count()
+            binary = LogisticRegression(featuresCol="features", labelCol="label_index", standardization=False,
+                                        aggregationDepth=AGGREGATION_DEPTH, regParam=1.0 / (c * max(rows, 1)))
+            every = OneVsRest(classifier=binary, featuresCol="features", labelCol="label_index", parallelism=PARALLEL_FITS)
+            indexed = data.withColumn("label_index", label_index(labels, F.col("label")))
+            model = fit_certified(every, indexed, len(labels), rows, first_iter)
     finally:
         data.unpersist()
     return Classifier(model, labels, features)
 
 
-def train_embedding(train: DataFrame, vectors: str = "embedding", c: float = 1.0, max_iter: int = 2000,
-                    balanced: bool = False) -> Classifier:
+def train_embedding(train: DataFrame, vectors: str = "embedding", c: float = 1.0, first_iter: int = 100,
+                    balanced: bool = False, keys: list[str] = ("account", "message_id")) -> Classifier:
+    """Rows whose vector is null or holds a null are no examples."""
+    whole = F.coalesce(~F.exists(F.col(vectors), lambda x: x.isNull()), F.lit(False))
+    train = examples(train.filter(whole), None, keys)
     labels = known_labels(train)
 
     features = EmbeddingFeatures()
-    data = features.transform(train.select("label", vectors), vectors).select("label", "features").persist()
+    data = _gathered(features.transform(train.select("label", vectors), vectors).select("label", "features"), train.count()).persist()
     try:
-        model = fit_logistic(data, labels, c, max_iter, balanced)
+        model = fit_logistic(data, labels, c, first_iter, balanced)
     finally:
         data.unpersist()
     return Classifier(model, labels, features)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postsift import constants as K
+from postsift.session import cut_lineage
 
 SEQ_BUCKET = 1 << 17
 
@@ -14,13 +15,19 @@ SEQ_BUCKET = 1 << 17
 def keep_one(df: DataFrame, keys: list[str | Column], order: str = "seq", last: bool = False) -> DataFrame:
     """One row per key: the first (or last) in ``order``, which must be unique.
 
-    The winner's order value is found with a partially aggregated min/max over narrow rows; the wide
-    rows are then filtered by a join on that unique value, so a hot key costs nothing extra.
+    Only keys with several rows matter: their winners come from a partially aggregated min/max, and the order values of
+    the losers, one narrow row each, are written. The wide rows lose them by an anti join, which the planner broadcasts
+    when there are few, so that text stays where it is. A hot key costs nothing extra.
     """
     named = [F.col(f"`{k}`") if isinstance(k, str) else k for k in keys]
-    pick = (F.max if last else F.min)(order).alias("__keep")
-    winners = df.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(named)]).agg(pick).select("__keep")
-    return df.join(winners, F.col(order) == F.col("__keep"), "left_semi")
+    names = [f"__k{i}" for i in range(len(named))]
+    narrow = df.select(*[k.alias(n) for k, n in zip(named, names)], F.col(order).alias("__order"))
+    pick = (F.max if last else F.min)("__order").alias("__keep")
+    several = narrow.groupBy(*names).agg(pick, F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
+    several = several.select(*[F.col(n).alias(f"{n}_") for n in names], "__keep")
+    same = [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names]
+    losers = cut_lineage(narrow.join(several, same).filter(F.col("__order") != F.col("__keep")).select("__order"), "losers")
+    return df.join(losers, F.col(order) == F.col("__order"), "left_anti")
 
 
 def rank_within(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], out: str,
@@ -62,8 +69,7 @@ def dedupe_content(df: DataFrame) -> DataFrame:
     from postsift.functions.text import join_email_fields
 
     keyed = join_email_fields(df, "__joined").withColumn("__sha", F.sha1("__joined"))
-    winners = keyed.groupBy("account", "message_id", "__sha").agg(F.min("seq").alias("__keep")).select("__keep")
-    return df.join(winners, F.col("seq") == F.col("__keep"), "left_semi")
+    return keep_one(keyed, ["account", "message_id", "__sha"]).drop("__joined", "__sha")
 
 
 def labelled_only(df: DataFrame) -> DataFrame:
@@ -90,16 +96,28 @@ def stratified_split(df: DataFrame, ratio: float = K.VALID_RATIO, seed: int = K.
                      key: str = "message_id", order: str = "seq") -> DataFrame:
     """Add ``split``: per label, max(1, round-half-even(n*ratio)) validation rows, none when n = 1.
 
-    Members are the smallest seeded hashes. Only hashes are ranked, in 65,536 hash ranges per label;
-    the ranked narrow rows come back to the wide ones by the unique order value.
+    Members are the rows of the smallest seeded hashes, by ``order`` on ties. The last of them is found by selection:
+    counts of 65,536 hash ranges per label say in which range it lies, and only that range is ranked. Then every row
+    is compared with its label's last member where it lies; no row moves for it.
     """
-    narrow = df.select(F.col(order).alias("__seq"), F.col("label").alias("__label"),
-                       split_hash(seed, key).alias("__hash"))
-    ranked = rank_within(narrow, ["__label"], F.substring("__hash", 1, 4),
-                         [F.col("__hash"), F.col("__seq")], "__rank", "__n")
-    valid = F.when(F.col("__n") > 1, F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(ratio), 0))).otherwise(0)
-    picked = ranked.select("__seq", F.when(F.col("__rank") <= valid, "valid").otherwise("train").alias("split"))
-    return df.join(picked, F.col(order) == F.col("__seq")).drop("__seq")
+    hashed = split_hash(seed, key)
+    label, place = F.col("label").alias("__label"), F.substring("__hash", 1, 4).alias("__range")
+    narrow = df.select(label, hashed.alias("__hash"), F.col(order).alias("__order")).withColumn("__range", place)
+    counts = narrow.groupBy("__label", "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("__label").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("__n").over(W.partitionBy("__label"))
+    sized = counts.withColumn("__before", before).withColumn("__total", total)
+    valid = F.when(F.col("__total") > 1, F.greatest(F.lit(1), F.bround(F.col("__total") * F.lit(ratio), 0))).otherwise(0)
+    # One row per label, written so that the planner sees how small it is.
+    cuts = cut_lineage(sized.withColumn("__left", valid.cast("long") - F.col("__before")).filter(
+        F.col("__left").between(1, F.col("__n"))).select(F.col("__label").alias("__l"), F.col("__range").alias("__r"), "__left"), "cuts")
+    inside = narrow.join(cuts, F.col("__label").eqNullSafe(F.col("__l")) & (F.col("__range") == F.col("__r")))
+    ranked = inside.withColumn("__rank", F.row_number().over(W.partitionBy("__label").orderBy("__hash", "__order")))
+    last = cut_lineage(ranked.filter(F.col("__rank") == F.col("__left")).select(
+        F.col("__label").alias("__l"), F.col("__hash").alias("__last"), F.col("__order").alias("__last_order")), "last_members")
+    first = (hashed < F.col("__last")) | ((hashed == F.col("__last")) & (F.col(order) <= F.col("__last_order")))
+    joined = df.join(last, F.col("label").eqNullSafe(F.col("__l")), "left")
+    return joined.withColumn("split", F.when(first, "valid").otherwise("train")).drop("__l", "__last", "__last_order")
 
 
 def split_sizes(label_counts: DataFrame, ratio: float = K.VALID_RATIO) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,47 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     return per.select("label", *scores, "support").unionByName(summary)
 
 
+def metrics_document(rows: DataFrame, settings: dict | None = None, label: str = "label", prediction: str = "prediction",
+                     split: str = "split") -> DataFrame:
+    """(value): one JSON document about a trained model, all keys sorted.
+
+    ``rows`` are all examples with their split; ``prediction`` counts in the rows of "valid". The document holds the
+    ``settings``, the numbers of examples, the label counts, the accuracy and the report over every label. One aggregate
+    of the examples and one of the validation rows feed it; what is gathered is a few rows per label.
+    """
+    spark = rows.sparkSession
+    counts = rows.groupBy(F.col(label).alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(split) == "valid").alias("valid"))
+
+    def listed(text: Column) -> Column:
+        """One object of all rows, sorted by label; ``text`` is a row's own object with the label as its one key."""
+        inner = F.substring(text, F.lit(2), F.length(text) - 2)
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", inner.alias("t")))), lambda e: e["t"]), ",")
+        return F.concat(F.lit("{"), joined, F.lit("}"))
+
+    one = lambda value: F.to_json(F.create_map(F.col("label"), value))
+    sizes = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("examples"), F.coalesce(F.sum("valid"), F.lit(0)).alias("valid_examples"),
+        listed(one(F.col("n"))).alias("label_counts"))
+    sizes = sizes.select(F.explode(F.map_from_arrays(
+        F.array(*map(F.lit, ("examples", "valid_examples", "train_examples", "label_counts"))),
+        F.array(F.col("examples").cast("string"), F.col("valid_examples").cast("string"),
+                (F.col("examples") - F.col("valid_examples")).cast("string"), F.col("label_counts")))).alias("name", "value"))
+    report = classification_report(rows.filter(F.col(split) == "valid"), label, prediction, rows.select(F.col(label).alias("label")))
+    cell = F.when(F.col("label") == "accuracy", one(F.col("f1"))).otherwise(one(F.struct(
+        F.col("f1").alias("f1-score"), "precision", "recall", "support")))
+    scores = report.agg(listed(cell).alias("classification_report"),
+                        F.coalesce(F.max(F.when(F.col("label") == "accuracy", F.col("f1"))).cast("string"), F.lit("null")).alias("accuracy"))
+    scores = scores.select(F.explode(F.create_map(
+        F.lit("classification_report"), F.col("classification_report"), F.lit("accuracy"), F.col("accuracy"))).alias("name", "value"))
+    given = spark.createDataFrame([(k, json.dumps(v, sort_keys=True)) for k, v in (settings or {}).items()], "name string, value string")
+    parts = sizes.unionByName(scores).unionByName(given)
+    text = F.to_json(F.create_map("name", F.lit(0)))
+    named = F.concat(F.substring(text, F.lit(2), F.length(text) - 3), F.col("value"))
+    return parts.agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", named.alias("t")))),
+                                                                   lambda e: e["t"]), ","), F.lit("}")).alias("value"))
+
+
 def precision_at_1(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     hit = F.avg((F.col(label) == F.col(prediction)).cast("double"))
     return df.agg(F.count(F.lit(1)).alias("examples"), hit.alias("precision_at_1"), hit.alias("recall_at_1"))

@@ -10,7 +10,7 @@ from postsift.functions.arrays import l2_normalize as l2_normalized
 from postsift.operators import features as FE
 from postsift.operators import models as ML
 from postsift.operators import scoring as C
-from postsift.operators.rows import labelled_only, stratified_split
+from postsift.operators.rows import stratified_split
 from postsift.plans import fixtures as X
 from postsift.plans import oracle_text as O
 from postsift.plans.registry import register, with_ctes
@@ -68,9 +68,9 @@ SCORED_CTE = ("scored AS (SELECT *, " + O.clean(
 
 def _split(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows, over whole bodies."""
-    labelled = labelled_only(X.emails(spark, sf)).select("seq", "message_id", "label", "subject", "from", "to", "cc", "snippet", "text")
-    rows = cut_lineage(stratified_split(T.training_text(labelled, body_chars=None)).select(
-        "seq", "message_id", "label", "training_text", "split"), "split")
+    columns = ("seq", "account", "message_id", "label", "subject", "from", "to", "cc", "snippet", "text")
+    usable = ML.examples(T.training_text(X.emails(spark, sf).select(*columns), body_chars=None), "training_text")
+    rows = cut_lineage(stratified_split(usable).select("seq", "account", "message_id", "label", "training_text", "split"), "split")
     return rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "valid")
 
 
@@ -90,6 +90,14 @@ _EVALUATED = ("SELECT label, count(*) FILTER (WHERE split = 'train') AS train_ro
 _MAIL_EVALUATED = with_ctes(O.EMAILS_CTE, *SPLIT_CTES, select=_EVALUATED)
 
 
+# Every message is exported twice, a third of the second bodies edited: the first of each is the example.
+@register("trainer_examples", with_ctes(O.EMAILS_CTE, select=(
+    "SELECT account, message_id, label, md5(text) AS text_md5 FROM emails WHERE label <> ''")))
+def trainer_examples(spark, sf):
+    found = ML.examples(X.reexported(spark, sf), "text")
+    return found.select("account", "message_id", "label", F.md5("text").alias("text_md5"))
+
+
 @register("train_tfidf_eval", _MAIL_EVALUATED)
 def train_tfidf_eval(spark, sf):
     train, valid = _split(spark, sf)
@@ -116,7 +124,7 @@ def train_embedding_eval(spark, sf):
     vectors = X.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
     rows = cut_lineage(stratified_split(vectors, key="vec_id", order="vec_id"), "split")
     train, valid = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "valid")
-    return _evaluated(ML.train_embedding(train), train, valid, "embedding")
+    return _evaluated(ML.train_embedding(train, keys=()), train, valid, "embedding")
 
 
 # The scored rows are checked for what any model must give: known labels, falling confidences, all messages.
@@ -178,7 +186,7 @@ def saved_tfidf_model(spark, sf):
 @register("saved_embedding_model", "SELECT vec_id, true AS same FROM embeddings")
 def saved_embedding_model(spark, sf):
     vectors = X.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
-    return _same(spark, ML.train_embedding(vectors), vectors, "embedding", "vec_id")
+    return _same(spark, ML.train_embedding(vectors, keys=()), vectors, "embedding", "vec_id")
 
 
 def _ngram_candidates(spark, sf):

@@ -146,14 +146,10 @@ def write_sender_report(report: dict[str, DataFrame], path: str) -> None:
 
 
 def write_document(document: DataFrame, path: str) -> None:
-    """A one-row table as one JSON file: written beside ``path``, then renamed, so that a reader sees the old one or the new.
-
-    Keys are in the order of the columns; see :func:`postsift.operators.scoring.metrics_document` for sorted ones.
-    """
+    """The one row of a (value) table as one file: written beside ``path``, then renamed, so that a reader sees the old one or the new."""
     spark = document.sparkSession
     beside = f"{path}.writing"
-    document.select(F.to_json(F.struct(*document.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode(
-        "overwrite").text(beside)
+    document.select("value").coalesce(1).write.mode("overwrite").text(beside)
     hadoop = spark._jvm.org.apache.hadoop.fs
     folder, target = hadoop.Path(beside), hadoop.Path(path)
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
