@@ -22,6 +22,12 @@ from postsift.session import cut_lineage
 BUCKET_LIMIT = 512
 CHUNK_ROWS = 4096
 MEMBER_SPAN = 10_000
+BUCKET = ["domain", "band", "slice"]
+#: Rounds along stars, and rows that share a head.
+STAR_ROUNDS = 2
+STAR_ROWS = 4096
+#: Every round but the stars at least halves the roots that still have a close pair.
+MAX_ROUNDS = 60
 
 
 def hash_bits(simhash: Column, start: int, width: int) -> Column:
@@ -82,23 +88,16 @@ def lsh_pairs(nodes: DataFrame, threshold: int = K.HAMMING_THRESHOLD, bands: int
     large = sized.filter(F.col("size") > bucket_limit).drop("size")
     # One small count over a written table; most corpora of distinct templates have no such bucket.
     if not large.isEmpty():
-        found = found.unionByName(_refined_pairs(large, threshold, bands, width, chunk_rows, first_band))
+        found = found.unionByName(_refined_pairs(large, threshold, bands, chunk_rows, first_band))
     return found.select("id_a", "id_b", hamming(F.col("hash_a"), F.col("hash_b")).alias("distance"),
                         "root_a", "root_b")
 
 
-def _refined_pairs(large: DataFrame, threshold: int, bands: int, width: int, chunk_rows: int,
-                   first_band: Column) -> DataFrame:
-    """Pairs of oversized buckets.
-
-    The bits outside the shared band are cut into threshold + 2 blocks. A close pair differs in at
-    most ``threshold`` of them, so at least two agree: rows meet on (bucket, two agreeing blocks), and a
-    pair is kept where those are its first two.
-    """
-    blocks = threshold + 2
+def _block_masks(threshold: int, bands: int) -> tuple[Column, list[tuple[int, int]]]:
+    """Per band, the bit masks of threshold + 2 blocks of the bits outside it, and all pairs of blocks."""
+    width, blocks = 64 // bands, threshold + 2
     others = [[bit for b in range(bands) if b != band for bit in range(b * width, (b + 1) * width)]
               for band in range(bands)]
-    combos = list(itertools.combinations(range(blocks), 2))
 
     def mask(band: int, block: int) -> int:
         bits = others[band]
@@ -107,12 +106,25 @@ def _refined_pairs(large: DataFrame, threshold: int, bands: int, width: int, chu
         return value - (1 << 64) if value >= 1 << 63 else value
 
     masks = F.array(*[F.array(*[F.lit(mask(band, k)).cast("long") for k in range(blocks)]) for band in range(bands)])
-    row = F.get(masks, F.col("band"))
+    return F.get(masks, F.col("band")), list(itertools.combinations(range(blocks), 2))
+
+
+def _refined(large: DataFrame, threshold: int, bands: int) -> DataFrame:
+    """The rows of oversized buckets once for every pair of blocks, with the bits of the two in ``part``.
+
+    A close pair differs in at most ``threshold`` of the threshold + 2 blocks, so at least two agree.
+    """
+    row, combos = _block_masks(threshold, bands)
     first = F.array(*[F.lit(i) for i, _ in combos])
     second = F.array(*[F.lit(j) for _, j in combos])
-    keyed = (large.withColumn("combo", F.explode(F.sequence(F.lit(0), F.lit(len(combos) - 1))))
-             .withColumn("part", F.col("simhash").bitwiseAND(
-                 F.get(row, F.get(first, F.col("combo"))).bitwiseOR(F.get(row, F.get(second, F.col("combo")))))))
+    return (large.withColumn("combo", F.explode(F.sequence(F.lit(0), F.lit(len(combos) - 1))))
+            .withColumn("part", F.col("simhash").bitwiseAND(
+                F.get(row, F.get(first, F.col("combo"))).bitwiseOR(F.get(row, F.get(second, F.col("combo")))))))
+
+
+def _refined_pairs(large: DataFrame, threshold: int, bands: int, chunk_rows: int, first_band: Column) -> DataFrame:
+    """Pairs of oversized buckets: rows meet on (bucket, two agreeing blocks), and a pair is kept where those are its first two."""
+    keyed, (row, combos) = _refined(large, threshold, bands), _block_masks(threshold, bands)
     cell = ["domain", "band", "slice", "combo", "part"]
     sizes = (keyed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
              .filter((F.col("n") > 1) & (F.col("lo") != F.col("hi")))
@@ -174,26 +186,108 @@ def _exact_edges(signed: DataFrame, nodes: DataFrame) -> DataFrame:
             .select(F.col("id").alias("u"), (-F.col("head") - 1).alias("v")))
 
 
+def _banded(nodes: DataFrame, bands: int) -> DataFrame:
+    """Rows of the band buckets that hold more than one root, with the bucket's size."""
+    width = 64 // bands
+    rows = nodes.select("id", "domain", "simhash", "root", F.posexplode(F.array(
+        *[hash_bits(F.col("simhash"), b * width, width) for b in range(bands)])).alias("band", "slice"))
+    sizes = (rows.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+             .filter(F.col("lo") != F.col("hi")).select(*[F.col(k).alias(f"__{k}") for k in BUCKET], "size"))
+    return rows.join(sizes, [F.col(k) == F.col(f"__{k}") for k in BUCKET]).drop(*[f"__{k}" for k in BUCKET])
+
+
+def _star_edges(banded: DataFrame, threshold: int, turn: int, star_rows: int) -> DataFrame:
+    """Edges from the roots of close rows to the root of a head, one head for every ``star_rows`` rows of a bucket.
+
+    Every row is compared with one head, so the work is linear; which row is head changes with ``turn``.
+    """
+    part = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / F.lit(star_rows)))
+    rows, cell = banded.withColumn("part", part), [*BUCKET, "part"]
+    head = F.min_by(F.struct(F.col("simhash").alias("hash"), F.col("root").alias("to")), F.xxhash64("id", F.lit(-turn - 1)))
+    heads = rows.groupBy(*cell).agg(head.alias("head")).select(*[F.col(k).alias(f"__{k}") for k in cell], "head.hash", "head.to")
+    met = rows.join(heads, [F.col(k) == F.col(f"__{k}") for k in cell])
+    close = (F.col("root") != F.col("to")) & (hamming(F.col("simhash"), F.col("hash")) <= threshold)
+    return met.filter(close).select(F.col("root").alias("u"), F.col("to").alias("v")).distinct()
+
+
+def _closest_edges(rows: DataFrame, cell: list[str], threshold: int, chunk_rows: int) -> DataFrame:
+    """One edge per row to the closest other root among the rows of its cell, if any is close enough.
+
+    Rows of a cell's most frequent root need not look for others: what is close to them looks for them. So a cell that
+    has nearly contracted costs its few other rows times its size. Large cells are cut into chunk pairs.
+    """
+    counts = rows.groupBy(*cell, "root").agg(F.count(F.lit(1)).alias("n"))
+    cells = counts.groupBy(*cell).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("rows"), F.max("n").alias("most"))
+    cells = cells.filter(F.col("rows") > F.col("most")).select(
+        *[F.col(k).alias(f"__{k}") for k in cell], "main", F.ceil(F.col("rows") / F.lit(chunk_rows)).cast("int").alias("chunks"),
+        F.ceil((F.col("rows") - F.col("most")) / F.lit(chunk_rows)).cast("int").alias("askers"))
+    placed = rows.join(cells, [F.col(k) == F.col(f"__{k}") for k in cell]).drop(*[f"__{k}" for k in cell])
+    dealt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asking = placed.filter(F.col("root") != F.col("main")).select(
+        *cell, dealt(F.col("askers")).alias("asker"), F.col("id").alias("from"), F.col("simhash").alias("hash"), F.col("root").alias("u"),
+        every(F.col("chunks")).alias("chunk"))
+    asked = placed.select(*[F.col(k).alias(f"__{k}") for k in cell], dealt(F.col("chunks")).alias("__chunk"), "simhash", "root",
+                          every(F.col("askers")).alias("__asker"))
+    same = [F.col(k) == F.col(f"__{k}") for k in (*cell, "chunk", "asker")]
+    distance = hamming(F.col("hash"), F.col("simhash"))
+    found = asking.join(asked, [*same, (F.col("u") != F.col("root")) & (distance <= threshold)])
+    return (found.groupBy("from", "u").agg(F.min_by("root", F.struct(distance, F.col("root"))).alias("v")).select("u", "v").distinct())
+
+
+def _contracting_edges(banded: DataFrame, threshold: int, bands: int, bucket_limit: int, chunk_rows: int) -> DataFrame:
+    """Edges between roots that have a close pair of rows in some bucket; none are left when no pair crosses roots."""
+    edges = _closest_edges(banded.filter(F.col("size") <= bucket_limit), BUCKET, threshold, chunk_rows)
+    large = banded.filter(F.col("size") > bucket_limit)
+    # One small count over a written table; most corpora of distinct templates have no such bucket.
+    if not large.isEmpty():
+        # Rows meet where two of threshold + 2 blocks of the other bits agree, as any close pair does.
+        edges = edges.unionByName(_closest_edges(_refined(large, threshold, bands), [*BUCKET, "combo", "part"], threshold, chunk_rows)).distinct()
+    return edges
+
+
+def contracted(nodes: DataFrame, threshold: int = K.HAMMING_THRESHOLD, bands: int = K.SIMHASH_BANDS, bucket_limit: int = BUCKET_LIMIT,
+               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(id, domain, simhash, root) with equal roots for rows that close pairs of one band bucket link.
+
+    Rounds find a few edges per row, contract the roots they link, and go on until no pair crosses roots: first along
+    stars, which costs one comparison a row and melts dense clusters, then along each row's closest other root. Edges
+    are linear in the rows of every round, however many pairs there are.
+    """
+    nodes = cut_lineage(nodes, "rooted")
+    for turn in range(MAX_ROUNDS):
+        banded = cut_lineage(_banded(nodes, bands), "banded")
+        if banded.isEmpty():
+            return nodes
+        star = turn < STAR_ROUNDS
+        found = (_star_edges(banded, threshold, turn, STAR_ROWS) if star
+                 else _contracting_edges(banded, threshold, bands, bucket_limit, chunk_rows))
+        edges = cut_lineage(found, "crossing")
+        if edges.isEmpty():
+            if star:
+                continue
+            return nodes
+        names = connected_components(edges).withColumnRenamed("node", "__n")
+        nodes = cut_lineage(nodes.join(names, F.col("root") == F.col("__n"), "left").select(
+            "id", "domain", "simhash", F.coalesce("component", "root").alias("root")), "rooted")
+    raise RuntimeError(f"groups did not settle in {MAX_ROUNDS} rounds")
+
+
 def template_components(signed: DataFrame, threshold: int = K.HAMMING_THRESHOLD, bands: int = K.SIMHASH_BANDS,
                         bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(seq, message_id, norm_len, component): component is the first seq of the template group.
 
     Two passes: copies, exact templates and near copies contract first through edges linear in the
-    vertices; only vertices of different contracted groups are then paired by band.
+    vertices; vertices of different contracted groups then contract by band (:func:`contracted`).
     """
     signed = cut_lineage(signed, "signatures")
     nodes = cut_lineage(vertices(signed), "vertices")
     linear = _exact_edges(signed, nodes).unionByName(_near_copies(nodes, threshold, bands))
     first = cut_lineage(connected_components(linear), "first_pass")
-    rooted = cut_lineage(
-        nodes.join(first.withColumnRenamed("node", "__n"), F.col("id") == F.col("__n"), "left")
-        .select("id", "domain", "simhash", F.coalesce("component", "id").alias("root")), "rooted")
-    crossing = lsh_pairs(rooted, threshold, bands, bucket_limit).select(
-        F.col("root_a").alias("u"), F.col("root_b").alias("v")).distinct()
-    second = connected_components(crossing)
-    resolved = (rooted.join(second.withColumnRenamed("node", "__n"), F.col("root") == F.col("__n"), "left")
-                .select(F.col("domain").alias("__d"), F.col("simhash").alias("__h"),
-                        "id", F.coalesce("component", "root").alias("__c")))
+    rooted = (nodes.join(first.withColumnRenamed("node", "__n"), F.col("id") == F.col("__n"), "left")
+              .select("id", "domain", "simhash", F.coalesce("component", "id").alias("root")))
+    resolved = contracted(rooted, threshold, bands, bucket_limit).select(
+        F.col("domain").alias("__d"), F.col("simhash").alias("__h"), "id", F.col("root").alias("__c"))
     # Template vertices are numbered below zero; name each component by its first message instead.
     names = resolved.groupBy("__c").agg(F.min("id").alias("component"))
     resolved = (resolved.join(names.withColumnRenamed("__c", "__cc"), F.col("__c") == F.col("__cc"))

@@ -112,6 +112,19 @@ for _one in (False, True):
     register(f"template_components{_tag}", with_ctes(*_component_ctes(_dom), select=(
         "SELECT CAST(seq AS VARCHAR) AS message_id, component FROM comp")))(_components)
 
+# The second export edits every third body, so that each domain holds variants of its own messages.
+_VARIANTS = tuple(c.replace(O.EMAILS_CTE, O.REEXPORT_CTE.replace("mails AS (", "emails AS (", 1)) for c in _sig_ctes(None))
+
+
+@register("lsh_pairs_variants", with_ctes(
+    *_VARIANTS, "node AS (SELECT dom, h, min(seq) AS id FROM sig GROUP BY ALL)",
+    select=f"SELECT a.id AS id_a, b.id AS id_b, CAST(bit_count(xor(a.h, b.h)) AS BIGINT) AS distance FROM node a "
+           f"JOIN node b ON a.dom = b.dom AND a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 6 AND ({_BANDS})"))
+def lsh_pairs_variants(spark, sf):
+    nodes = cut_lineage(G.vertices(S.signatures(X.reexported(spark, sf))), "vertices")
+    return G.lsh_pairs(nodes).select("id_a", "id_b", F.col("distance").cast("long").alias("distance"))
+
+
 GROUPED = _component_ctes(ONE_DOMAIN)
 
 

@@ -75,6 +75,23 @@ def test_template_components_match_brute_force(spark, limit):
     assert got == brute_components(160, edges)
 
 
+@pytest.mark.parametrize("limit, chunk", [(512, 4096), (1, 50)])
+def test_scattered_variants_contract_along_few_edges(spark, monkeypatch, limit, chunk):
+    """Dense clusters have pairs by the hundred thousand; the edges of all rounds together stay linear in the rows."""
+    rng, hashes = random.Random(9), []
+    for size in (1200, 150, 1, 1):
+        base = rng.getrandbits(64)
+        hashes += [base ^ sum(1 << bit for bit in rng.sample(range(64), rng.randint(0, 5))) for _ in range(size)]
+    hashes = list(dict.fromkeys(hashes))
+    pairs = [(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if close(hashes[i], hashes[j])]
+    edges = []
+    monkeypatch.setattr(G, "connected_components", lambda e: edges.append(e.count()) or connected_components(e))
+    nodes = spark.createDataFrame([(i, "d", signed(h), i) for i, h in enumerate(hashes)], "id long, domain string, simhash long, root long")
+    got = {r["id"]: r["root"] for r in G.contracted(nodes, bucket_limit=limit, chunk_rows=chunk).collect()}
+    assert got == brute_components(len(hashes), pairs)
+    assert len(pairs) > 50 * len(hashes) and sum(edges) < 6 * len(hashes)
+
+
 def test_near_copy_edges_are_true_and_join_dense_clusters(spark):
     hashes = clustered_hashes(5, 2, 60)
     nodes = spark.createDataFrame([(i, "d", signed(h)) for i, h in enumerate(hashes)], "id long, domain string, simhash long")
