@@ -7,7 +7,8 @@ records where lines would have their separator, so a lost executor leaves no par
 
 Defined cases: a null payload is an empty one; a null url is left out; control characters in a url are
 percent-encoded. Rows that repeat both the smallest id and the payload are each a response; a null id is never the
-smallest, and a payload that only rows without id have is a response each time. An empty table makes no archive.
+smallest, and a payload that only rows without id have is a response each time. A very long payload is one frame like
+any other. An empty table makes no archive. Only page_id, url and html are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ SKIPPABLE, DICTIONARY = 0x184D2A50, 0x184D2A5D
 NO_RECORD = "P*M\x18\x00\x00\x00\x00"  # an empty skippable frame
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-SAMPLE_ROWS = 400
-SAMPLE_BYTES = 32 << 10
+#: Bytes of records that a dictionary is built from, and what a record's headers take.
+SAMPLE_BYTES = 8 << 20
+HEADER_BYTES = 512
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
@@ -47,29 +49,38 @@ RECORDS = T.StructType([
 def mark_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, url, payload, sha1, first_id): ``first_id`` is the page whose response holds this page's payload, if another.
 
-    Copies are counted on digests before any join; only digests that occur twice are joined back.
+    Only ids and digests take part in finding copies; the marks come back to the pages by id and digest, so that one
+    payload which very many pages share is no key that their texts meet under.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url",
                         F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    first = (rows.filter(F.length("payload") >= least).groupBy("sha1")
-             .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-             .filter(F.col("n") > 1).select(F.col("sha1").alias("__sha1"), "first_id"))
-    rows = rows.join(first, F.col("sha1") == F.col("__sha1"), "left").drop("__sha1")
-    return rows.withColumn("first_id", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")))
+    narrow = rows.filter(F.length("payload") >= least).groupBy("page_id", "sha1").agg(F.count(F.lit(1)).alias("n"))
+    first = (narrow.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.sum("n").alias("n"))
+             .filter((F.col("n") > 1) & F.col("first_id").isNotNull()).select(F.col("sha1").alias("__sha1"), "first_id"))
+    marks = (narrow.join(first, F.col("sha1") == F.col("__sha1")).filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
+             .select(F.col("page_id").alias("__id"), "__sha1", "first_id"))
+    return rows.join(marks, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("sha1") == F.col("__sha1")), "left").drop("__id", "__sha1")
 
 
-def build_dictionary(pages: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from the ``rows`` pages with the smallest id hashes, ``SAMPLE_BYTES`` of each at most; b"" if too few.
+def build_dictionary(pages: DataFrame, size: int = DICTIONARY_BYTES, sample: int = SAMPLE_BYTES) -> bytes:
+    """A dictionary from whole records, headers and payload, of a sample by hash; b"" if it is too small to train on.
 
-    Only hashes are ranked, so no more than the sample itself reaches the driver.
+    The share to sample comes from the number and size of all pages, so that about half of ``sample`` bytes reach the
+    driver, and never more than ``sample``. Records over 1/16 of it, which would fill the dictionary alone, are not drawn.
     """
-    hashed = pages.withColumn("__h", F.xxhash64("page_id", "url"))
-    cut = hashed.select("__h").orderBy("__h").limit(rows).agg(F.max("__h")).first()[0]
-    if cut is None:
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url",
+                        F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    rows = rows.withColumn("bytes", F.length("payload") + F.coalesce(F.octet_length("url"), F.lit(0)) + HEADER_BYTES)
+    rows = rows.filter(F.col("bytes") <= sample // 16)
+    whole = rows.agg(F.sum("bytes")).first()[0]
+    if not whole:
         return b""
-    body = F.substring(F.coalesce(F.col("html"), F.lit("")), 1, SAMPLE_BYTES).cast("binary")
-    samples = [bytes(r[0]) for r in hashed.filter(F.col("__h") <= cut).select(body).limit(rows).collect() if r[0]]
+    draw, limit = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)), min(1 << 40, (sample << 39) // whole)
+    while rows.filter(draw < limit).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] > sample:
+        limit //= 2
+    drawn = rows.filter(draw < limit).select("page_id", "url", "payload", F.sha1("payload")).collect()
+    samples = [record(r[0], r[1], bytes(r[2]), r[3], None) for r in drawn]
     size = min(size, sum(map(len, samples)) // 8)
     if len(samples) < 16 or size < 1024:
         return b""

@@ -110,7 +110,10 @@ def test_an_archive_carries_its_dictionary(spark):
     bodies = [f"<html><body>{'shared words of many pages ' * 20}{i * 7919}</body></html>" for i in range(200)]
     pages = pages_frame(spark, [(i, f"http://h/{i}", b) for i, b in enumerate(bodies)]).coalesce(1)
     dictionary = A.build_dictionary(pages)
-    assert dictionary
+    # Record headers repeat in every frame, so the dictionary must hold them.
+    assert b"WARC-Payload-Digest: sha1:" in dictionary and b"shared words of many pages" in dictionary
+    giant = pages.union(pages_frame(spark, [(1000, "http://giant", "giant " * 400_000)]))
+    assert A.build_dictionary(giant) and A.build_dictionary(giant, sample=1 << 16) and A.build_dictionary(giant, sample=64) == b""
     path = scratch_path(spark, "warc_test")
     A.write_archives(A.mark_revisits(pages), dictionary, path)
     data = bytes(spark.read.format("binaryFile").load(path).filter("length > 0").first().content)
