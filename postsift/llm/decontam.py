@@ -8,8 +8,11 @@ whose parts were moved is covered like one that was not.
 Benchmark items travel to the tasks in blocks of bounded size; a benchmark of many blocks is taken block after block,
 the documents are never shuffled.
 
-Defined cases: words are lower-cased runs of letters and digits. A null or blank document has no leak. Items with
-fewer than ``seed`` words, null ones among them, are no evidence and never match. Repeated items are reported each.
+Defined cases: words are lower-cased runs of letters and digits. A null or blank document has no leak. An item with
+fewer than ``seed`` words matches where it stands whole; one with fewer than ``LEAST_WORDS``, null ones among them, is no
+evidence and never matches. Repeated items are reported each; of matches of equal length the first counts. Very long
+texts and words repeated without end take time by the product of their places, memory by a portion of it. An empty
+benchmark leaks nowhere, an empty table of documents gives no rows. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ from postsift.llm.batches import bounded_batches
 from postsift.llm.shingles import windows, word_codes
 
 SEED = 5
+#: Items of fewer words are no evidence, as texts hold them by chance; up to the length of a seed they count as a whole.
+LEAST_WORDS = 3
+#: Places of shared windows that are held at once.
+PAIRS = 1 << 20
 COVERAGE = 0.5
 BLOCK_CHARS = 4 << 20
 FILTER_BITS = 22
@@ -42,55 +49,81 @@ def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_codes(plain)
 
 
+@dataclass
+class Seeds:
+    """The windows of one length in some benchmark items."""
+
+    size: int
+    hashes: np.ndarray  # sorted
+    places: np.ndarray  # of each in the items' words
+    known: np.ndarray  # a bit for each value of the hash's upper end
+
+
 @dataclass
 class Block:
-    """Some benchmark items and the index of their seeds."""
+    """Some benchmark items and the index of their seeds: windows of ``seed`` words, and short items as a whole."""
 
     ids: np.ndarray
     codes: np.ndarray
     begins: np.ndarray
-    seeds: np.ndarray  # sorted hashes
-    places: np.ndarray  # of each seed in codes
-    known: np.ndarray  # a bit for each value of the hash's upper end
+    seeds: list[Seeds]
 
 
 def make_block(ids: list[int], texts: list[str | None], seed: int = SEED) -> Block:
     codes, begins = normal_words(pa.array(texts, pa.string()))
-    hashes = windows(codes, seed)
-    ends = np.repeat(begins[1:], np.diff(begins))
-    places = np.flatnonzero(np.arange(len(hashes)) + seed <= ends[: len(hashes)])
-    order = np.argsort(hashes[places], kind="stable")
-    places = places[order]
-    known = np.zeros(1 << FILTER_BITS, bool)
-    known[hashes[places] >> np.uint64(64 - FILTER_BITS)] = True
-    return Block(np.array(ids, np.int64), codes, begins, hashes[places], places, known)
-
-
-def seed_matches(codes: np.ndarray, begins: np.ndarray, block: Block, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place in codes, place in block) of every shared seed; equal hashes are compared word by word."""
-    hashes = windows(codes, seed)
-    at = np.flatnonzero(block.known[hashes >> np.uint64(64 - FILTER_BITS)])
+    lengths = np.diff(begins)
+    ends, least = np.repeat(begins[1:], lengths), np.repeat(np.minimum(lengths, seed), lengths)
+    found = []
+    for size in range(min(LEAST_WORDS, seed), seed + 1):
+        hashes = windows(codes, size)
+        n = len(hashes)
+        places = np.flatnonzero((least[:n] == size) & (np.arange(n) + size <= ends[:n]))
+        if len(places):
+            places = places[np.argsort(hashes[places], kind="stable")]
+            known = np.zeros(1 << FILTER_BITS, bool)
+            known[hashes[places] >> np.uint64(64 - FILTER_BITS)] = True
+            found.append(Seeds(size, hashes[places], places, known))
+    return Block(np.array(ids, np.int64), codes, begins, found)
+
+
+def _merged(runs: np.ndarray) -> np.ndarray:
+    """Runs (start in the documents, start in the items, windows), with those that continue one another joined."""
+    if not len(runs):
+        return runs
+    runs = runs[np.lexsort((runs[:, 0], runs[:, 0] - runs[:, 1]))]
+    follows = np.zeros(len(runs), bool)
+    follows[1:] = (runs[1:, 0] == runs[:-1, 0] + runs[:-1, 2]) & (np.diff(runs[:, 0] - runs[:, 1]) == 0)
+    first = np.flatnonzero(~follows)
+    return np.column_stack([runs[first, :2], np.add.reduceat(runs[:, 2], first)])
+
+
+def seed_runs(codes: np.ndarray, begins: np.ndarray, block: Block, seeds: Seeds, pairs: int = PAIRS) -> np.ndarray:
+    """Runs of shared windows on one diagonal; equal hashes are compared word by word.
+
+    A window that repeats in both texts matches in as many ways as the product of its places. They are taken in
+    portions of about ``pairs`` places of the documents, of which only the runs are kept: a run a diagonal.
+    """
+    hashes = windows(codes, seeds.size)
+    at = np.flatnonzero(seeds.known[hashes >> np.uint64(64 - FILTER_BITS)])
     ends = begins[np.searchsorted(begins, at, "right")] if len(at) else at
-    at = at[at + seed <= ends]
-    lo, hi = np.searchsorted(block.seeds, hashes[at], "left"), np.searchsorted(block.seeds, hashes[at], "right")
-    n = hi - lo
-    mine = np.repeat(at, n)
-    theirs = block.places[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    same = np.ones(len(mine), bool)
-    for k in range(seed):
-        same &= codes[mine + k] == block.codes[theirs + k]
-    return mine[same], theirs[same]
-
-
-def greedy_tiles(p: np.ndarray, q: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
-    """Tiles (start in the document, start in the item, words) from seed matches (p, q), longest first."""
-    order = np.lexsort((p, p - q))
-    p, q = p[order], q[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (np.diff(p) != 1) | (np.diff(p - q) != 0)
-    starts = np.flatnonzero(new)
-    sizes = np.diff(np.append(starts, len(p))) + seed - 1
-    heap = [(-int(n), int(p[s]), int(q[s])) for s, n in zip(starts, sizes)]
+    at = at[at + seeds.size <= ends]
+    lo, hi = np.searchsorted(seeds.hashes, hashes[at], "left"), np.searchsorted(seeds.hashes, hashes[at], "right")
+    portion = (np.cumsum(hi - lo) - (hi - lo)) // pairs
+    runs = [np.zeros((0, 3), np.int64)]
+    for cut in np.split(np.arange(len(at)), np.flatnonzero(np.diff(portion)) + 1):
+        n = hi[cut] - lo[cut]
+        mine = np.repeat(at[cut], n)
+        theirs = seeds.places[np.repeat(lo[cut] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        same = np.ones(len(mine), bool)
+        for k in range(seeds.size):
+            same &= codes[mine + k] == block.codes[theirs + k]
+        runs.append(_merged(np.column_stack([mine[same], theirs[same], np.ones(same.sum(), np.int64)])))
+    return _merged(np.concatenate(runs))
+
+
+def greedy_tiles(runs: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
+    """Tiles (start in the document, start in the item, words) from runs of seeds, longest first."""
+    heap = [(-(int(n) + seed - 1), int(p), int(q)) for p, q, n in runs]
     heapq.heapify(heap)
     in_doc, in_item, tiles = set(), set(), []
     while heap:
@@ -118,23 +151,27 @@ def leaks_of(texts: pa.Array, block: Block, seed: int, coverage: float) -> list[
     """For each text, the items of which at least ``coverage`` is tiled."""
     codes, begins = normal_words(texts)
     out: list[list[dict]] = [[] for _ in range(len(texts))]
-    mine, theirs = seed_matches(codes, begins, block, seed)
-    if not len(mine):
-        return out
-    doc = np.searchsorted(begins, mine, "right") - 1
-    item = np.searchsorted(block.begins, theirs, "right") - 1
-    order = np.lexsort((item, doc))
-    doc, item, mine, theirs = doc[order], item[order], mine[order], theirs[order]
-    cuts = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0)))
-    for lo, hi in zip(cuts, [*cuts[1:], len(doc)]):
-        words = int(block.begins[item[lo] + 1] - block.begins[item[lo]])
-        reach = np.unique(theirs[lo:hi][:, None] + np.arange(seed)).size  # no tiling covers more
-        if reach < coverage * words:
+    for seeds in block.seeds:
+        runs = seed_runs(codes, begins, block, seeds)
+        if not len(runs):
             continue
-        tiles = greedy_tiles(mine[lo:hi], theirs[lo:hi], seed)
-        share = sum(n for _, _, n in tiles) / words
-        if share >= coverage:
-            out[doc[lo]].append({"item_id": int(block.ids[item[lo]]), "coverage": share, "tiles": len(tiles)})
+        doc = np.searchsorted(begins, runs[:, 0], "right") - 1
+        item = np.searchsorted(block.begins, runs[:, 1], "right") - 1
+        order = np.lexsort((item, doc))
+        doc, item, runs = doc[order], item[order], runs[order]
+        cuts = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0)))
+        for lo, hi in zip(cuts, [*cuts[1:], len(doc)]):
+            begin, words = int(block.begins[item[lo]]), int(block.begins[item[lo] + 1] - block.begins[item[lo]])
+            edges = np.zeros(words + 1, np.int64)
+            np.add.at(edges, runs[lo:hi, 1] - begin, 1)
+            np.add.at(edges, runs[lo:hi, 1] - begin + runs[lo:hi, 2] + seeds.size - 1, -1)
+            if np.count_nonzero(np.cumsum(edges)) < coverage * words:  # no tiling covers more
+                continue
+            tiles = greedy_tiles(runs[lo:hi], seeds.size)
+            share = sum(n for _, _, n in tiles) / words
+            # A short item is one window; tiles after the first find it marked.
+            if share >= coverage:
+                out[doc[lo]].append({"item_id": int(block.ids[item[lo]]), "coverage": share, "tiles": len(tiles)})
     return out
 
 

@@ -182,6 +182,17 @@ def test_tiles_of_moved_passages(spark, edge, nothing):
         want = {10 + k: round(c, 6) for k, item in enumerate(items[:4]) if (c := brute_coverage(words, item, 5)) >= 0.3}
         assert {x["item_id"]: round(x["coverage"], 6) for x in leaks} == want
 
+    # An item that stands there whole is found, however short, but for one and two words.
+    short = D.make_block([1, 2, 3, 4], ["one two three", "Four, five six seven!", "one two", "three one two"], 5)
+    found = D.leaks_of(pa.array(["x one two three y one two three", "four five six", "zero four FIVE six seven", None, "one two"]), short, 5, 0.5)
+    assert [[x["item_id"] for x in leaks] for leaks in found] == [[1], [], [2], [], []] and found[0][0]["coverage"] == 1
+    # One word again and again: a run a diagonal, not every pair of places.
+    same = D.make_block([1], ["again " * 200], 5)
+    words, begins = D.normal_words(pa.array(["again " * 20_000]))
+    runs = D.seed_runs(words, begins, same, same.seeds[0])
+    assert len(runs) < 20_200 and D.leaks_of(pa.array(["again " * 2000, "again " * 60]), same, 5, 0.25) == [
+        [{"item_id": 1, "coverage": 1.0, "tiles": 1}], [{"item_id": 1, "coverage": 0.3, "tiles": 1}]]
+
     bench = spark.createDataFrame([(1, BASE), (2, None), (3, "one two"), (4, prose(4, 90)), (4, prose(4, 90))], "item_id long, text string")
     for chars in (1 << 20, 100):  # one block, several blocks
         rows = D.report(edge, bench, block_chars=chars)
