@@ -205,7 +205,7 @@ def load_classifier(spark: SparkSession, path: str) -> Classifier:
     return Classifier(reader.load(f"{path}/model"), about["labels"], features)
 
 
-def train_tfidf(train: DataFrame, text: str = "training_text", c: float = 4.0, first_iter: int = 100, balanced: bool = False,
+def train_tfidf(train: DataFrame, text: str = "training_text", c: float = 4.0, first_iter: int = 500, balanced: bool = False,
                 word_n: int = 2, char_n: int = 5, min_df: int = 2, max_features: int = 120_000,
                 keys: list[str] = ("account", "message_id")) -> Classifier:
     train = examples(train, text, keys)
