@@ -150,12 +150,12 @@ def write_document(document: DataFrame, path: str) -> None:
     spark = document.sparkSession
     beside = f"{path}.writing"
     document.select("value").coalesce(1).write.mode("overwrite").text(beside)
+    if spark.read.text(beside).count() != 1:
+        raise ValueError("a document is one row, and one line")
     hadoop = spark._jvm.org.apache.hadoop.fs
     folder, target = hadoop.Path(beside), hadoop.Path(path)
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
     made = files.globStatus(hadoop.Path(folder, "part-*"))
-    if len(made) != 1:
-        raise ValueError("a document is one row")
     previous = hadoop.Path(f"{path}.previous")
     if files.exists(target):
         files.delete(previous, True)
