@@ -1,15 +1,22 @@
 """Secret scan with multipart credential linking, in DataFrame functions only.
 
-Strong patterns are reported wherever they match. Weak ones (an identifier, a key-like token or an address alone says
-little) are reported only where complementary parts meet: parts are spans, scopes are stretches of one document, and
-an interval join finds the parts within ``scope`` code points of each other.
-
-Defined cases: a null text is an empty one and has no spans. Repeated rows get the same spans each. Null ids are
-ordinary values. Columns other than the key and the text are not read.
+Strong patterns are reported wherever they match. Weak ones (a user name, mail address or account, a key-like token or
+short secret, an address of a service: each alone says little) are reported only where complementary parts meet: parts
+are spans, scopes are stretches of one document, and an interval join finds the parts within ``scope`` code points of
+each other that do not overlap. A weak identifier needs a key, a weak key an identifier, an address both; weak parts
+may complete each other.
+
+Defined cases: a null text is an empty one and has no spans; an empty table gives an empty one. A text of any length is
+matched whole. Repeated rows, and different texts under one id, get their own spans each. Null ids are ordinary values.
+Spans that start together are ordered as the kinds are listed. Columns other than the key and the text are not read, so
+their names may be any.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +29,21 @@ ACCESS = (r"AKIA[A-Z0-9]+", 0, 20)
 HEX = (r"[0-9a-f]+", 0, 24)
 STRONG = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
 
-# Weak parts: other identifier prefixes, long mixed tokens, and service addresses.
-WEAK_ID = (r"\b(?:ASIA|AIDA|AROA|AGPA|ANPA|SK|AC)[A-Z0-9]{12,}\b", 0, 14)
-WEAK_KEY = (r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])"
-            r"[A-Za-z0-9+/]{32,}={0,2}", 0, 32)
-WEAK_ENDPOINT = (r"https?://[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]+)?[A-Za-z0-9/_.-]*", 0, 10)
+# Weak parts: names of users and accounts, key-like tokens and short secrets, and addresses of services.
+_FREE, _IS, _END = r"(?<![A-Za-z0-9_])", r"""["']?\x20*[:=]\x20*["']?""", r"(?![A-Za-z0-9+/=])"
+WEAK_ID = (
+    rf"{_FREE}(?:(?:ASIA|AIDA|AROA|AGPA|ANPA|SK|AC)[A-Z0-9]{{12,}}(?![A-Za-z0-9_])"
+    rf"|(?i:user_?name|user_?id|user|login|client_?id|account_?id|account|access_?key_?id){_IS}[A-Za-z0-9._@+-]{{3,}}"
+    r"|[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})", 0, 5)
+WEAK_KEY = (
+    r"(?<![A-Za-z0-9+/=_])(?:(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])"
+    rf"(?:[A-Za-z0-9+/]{{32,}}={{0,2}}|[A-Za-z0-9]{{20,31}}{_END})"
+    rf"|(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{{16,23}}{_END}"
+    rf"""|(?i:pwd|pass|passphrase|pin|auth|credentials?|private_?key|access_?key){_IS}[^\x20\x09-\x0D"',;]{{4,}})""", 0, 4)
+WEAK_ENDPOINT = (
+    rf"{_FREE}(?:(?:https?|ftps?|sftp|ssh|ldaps?|smtps?|amqps?|rediss?|mongodb|mysql|postgres(?:ql)?)://[A-Za-z0-9._~:/?%@+-]{{4,}}"
+    rf"|(?i:host_?name|host|server|endpoint|base_?url){_IS}[A-Za-z0-9][A-Za-z0-9._:/-]{{2,}}"
+    r"|[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}:[0-9]{2,5}(?![0-9]))", 0, 6)
 WEAK = {"weak_id": WEAK_ID, "weak_key": WEAK_KEY, "weak_endpoint": WEAK_ENDPOINT}
 KINDS = (*STRONG, *WEAK)
 
@@ -90,14 +107,18 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def _near(weak: DataFrame, parts: DataFrame, role: str, scope: int) -> DataFrame:
-    """Rows of ``weak`` with a part of ``role`` at most ``scope`` code points away in the same document."""
+    """Rows of ``weak`` with a part of ``role`` beside them, at most ``scope`` code points away in the same document.
+
+    A part that overlaps the span is the same text read another way and says nothing more.
+    """
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / scope), F.floor(hi / scope)))
     left = weak.withColumn("cell", cells(F.greatest(F.col("start") - scope, F.lit(0)), F.col("stop") + scope))
     right = parts.filter(F.col("role") == role).select(
         F.col("key").alias("k"), F.col("text_hash").alias("h"), F.col("start").alias("a"), F.col("stop").alias("b"),
         cells(F.col("start"), F.col("stop")).alias("c"))
     met = (F.col("key").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")) & (F.col("cell") == F.col("c"))
-           & (F.col("a") - F.col("stop") <= scope) & (F.col("start") - F.col("b") <= scope))
+           & (F.col("a") - F.col("stop") <= scope) & (F.col("start") - F.col("b") <= scope)
+           & ((F.col("a") >= F.col("stop")) | (F.col("b") <= F.col("start"))))
     return left.join(right, met, "left_semi").drop("cell").distinct()
 
 
@@ -108,11 +129,11 @@ def _tagged(kind: str) -> Column:
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(key, text_hash, kind, start, stop) of the weak spans whose complementary parts are near; one row per span."""
-    weak_any = F.lit(False)
-    for kind in WEAK:
-        weak_any = weak_any | (F.size(kind) > 0)
+    # Only texts that hold a weak span and a part of every role it needs send their parts to the join.
+    holds = {role: reduce(or_, [F.size(k) > 0 for k in KINDS if ROLES[k] == role]) for role in set(ROLES.values())}
+    may_link = reduce(or_, [(F.size(k) > 0) & reduce(and_, [holds[r] for r in roles]) for k, roles in NEEDS.items()])
     tagged = F.concat(*[_tagged(k) for k in KINDS])
-    parts = (found.filter(weak_any).select("key", "text_hash", F.explode(tagged).alias("p"))
+    parts = (found.filter(may_link).select("key", "text_hash", F.explode(tagged).alias("p"))
              .select("key", "text_hash", "p.*").distinct())
     out = None
     for kind, roles in NEEDS.items():

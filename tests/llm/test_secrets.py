@@ -1,3 +1,4 @@
+import random
 import re
 
 from conftest_llm import docs_frame
@@ -23,6 +24,42 @@ TEXTS = [
 ]
 
 
+def all_spans(text, scope):
+    """Base spans and, from every pair of spans, the weak ones that are completed, with Python's own matcher."""
+    base = [(lo, S.KINDS[k], hi) for lo, k, hi in base_spans(text)]
+    weak = [(m.start(), kind, m.end()) for kind, (pattern, _, _) in S.WEAK.items() for m in re.finditer(pattern, text)]
+    weak = [w for w in weak if not any(w[0] < b[2] and b[0] < w[2] for b in base)]
+
+    def near(w, role):
+        return any(S.ROLES[p[1]] == role and (0 <= p[0] - w[2] <= scope or 0 <= w[0] - p[2] <= scope) for p in base + weak)
+
+    found = [w for w in weak if all(near(w, role) for role in S.NEEDS[w[1]])]
+    return sorted((lo, S.KINDS.index(k), hi) for lo, k, hi in base + found)
+
+
+PARTS = ["alice.b@mail.example.com", "user: alice", "login=bob7", "client_id='9aF3kQ81LmZx04TTqw2b'", ID, "pass: Xy7!", "pwd=hunter2",
+         "0123456789abcdef", "aB3dE6gH9jK2mN5pQ8sT", KEY, "token=abcdef12", "AKIA" + "Q2" * 8, "deadbeef" * 4, "db.example.com:5432",
+         "postgres://db.example.com/x", "host = db1.local", "4785380592391139", "Passage ends: word", "é😀"]
+
+
+def test_interval_join_equals_all_pairs(spark):
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice(PARTS) if draw.random() < 0.1 else "wörd" for _ in range(draw.randrange(1, 400))) for _ in range(150)]
+    texts += [f"{a} {b}" for a in PARTS for b in PARTS]
+    want = [all_spans(t, 60) for t in texts]
+    rows = {r.doc_id: [tuple(s) for s in r.all] for r in S.scan(docs_frame(spark, list(enumerate(texts))), scope=60).collect()}
+    assert [rows[i] for i in range(len(texts))] == want
+    kinds = {k for spans in want for _, k, _ in spans}
+    assert kinds == set(range(len(S.KINDS))), "every kind is linked somewhere"
+
+
+def test_clean_documents_get_no_linked_spans(spark):
+    clean = ["write to alice.b@mail.example.com or see https://example.com/about", "user: alice, host = db1.local", "pass: the salt",
+             "client_id='9aF3kQ81LmZx04TTqw2b'", "card 4785380592391139 of alice.b@mail.example.com", "build 0123456789abcdef"]
+    rows = S.digests(S.scan(docs_frame(spark, list(enumerate(clean))))).collect()
+    assert all(r.spans == "" and r.n_linked == 0 for r in rows)
+
+
 def test_strong_spans_and_linked_ones(spark):
     rows = {r.doc_id: r for r in S.scan(docs_frame(spark, list(enumerate(TEXTS)))).collect()}
     kinds = {}
