@@ -30,9 +30,10 @@ HEX = (r"[0-9a-f]+", 0, 24)
 STRONG = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
 
 # Weak parts: names of users and accounts, key-like tokens and short secrets, and addresses of services.
+PREFIXES = "ASIA|AIDA|AROA|AGPA|ANPA|SK|AC"
 _FREE, _IS, _END = r"(?<![A-Za-z0-9_])", r"""["']?\x20*[:=]\x20*["']?""", r"(?![A-Za-z0-9+/=])"
 WEAK_ID = (
-    rf"{_FREE}(?:(?:ASIA|AIDA|AROA|AGPA|ANPA|SK|AC)[A-Z0-9]{{12,}}(?![A-Za-z0-9_])"
+    rf"{_FREE}(?:(?:{PREFIXES})[A-Z0-9]{{12,}}(?![A-Za-z0-9_])"
     rf"|(?i:user_?name|user_?id|user|login|client_?id|account_?id|account|access_?key_?id){_IS}[A-Za-z0-9._@+-]{{3,}}"
     r"|[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})", 0, 5)
 WEAK_KEY = (
@@ -88,21 +89,42 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """(key, text_hash, one span array per kind): the only pass over the texts.
 
     Runs below the least length cannot match, so the patterns of plain runs ask for it at once; an assignment must be
-    matched first and judged then, as a short value still uses up its characters.
+    matched first and judged then, as a short value still uses up its characters. Every link needs an identifier and a
+    key: weak keys are looked for only in texts that hold an identifier, addresses only in those that hold both.
     """
     runs = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
+    none = F.array().cast(SPAN)
+
+    def found(body: Column, kind: str) -> Column:
+        pattern, group, least = (STRONG | WEAK)[kind]
+        return find_spans(body, runs.get(kind, pattern), group, least)
+
+    def holds(spans: Column, role: str) -> Column:
+        return reduce(or_, [F.size(spans[k]) > 0 for k in STRONG if ROLES[k] == role])
+
+    def with_ids(body: Column) -> Column:
+        # No weak identifier is without one of these.
+        may = body.contains("@") | body.contains("=") | body.contains(":") | body.rlike(f"(?:{PREFIXES})[A-Z0-9]{{12}}")
+        return F.struct(*[found(body, k).alias(k) for k in STRONG], F.when(may, found(body, "weak_id")).otherwise(none).alias("weak_id"))
+
+    def with_keys(body: Column, m: Column) -> Column:
+        ids = holds(m, "id") | (F.size(m["weak_id"]) > 0)
+        return F.struct(m.alias("m"), ids.alias("ids"), F.when(ids, found(body, "weak_key")).otherwise(none).alias("weak_key"))
 
-    def of(body: Column) -> Column:
-        return F.struct(*[find_spans(body, runs.get(k, p), g, n).alias(k) for k, (p, g, n) in (STRONG | WEAK).items()])
+    def with_endpoints(body: Column, n: Column) -> Column:
+        both = n["ids"] & (holds(n["m"], "key") | (F.size(n["weak_key"]) > 0))
+        endpoints = F.when(both, found(body, "weak_endpoint")).otherwise(none)
+        return F.struct(*[n["m"][k].alias(k) for k in (*STRONG, "weak_id")], n["weak_key"].alias("weak_key"),
+                        endpoints.alias("weak_endpoint"))
 
     def disjoint(m: Column) -> Column:
         strong = F.concat(*[m[k] for k in STRONG])
         return F.struct(*[m[k].alias(k) for k in STRONG], *[
             F.filter(m[k], lambda s: ~F.exists(strong, lambda b: _overlap(s, b))).alias(k) for k in WEAK])
 
-    spans = let(let(F.coalesce(F.col(text), F.lit("")), of), disjoint)
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
-                       spans.alias("spans"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    spans = let(let(let(with_ids(body), lambda m: with_keys(body, m)), lambda n: with_endpoints(body, n)), disjoint)
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("text_hash"), spans.alias("spans"))
     return rows.select("key", "text_hash", "spans.*")
 
 
