@@ -6,7 +6,9 @@ hundred features, one-versus-rest kernel ridge regression separates the language
 matrix products.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0. Rows without a language are not learned
-from. Repeated rows are predicted alike; without training rows everything is ``und``.
+from. Repeated rows are predicted alike; of languages with equal outputs the first in the alphabet is taken. Without
+training rows everything is ``und``, and an empty table gives an empty one. Texts of any length are predicted whole.
+Only the named columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from postsift.llm.batches import bounded_batches
 from postsift.llm.ngrams import char_ngrams, words_of
+from postsift.llm.sampling import least_hashed
 
 LOW, HIGH = 1, 4
 BUCKETS = 1 << 16
@@ -109,14 +111,16 @@ def train(texts: list[str | None], langs: list[str], landmarks: int = LANDMARKS,
 
 def labelled_sample(docs: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", lang: str = "lang",
                     per_lang: int = PER_LANG, chars: int = FIT_CHARS) -> DataFrame:
-    """(text, lang): at most ``per_lang`` rows of each language, those with the least hash of their key."""
-    rows = docs.filter(allowed & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= chars))
-    ranked = rows.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.xxhash64(key).alias("h")).withColumn(
-        "rank", F.row_number().over(W.partitionBy("l").orderBy("h", "k")))
-    picked = ranked.filter(F.col("rank") <= per_lang).select("k")
+    """(text, lang): at most ``per_lang`` rows of each language, those with the least hash of their key.
+
+    Of rows that share key and language the least text stands for all, so the bound holds for repeated rows too.
+    """
+    rows = (docs.filter(allowed & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= chars))
+            .select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")))
+    picked = least_hashed(rows, "lang", "key", per_lang)
     # per_lang keys for each language: the bound that lets them be broadcast.
-    return rows.join(F.broadcast(picked), F.col(key) == F.col("k"), "left_semi").select(
-        F.col(text).alias("text"), F.col(lang).alias("lang"))
+    return (rows.join(F.broadcast(picked), (F.col("key") == F.col("k")) & (F.col("lang") == F.col("g")))
+            .groupBy("key", "lang").agg(F.min("text").alias("text")).select("text", "lang"))
 
 
 def fit(docs: DataFrame, allowed: Column, **names) -> Model:

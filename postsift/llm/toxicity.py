@@ -5,7 +5,9 @@ never saw share n-gram vectors with the words it saw. Once trained, a vector mat
 scoring looks up one number per n-gram, once per different word of a batch.
 
 Defined cases: a null or empty text scores as the bias alone. Rows whose label is null are not learned from. Repeated
-rows score alike; without labelled rows of both classes every score is 0.
+rows score alike; without labelled rows of both classes every score is 0, and an empty table gives an empty one. A
+document labelled both ways is learned from as both. Texts of any length are scored whole. Only the named columns are
+read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql.functions import arrow_udf
 
 from postsift.llm.batches import bounded_batches
 from postsift.llm.ngrams import char_ngrams, summed, words_of
+from postsift.llm.sampling import least_hashed
 
 LOW, HIGH = 3, 5
 BUCKETS = 1 << 17
@@ -164,17 +167,17 @@ def remainder(key: str, divisor: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text",
                     label: str = "toxic", per_class: int = PER_CLASS, chars: int = FIT_CHARS) -> DataFrame:
-    """(text, label): at most ``per_class`` rows of each class, those with the least hash of their key."""
-    small = docs.filter(F.length(text) <= chars).select(F.col(key).alias("k"))
-    picked = None
-    for value in (0, 1):
-        some = (labels.filter(allowed & (F.col(label) == value)).select(F.col(key).alias("lk"), F.col(label).alias("label"))
-                .join(small, F.col("lk") == F.col("k"), "left_semi")
-                .orderBy(F.xxhash64("lk"), "lk").limit(per_class))
-        picked = some if picked is None else picked.unionByName(some)
+    """(text, label): at most ``per_class`` rows of each class, those with the least hash of their key.
+
+    Of rows that share key and label the least text stands for all, so the bound holds for repeated rows too.
+    """
+    small = docs.filter(F.length(text) <= chars).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    known = (labels.filter(allowed & F.col(label).isin(0, 1)).select(F.col(key).alias("lk"), F.col(label).alias("label"))
+             .join(small.select("key"), F.col("lk") == F.col("key"), "left_semi"))
     # At most two per_class rows of two numbers: the bound that lets them be broadcast.
-    return (docs.select(F.col(key).alias("k"), F.col(text).alias("text")).filter(F.length("text") <= chars)
-            .join(F.broadcast(picked), F.col("k") == F.col("lk")).select("text", "label"))
+    picked = F.broadcast(least_hashed(known, "label", "lk", per_class))
+    return (small.join(picked, F.col("key") == F.col("k")).groupBy("key", F.col("g").alias("label"))
+            .agg(F.min("text").alias("text")).select("text", "label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, **names) -> Model:

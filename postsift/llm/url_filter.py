@@ -5,7 +5,7 @@ combinations that go with one verdict; those with enough support and confidence
 meet rules through an inverted index, in which each rule is posted under its rarest token.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path and no tokens, so it gets the default
-verdict. A path that is empty starts with no rule's path. Repeated rows are judged alike, null ids are carried along,
+verdict; an empty table gives an empty one. A path that is empty starts with no rule's path. Repeated rows are judged alike, null ids are carried along,
 and only the id and the url are read. Without labelled pages nothing is mined.
 """
 
@@ -72,16 +72,32 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(marked(host, r"\.", "h:"), marked(path, r"[^\p{L}\p{N}]+", "p:"), marked(query, "&", "q:")))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-               min_count: int = MIN_COUNT) -> DataFrame:
+def support_share(rows: int, min_support: float, min_count: int) -> float:
+    """The share of ``rows`` that is at least ``min_support`` and at least ``min_count`` rows."""
+    return min(1.0, max(min_support, min_count / max(rows, 1)))
+
+
+def frequent_tokens(labelled: DataFrame, least: float) -> DataFrame:
+    """(token, same) of the tokens in at least ``least`` rows; ``same`` is the first of those that share all rows.
+
+    Tokens that always occur together double the frequent combinations each and say nothing of their own, so one of
+    them stands for all in mining and matching. Sums of the rows' hashes tell sets of rows apart. At most tokens-per-url
+    times rows / ``least`` tokens are left.
+    """
+    row = F.xxhash64("tokens").cast("decimal(20,0)")
+    counted = (labelled.select(F.explode("tokens").alias("token"), row.alias("row")).groupBy("token")
+               .agg(F.count(F.lit(1)).alias("n"), F.sum("row").alias("rows")).filter(F.col("n") >= least))
+    first = counted.groupBy(F.col("n").alias("n_"), F.col("rows").alias("rows_")).agg(F.min("token").alias("same"))
+    return counted.join(first, (F.col("n") == F.col("n_")) & (F.col("rows") == F.col("rows_"))).select("token", "same")
+
+
+def mine_rules(labelled: DataFrame, share: float, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(antecedent, verdict, confidence, support, head) from (tokens, verdict); ``head`` is the rarest antecedent token.
 
-    A combination must occur in a share of ``min_support`` and in ``min_count`` rows, as a confidence from a few rows
-    says nothing.
+    A combination must occur in ``share`` of the rows.
     """
-    min_support = min(1.0, max(min_support, min_count / max(labelled.count(), 1)))
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(items)
     label = F.get("consequent", 0)
     rules = model.associationRules.filter(label.startswith(LABEL)).select(
         F.array_sort("antecedent").alias("antecedent"), F.substring(label, len(LABEL) + 1, 1 << 20).alias("verdict"),
@@ -110,11 +126,13 @@ def matched(signatures: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: Sequence[ListedRule] = LISTED, min_support: float = MIN_SUPPORT,
-          min_confidence: float = MIN_CONFIDENCE, default: str = DEFAULT, key: str = "page_id", url: str = "url") -> DataFrame:
+          min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, default: str = DEFAULT, key: str = "page_id", url: str = "url") -> DataFrame:
     """(key, host, path, rule, verdict, mined_rule, confidence): one row per page.
 
-    A page's tokens shrink to those that occur in a rule. At most tokens-per-url / ``min_support`` tokens can, so their
-    list is bounded whatever the number of pages, and equal remains are matched once.
+    A combination needs a share of ``min_support`` and ``min_count`` of the labelled rows, as a confidence from a few
+    rows says nothing. A page's tokens shrink to frequent ones, each under the name that stands for it, and then to
+    those that occur in a rule. At most tokens-per-url / ``min_support`` tokens can, so their list is bounded whatever
+    the number of pages, and equal remains are matched once.
     """
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"))
     rows = rows.select("key", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -122,7 +140,17 @@ def judge(pages: DataFrame, rules: Sequence[ListedRule] = LISTED, min_support: f
     rows = rows.select("key", "host", "path", text.alias("rule"), verdict.alias("verdict"),
                        url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
     rows, _ = write_stage(rows, "url_tokens")
-    mined, _ = write_stage(mine_rules(rows.filter(F.col("verdict").isNotNull()), min_support, min_confidence), "url_rules")
+    labelled = rows.filter(F.col("verdict").isNotNull())
+    n_labelled = labelled.count()
+    share = support_share(n_labelled, min_support, min_count)
+    same = {r.token: r.same for r in frequent_tokens(labelled, share * n_labelled * (1 - 1e-9)).collect()}
+    if same:
+        stands = F.create_map(*[F.lit(x) for pair in sorted(same.items()) for x in pair])
+        kept = F.array_distinct(F.filter(F.transform("tokens", lambda t: F.try_element_at(stands, t)), lambda t: t.isNotNull()))
+    else:
+        kept = F.array().cast("array<string>")
+    rows = rows.withColumn("tokens", kept)
+    mined, _ = write_stage(mine_rules(rows.filter(F.col("verdict").isNotNull()), share, min_confidence), "url_rules")
     used = [r[0] for r in mined.select(F.explode("antecedent")).distinct().collect()]
     known = F.array(*[F.lit(t) for t in sorted(used)]) if used else F.array().cast("array<string>")
     rows = rows.withColumn("signature", F.array_sort(F.array_intersect("tokens", known)))

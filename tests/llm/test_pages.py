@@ -127,3 +127,15 @@ def test_an_archive_carries_its_dictionary(spark):
         A.parse_record(broken)
     with pytest.raises(ValueError, match="ends within"):
         list(A.frames_of(data[: len(data) - 40]))
+
+
+def test_tokens_that_always_occur_together_stand_for_one(spark):
+    """Thirty tokens in every url would make 2^30 combinations."""
+    path = "/".join(f"s{i}" for i in range(30))
+    urls = [f"http://a{i % 2}.{['org', 'com'][i % 2]}/{['x', 'de'][i % 2]}/{path}" for i in range(200)]
+    urls += [f"http://a1.net/{path}", f"http://b.net/{path}", "http://a0.net/s7", "http://b.net/x"]
+    rows = U.judge(pages_frame(spark, [(i, u, None) for i, u in enumerate(urls)]), min_support=0.1, default="none").collect()
+    verdicts = {r.page_id: r.verdict for r in rows}
+    assert [verdicts[200], verdicts[201], verdicts[202], verdicts[203]] == ["block", "none", "allow", "allow"]
+    table = spark.createDataFrame([(["b", "a", "c"],), (["a", "b"],), (["d", "e"],), (["e"],)], "tokens array<string>")
+    assert sorted(tuple(r) for r in U.frequent_tokens(table, 1).collect()) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "d"), ("e", "e")]
