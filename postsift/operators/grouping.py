@@ -8,6 +8,8 @@ large after that is cut into chunk pairs, so no task ever holds a whole bucket.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import itertools
 
 from pyspark.sql import Column, DataFrame
@@ -331,10 +333,15 @@ def group_table(components: DataFrame) -> DataFrame:
     return numbered_groups(components).join(reps, F.col("component") == F.col("__c")).drop("__c")
 
 
-def assignments(components: DataFrame, groups: DataFrame) -> DataFrame:
-    return (components.select("seq", "message_id", F.col("component").alias("__c"))
+def assignments(components: DataFrame, groups: DataFrame, records: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per message with its group; ``keys`` are further columns taken from ``records``, such as the account."""
+    rows = (components.select("seq", "message_id", F.col("component").alias("__c"))
             .join(groups, F.col("component") == F.col("__c"))
             .select("seq", "template_group_id", "message_id", "representative_message_id", "group_size"))
+    if not keys:
+        return rows
+    named = records.select(F.col("seq").alias("__seq"), *keys)
+    return rows.join(named, F.col("seq") == F.col("__seq")).drop("__seq")
 
 
 def representatives(records: DataFrame, groups: DataFrame) -> DataFrame:

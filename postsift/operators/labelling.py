@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,17 +153,24 @@ def export_reviewed(df: DataFrame) -> DataFrame:
     return df.filter(F.col("label").isin(K.LABELS))
 
 
-def _raw_with_group(raw: DataFrame, assignments: DataFrame) -> DataFrame:
-    last_raw = keep_one(raw, ["message_id"], last=True)
-    marks = assignments.select(F.col("message_id").alias("__id"), F.col("template_group_id"),
+def _same(keys: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+
+
+def _raw_with_group(raw: DataFrame, assignments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    last_raw = keep_one(raw, list(keys), last=True)
+    marks = assignments.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("template_group_id"),
                                F.col("group_size").cast("int").alias("template_group_size"),
                                "representative_message_id")
-    return last_raw.join(marks, F.col("message_id").eqNullSafe(F.col("__id"))).drop("__id")
+    return last_raw.join(marks, _same(keys)).drop(*[f"__{k}" for k in keys])
 
 
-def expand_labels(raw: DataFrame, assignments: DataFrame, reps: DataFrame, respect_gate: bool = False) -> DataFrame:
+def expand_labels(raw: DataFrame, assignments: DataFrame, reps: DataFrame, respect_gate: bool = False,
+                  keys: Sequence[str] = ("message_id",)) -> DataFrame:
     """Carry each representative's label to every message of its template.
 
+    ``keys`` say which message an assignment means; with ``("account", "message_id")`` mailboxes may share ids.
+
     By default a label blanked by the confidence gate comes back from ``openai_label``;
     ``respect_gate`` leaves it empty.
     """
@@ -172,15 +183,15 @@ def expand_labels(raw: DataFrame, assignments: DataFrame, reps: DataFrame, respe
                    F.coalesce("openai_label", "__label").alias("openai_label"), "openai_confidence", "openai_reason",
                    F.coalesce("review_status", F.lit("propagated")).alias("review_status")))
     carried = [c for c in ("openai_label", "openai_confidence", "openai_reason", "review_status") if c in raw.columns]
-    rows = _raw_with_group(raw.drop(*carried), assignments)
+    rows = _raw_with_group(raw.drop(*carried), assignments, keys)
     return (rows.join(rep, F.col("template_group_id") == F.col("__gid"))
             .withColumn("label", F.col("__label")).withColumn("label_source", F.lit("template_group"))
             .drop("__gid", "__label"))
 
 
-def missing_groups(raw: DataFrame, assignments: DataFrame, reps: DataFrame) -> DataFrame:
+def missing_groups(raw: DataFrame, assignments: DataFrame, reps: DataFrame, keys: Sequence[str] = ("message_id",)) -> DataFrame:
     """Groups that have a message but no labelled representative."""
     known = reps.filter(F.col("template_group_id") != "").select("template_group_id").distinct()
-    ids = raw.select(F.col("message_id").alias("__id")).distinct()
-    present = assignments.join(ids, F.col("message_id").eqNullSafe(F.col("__id")), "left_semi")
+    ids = raw.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    present = assignments.join(ids, _same(keys), "left_semi")
     return present.join(known, "template_group_id", "left_anti").select("template_group_id").distinct()

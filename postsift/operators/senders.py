@@ -8,53 +8,95 @@ from pyspark.sql import functions as F
 
 from postsift import constants as K
 from postsift.functions import text as T
+from postsift.session import cut_lineage
 
 
-def with_sender(df: DataFrame) -> DataFrame:
-    """Rows whose sender header holds an address, reduced to what the report needs."""
-    email = T.extract_email(F.col("from"))
-    return (df.withColumn("email", email).filter(F.col("email") != "")
+def _narrow(df: DataFrame) -> DataFrame:
+    """What the report needs of each row; email and domain are null where the header holds no address."""
+    email = F.nullif(T.extract_email(F.col("from")), F.lit(""))
+    return (df.withColumn("email", email)
             .select("seq", "email", F.substring_index("email", "@", -1).alias("domain"),
                     T.display_name(F.col("from")).alias("name"),
                     F.when(F.col("label") != "", F.col("label")).otherwise("unknown").alias("label"),
                     F.substring(F.coalesce("subject", F.lit("")), 1, K.SENDER_SAMPLE_CHARS).alias("subject")))
 
 
+def with_sender(df: DataFrame) -> DataFrame:
+    """Rows whose sender header holds an address, reduced to what the report needs."""
+    return _narrow(df).filter(F.col("email").isNotNull())
+
+
+def _singles(rows: DataFrame) -> DataFrame:
+    """Every row as a cell of its own."""
+    return rows.withColumn("n", F.lit(1)).withColumn("first_seq", F.col("seq"))
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """(email, domain, name, label, n, first_seq): what all counts of the report can be rolled up from."""
+    return rows.groupBy("email", "domain", "name", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+
+
+def _sum(by: DataFrame, *keys: str) -> DataFrame:
+    return by.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
+
+
+def _counts(by: DataFrame) -> DataFrame:
+    return by.groupBy("email", "domain").agg(F.sum("n").alias("count"))
+
+
+def _domains(by: DataFrame) -> DataFrame:
+    return by.groupBy("domain").agg(F.sum("n").alias("count"), F.min("first_seq").alias("first_seq"))
+
+
+def _top(domains: DataFrame, n: int) -> DataFrame:
+    return domains.orderBy(F.desc("count"), "first_seq").limit(n).select("domain", "count")
+
+
+def _names(by: DataFrame) -> DataFrame:
+    names = _sum(by.filter(F.col("name") != ""), "email", "name")
+    return names.groupBy("email").agg(
+        F.max_by("name", F.struct("n", -F.col("first_seq"))).alias("display_name"))
+
+
+def _labels(by: DataFrame) -> DataFrame:
+    entries = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "first_seq", "label", "n")))
+    return _sum(by, "email", "label").groupBy("email").agg(F.to_json(F.map_from_entries(
+        F.transform(entries, lambda e: F.struct(e["label"], e["n"])))).alias("labels"))
+
+
+def _samples(rows: DataFrame, n: int) -> DataFrame:
+    first = (rows.select("email", "seq", "subject")
+             .withColumn("position", F.row_number().over(W.partitionBy("email").orderBy("seq")))
+             .filter(F.col("position") <= n))
+    return first.select("email", "position", "subject")
+
+
 def sender_counts(df: DataFrame) -> DataFrame:
-    return with_sender(df).groupBy("email", "domain").agg(F.count(F.lit(1)).alias("count"))
+    return _counts(_singles(with_sender(df)))
 
 
 def domain_counts(df: DataFrame) -> DataFrame:
-    return with_sender(df).groupBy("domain").agg(F.count(F.lit(1)).alias("count"), F.min("seq").alias("first_seq"))
+    return _domains(_singles(with_sender(df)))
 
 
 def top_domains(df: DataFrame, n: int = K.TOP_DOMAINS) -> DataFrame:
-    return domain_counts(df).orderBy(F.desc("count"), "first_seq").limit(n).select("domain", "count")
+    return _top(domain_counts(df), n)
 
 
 def sender_display_names(df: DataFrame) -> DataFrame:
     """Most common non-empty name; the first seen wins a tie."""
-    names = (with_sender(df).filter(F.col("name") != "").groupBy("email", "name")
-             .agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")))
-    return names.groupBy("email").agg(
-        F.max_by("name", F.struct("n", -F.col("first_seq"))).alias("display_name"))
+    return _names(_singles(with_sender(df)))
 
 
 def sender_labels(df: DataFrame) -> DataFrame:
     """Label histogram per sender as JSON text, most frequent first, first seen on ties."""
-    counts = (with_sender(df).groupBy("email", "label")
-              .agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")))
-    entries = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "first_seq", "label", "n")))
-    return counts.groupBy("email").agg(F.to_json(F.map_from_entries(
-        F.transform(entries, lambda e: F.struct(e["label"], e["n"])))).alias("labels"))
+    return _labels(_singles(with_sender(df)))
 
 
 def sender_samples(df: DataFrame, n: int = K.SENDER_SAMPLE_SUBJECTS) -> DataFrame:
     """First ``n`` subjects per sender; the rank limit is applied before the shuffle as well as after."""
-    first = (with_sender(df).select("email", "seq", "subject")
-             .withColumn("position", F.row_number().over(W.partitionBy("email").orderBy("seq")))
-             .filter(F.col("position") <= n))
-    return first.select("email", "position", "subject")
+    return _samples(with_sender(df), n)
 
 
 def with_reasons(senders: DataFrame) -> DataFrame:
@@ -73,25 +115,28 @@ def with_reasons(senders: DataFrame) -> DataFrame:
 def mine_senders(df: DataFrame, min_count: int = 3) -> dict[str, DataFrame]:
     """The sender report as tables: candidates, domain candidates, top domains and totals.
 
-    Candidates stay rows of a table rather than one array, so the report has no driver-sized row.
+    The mail is read once, into a written table of narrow rows, and counted once, into a written table of cells; every
+    table of the report is rolled up from these. Candidates stay rows of a table rather than one array, so the report
+    has no driver-sized row.
     """
-    named = sender_counts(df).join(sender_display_names(df), "email", "left")
+    rows = cut_lineage(_narrow(df), "sender_rows")
+    every = cut_lineage(cells(rows), "sender_cells")
+    found, by = rows.filter(F.col("email").isNotNull()), every.filter(F.col("email").isNotNull())
+    named = _counts(by).join(_names(by), "email", "left")
     reasoned = with_reasons(named.withColumn("display_name", F.coalesce("display_name", F.lit(""))))
     strong = F.exists("reasons", lambda r: F.startswith(r, F.lit("local:")) | F.startswith(r, F.lit("name:")))
     candidates = reasoned.filter((F.size("reasons") > 0) & ((F.col("count") >= min_count) | strong))
-    samples = (sender_samples(df).groupBy("email")
+    samples = (_samples(found, K.SENDER_SAMPLE_SUBJECTS).groupBy("email")
                .agg(F.array_sort(F.collect_list(F.struct("position", "subject"))).alias("s"))
                .select("email", F.col("s.subject").alias("sample_subjects")))
-    candidates = (candidates.join(sender_labels(df), "email").join(samples, "email")
+    candidates = (candidates.join(_labels(by), "email").join(samples, "email")
                   .select("email", "count", "display_name", "reasons", "labels", "sample_subjects")
                   .orderBy(F.desc("count"), "email"))
-    domains = domain_counts(df)
+    domains = _domains(by)
     marked = T.first_contained(F.lower("domain"), K.AUTOMATED_DOMAIN_MARKERS).isNotNull()
     domain_candidates = (domains.filter((F.col("count") >= min_count) & marked).select("domain", "count")
                          .orderBy(F.desc("count"), "domain"))
-    email = F.nullif(T.extract_email(F.col("from")), F.lit(""))
-    totals = df.select(email.alias("e"), F.substring_index(email, "@", -1).alias("d")).agg(
-        F.count(F.lit(1)).alias("records"), F.countDistinct("e").alias("unique_senders"),
-        F.countDistinct("d").alias("unique_domains"))
+    totals = every.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.countDistinct("email").alias("unique_senders"),
+                       F.countDistinct("domain").alias("unique_domains"))
     return {"candidates": candidates, "domain_candidates": domain_candidates,
-            "top_domains": top_domains(df), "totals": totals}
+            "top_domains": _top(domains, K.TOP_DOMAINS), "totals": totals}

@@ -6,9 +6,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from postsift.operators import grouping as G
 from postsift.operators import labelling as L
 from postsift.operators import rows as R
 from postsift.operators import scoring as C
+from postsift.operators import senders as S
 from postsift.schemas import raw_message
 from postsift.sources import mail as M
 
@@ -239,3 +241,37 @@ def test_balanced_class_weights(spark):
     df = spark.createDataFrame([("a",)] * 6 + [("b",)] * 2, "label string")
     got = {r["label"]: r["class_weight"] for r in class_weights(df, ["a", "b"]).distinct().collect()}
     assert got == {"a": pytest.approx(8 / 12), "b": pytest.approx(2.0)}
+
+
+def test_expansion_by_account(spark):
+    """Two mailboxes use the id ``m1`` for different mail."""
+    raw = spark.createDataFrame([(0, "a", "m1", "", "one"), (1, "b", "m1", "", "two"), (2, "a", "m1", "", "one again"), (3, "b", "m2", "", "x")],
+                                "seq long, account string, message_id string, label string, text string")
+    parts = spark.createDataFrame([(0, "m1", 0), (1, "m1", 1), (3, "m2", 1)], "seq long, message_id string, component long")
+    groups = spark.createDataFrame([(0, "group_00002", 1, 0, "m1"), (1, "group_00001", 2, 1, "m1")],
+                                   "component long, template_group_id string, group_size long, rep_seq long, representative_message_id string")
+    marks = G.assignments(parts, groups, raw, ["account"])
+    reps = spark.createDataFrame([(5, "group_00002", "payment", "", 0.9, "", "reviewed"), (6, "group_00001", "urgent", "", 0.9, "", "reviewed")],
+                                 "seq long, template_group_id string, label string, openai_label string, openai_confidence double, "
+                                 "openai_reason string, review_status string")
+    rows = L.expand_labels(raw, marks, reps, keys=["account", "message_id"]).collect()
+    assert sorted((r.account, r.message_id, r.label, r.text) for r in rows) == [
+        ("a", "m1", "payment", "one again"), ("b", "m1", "urgent", "two"), ("b", "m2", "urgent", "x")]
+    some = raw.filter("account = 'b'")
+    missing = lambda keys: [r[0] for r in L.missing_groups(some, marks, reps.limit(0), keys).orderBy(
+        "template_group_id").collect()]
+    assert missing(["account", "message_id"]) == ["group_00001"] and missing(["message_id"]) == ["group_00001", "group_00002"]
+
+
+def test_sender_report_equals_a_loop(spark):
+    mail = [("Ann <ann@x.org>", "", "s0"), ("No-Reply <no-reply@shop.com>", "payment", "s1"), (None, "", "s2"), ("nobody", "urgent", None),
+            ("Shop <no-reply@shop.com>", "payment", None), ("\"Shop\" <no-reply@shop.com>", "", "s5"), ("no-reply@shop.com", "", "s6")]
+    df = spark.createDataFrame([(i, *m) for i, m in enumerate(mail)], "seq long, `from` string, label string, subject string").repartition(3)
+    report = S.mine_senders(df)
+    assert report["totals"].first().asDict() == {"records": 7, "unique_senders": 2, "unique_domains": 2}
+    row, = report["candidates"].collect()
+    assert (row.email, row["count"], row.display_name, row.sample_subjects) == ("no-reply@shop.com", 4, "Shop", ["s1", "", "s5"])
+    assert row.labels == '{"payment":2,"unknown":2}'
+    assert [tuple(r) for r in report["top_domains"].collect()] == [("shop.com", 4), ("x.org", 1)]
+    none = S.mine_senders(df.limit(0))
+    assert none["totals"].first().asDict() == {"records": 0, "unique_senders": 0, "unique_domains": 0} and none["candidates"].count() == 0
