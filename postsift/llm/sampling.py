@@ -18,8 +18,8 @@ def least_hashed(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
             .distinct().withColumn("h", F.xxhash64("k")).withColumn("place", F.shiftright("h", 48)))
     counts = keys.groupBy("g", "place").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("g").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    reach = (counts.withColumn("before", before).filter(F.col("before") < n)
-             .groupBy(F.col("g").alias("gg")).agg(F.max("place").alias("last")))
-    near = keys.join(reach, (F.col("g") == F.col("gg")) & (F.col("place") <= F.col("last")))
+    # Joined by group and range, as a group alone may hold most rows.
+    reach = counts.withColumn("before", before).filter(F.col("before") < n).select(F.col("g").alias("gg"), F.col("place").alias("pp"))
+    near = keys.join(reach, (F.col("g") == F.col("gg")) & (F.col("place") == F.col("pp")), "left_semi")
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy("h", "k")))
     return ranked.filter(F.col("rank") <= n).select("g", "k")
