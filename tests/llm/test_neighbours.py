@@ -5,7 +5,6 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 from conftest_llm import BASE, EDGE, docs_frame, prose
 
 from postsift.llm import decontam as D
@@ -163,7 +162,21 @@ def brute_coverage(doc, item, seed):
         covered += n
 
 
-def test_tiles_of_moved_passages(spark, edge, nothing):
+def found_leaks(spark, rows, items, **options):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_frame(spark, list(rows)).drop("__leaks")
+    return [(r.doc_id, r["__leaks"]) for r in D.with_leaks(docs, bench, "__leaks", **options).collect()]
+
+
+def test_a_phrase_that_most_texts_hold_brings_few_pairs_together(spark):
+    phrase = "as has been said before in this very place"
+    items = [(i, f"{prose(600 + i, 30, 9000)} {phrase}") for i in range(30)] + [(90, phrase), (91, f"{phrase} again")]
+    rows = [(i, f"{prose(800 + i, 20, 9000)} {phrase} {items[i][1] if i < 5 else ''}") for i in range(60)]
+    got = dict(found_leaks(spark, rows, items))
+    assert all({x.item_id for x in got[i]} == {90, 91} | ({i} if i < 5 else set()) for i in range(60))
+
+
+def test_tiles_of_moved_passages(spark, edge, nothing, monkeypatch):
     random_ = random.Random(6)
     items = [prose(200 + i, 40, 60).split() for i in range(4)] + [["one", "two"]]
     docs = []
@@ -176,26 +189,27 @@ def test_tiles_of_moved_passages(spark, edge, nothing):
         for part in parts[: random_.randrange(1, 5)]:
             words += part + prose(400 + i, 3, 60).split()
         docs.append((i, words))
-    texts = pa.array([" ".join(w).upper().replace(" ", ", ") for _, w in docs])
-    block = D.make_block([10, 11, 12, 13, 14], [" ".join(i) for i in items], 5)
-    for (_, words), leaks in zip(docs, D.leaks_of(texts, block, 5, 0.3)):
-        want = {10 + k: round(c, 6) for k, item in enumerate(items[:4]) if (c := brute_coverage(words, item, 5)) >= 0.3}
-        assert {x["item_id"]: round(x["coverage"], 6) for x in leaks} == want
+    texts = [(i, " ".join(w).upper().replace(" ", ", ")) for i, w in docs]
+    block = [(10 + i, " ".join(item)) for i, item in enumerate(items)]
+    got = found_leaks(spark, texts + texts[:3], block, coverage=0.3)
+    assert len(got) == 43
+    for i, leaks in got:
+        want = {10 + k: round(c, 6) for k, item in enumerate(items[:4]) if (c := brute_coverage(docs[i][1], item, 5)) >= 0.3}
+        assert {x.item_id: round(x.coverage, 6) for x in leaks} == want
 
     # An item that stands there whole is found, however short, but for one and two words.
-    short = D.make_block([1, 2, 3, 4], ["one two three", "Four, five six seven!", "one two", "three one two"], 5)
-    found = D.leaks_of(pa.array(["x one two three y one two three", "four five six", "zero four FIVE six seven", None, "one two"]), short, 5, 0.5)
-    assert [[x["item_id"] for x in leaks] for leaks in found] == [[1], [], [2], [], []] and found[0][0]["coverage"] == 1
+    short = [(1, "one two three"), (2, "Four, five six seven!"), (3, "one two"), (4, "three one two")]
+    found = found_leaks(spark, enumerate(["x one two three y one two three", "four five six", "zero four FIVE six seven", None, "one two"]), short)
+    assert [[x.item_id for x in leaks] for _, leaks in sorted(found)] == [[1], [], [2], [], []] and sorted(found)[0][1][0].coverage == 1
     # One word again and again: a run a diagonal, not every pair of places.
-    same = D.make_block([1], ["again " * 200], 5)
-    words, begins = D.normal_words(pa.array(["again " * 20_000]))
-    runs = D.seed_runs(words, begins, same, same.seeds[0])
-    assert len(runs) < 20_200 and D.leaks_of(pa.array(["again " * 2000, "again " * 60]), same, 5, 0.25) == [
-        [{"item_id": 1, "coverage": 1.0, "tiles": 1}], [{"item_id": 1, "coverage": 0.3, "tiles": 1}]]
+    assert len(D.seed_runs([(np.arange(19_996), np.arange(196))])) < 20_200
+    same = sorted(found_leaks(spark, [(0, "again " * 20_000), (1, "again " * 60)], [(1, "again " * 200)], coverage=0.25))
+    assert [[tuple(x) for x in leaks] for _, leaks in same] == [[(1, 1.0, 1)], [(1, 0.3, 1)]]
 
     bench = spark.createDataFrame([(1, BASE), (2, None), (3, "one two"), (4, prose(4, 90)), (4, prose(4, 90))], "item_id long, text string")
-    for chars in (1 << 20, 100):  # one block, several blocks
-        rows = D.report(edge, bench, block_chars=chars)
+    for bits in (D.MOST_BITS, 6):  # a table that tells windows apart, one that lets all of them pass
+        monkeypatch.setattr(D, "MOST_BITS", bits)
+        rows = D.report(edge, bench)
         found = sorted((str(r.doc_id), r.item_ids) for r in rows.collect() if r.leaked)
         assert found == [("1", [1]), ("10", [4, 4]), ("10", [4, 4]), ("2", [1]), ("3", [1])]
     assert D.keep_clean(edge, bench).count() == len(EDGE) - 5 and D.keep_clean(edge, bench).columns == edge.columns
