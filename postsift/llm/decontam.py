@@ -43,7 +43,9 @@ LEAST_WORDS = 3
 #: Places of shared windows that are held at once.
 PAIRS = 1 << 20
 COVERAGE = 0.5
-#: Bits of the table of known windows: 16 a window, 16 MB in all at the most. Beyond, the join takes more rows, none are lost.
+#: Entries of the table of known windows: 512 bits a window, 2 ** 27 bits (16 MB) in all at the most, whatever the
+#: benchmark. Beyond, more windows pass by chance and are left to the join; none are lost.
+WINDOW_BITS = 512
 FEWEST_BITS, MOST_BITS = 16, 27
 LEAK = "array<struct<item_id:long,coverage:double,tiles:int>>"
 SEEDS = T.ArrayType(T.StructType().add("w", T.BinaryType()).add("at", T.ArrayType(T.IntegerType())))
@@ -225,7 +227,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: s
     items = cut_lineage(item_windows(benchmark, item_key, item_text, seed, coverage), "decontam_items")
     count = items.agg(F.sum(F.size("hashes"))).first()[0] or 0
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # LEAST_WORDS to seed
-    bits = min(max(FEWEST_BITS, (16 * count).bit_length()), MOST_BITS)
+    bits = min(max(FEWEST_BITS, (WINDOW_BITS * count).bit_length()), MOST_BITS)
     known = spark.sparkContext.broadcast(known_windows(items, bits))
 
     found = docs.select(text_key(text).alias("text_key"), _shared_windows(known, bits, sizes)(F.col(text)).alias("seeds"))
