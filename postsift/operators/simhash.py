@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from postsift import constants as K
 from postsift.functions import text as T
@@ -27,19 +29,53 @@ def _as_long(unsigned: int) -> int:
     return unsigned - (1 << 64) if unsigned >= 1 << 63 else unsigned
 
 
+def _md5_counter(width: int):
+    # A local function is shipped by value, so executors need no copy of this package.
+    def count(texts: pd.Series) -> pd.Series:
+        from hashlib import md5
+
+        import numpy as np
+
+        def one(text):
+            words = (text or "").encode().split(b" ")
+            if len(words) <= width or not all(words[:width]):
+                found = [word for word in words if word]
+            elif all(words):
+                found = list(map(b" ".join, zip(*[words[i:] for i in range(width)])))
+            else:
+                runs = zip(*[words[i:] for i in range(width)])
+                found = [b" ".join(run) for run in runs if all(run)]
+            raw = np.frombuffer(b"".join([md5(f).digest() for f in found]), np.uint8).reshape(-1, 16)[:, :8]
+            ones = np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)[::-1]
+            return [len(found), *(ones[:32] + (ones[32:] << 32))]
+
+        return texts.map(one)
+
+    return F.pandas_udf(count, ArrayType(LongType()))
+
+
+_md5_counts = _md5_counter(K.SHINGLE_WIDTH)
+
+
 def simhash64(df: DataFrame, tokens: str, keys: list[str],
               feature_hash: Callable[[Column], Column] = md5_hash, out: str = "simhash") -> DataFrame:
     """SimHash of a token-string column, grouped by ``keys`` (which must identify a row).
 
     Each shingle's hash adds to 32 sums that hold two 32-bit counters each, for bits k and k+32. The
-    sums combine before the shuffle, so one short row per message moves, never its text.
+    sums combine before the shuffle, so one short row per message moves, never its text. MD5 sums are
+    counted per text in a helper, other hashes per shingle.
     """
-    features = df.select(*keys, F.explode_outer(T.shingles(F.col(tokens))).alias("__f"))
-    features = features.select(*keys, feature_hash(F.col("__f")).alias("__h"))
-    pair = F.lit((1 << 32) | 1)
-    sums = features.groupBy(*keys).agg(
-        F.count("__h").alias("__n"),
-        *[F.sum(F.shiftright("__h", k).bitwiseAND(pair)).alias(f"__s{k}") for k in range(32)])
+    if feature_hash is md5_hash:
+        counted = df.select(*keys, _md5_counts(F.col(tokens)).alias("__c"))
+        sums = counted.groupBy(*keys).agg(F.sum(F.get("__c", F.lit(0))).alias("__n"),
+                                          *[F.sum(F.get("__c", F.lit(k + 1))).alias(f"__s{k}") for k in range(32)])
+    else:
+        features = df.select(*keys, F.explode_outer(T.shingles(F.col(tokens))).alias("__f"))
+        features = features.select(*keys, feature_hash(F.col("__f")).alias("__h"))
+        pair = F.lit((1 << 32) | 1)
+        sums = features.groupBy(*keys).agg(
+            F.count("__h").alias("__n"),
+            *[F.sum(F.shiftright("__h", k).bitwiseAND(pair)).alias(f"__s{k}") for k in range(32)])
     bits = F.lit(0).cast("long")
     for k in range(32):
         low = F.col(f"__s{k}").bitwiseAND(F.lit(_LOW))

@@ -121,6 +121,17 @@ def test_simhash_of_empty_text_is_zero_and_ties_set_bits(spark):
     assert got == {0: 0, 1: 0x9eeb7fffe6ffbfec, 2: 0xdc03e03d4e0479e6}
 
 
+def test_simhash_counts_per_text_what_it_counts_per_shingle(spark):
+    texts = ["", "a", "a b", "a b c", "a b c d", "a b c d e a b c d", " a b c d e", "a  b c d e f", "a b c  d e f g", "a b c d ", "\u00e9 b c d \U0001f600", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(20, "a b c d"), (20, "d e f g h"), (None, "x"), (None, "y z")], "seq long, t string")
+    counted = S.simhash64(df, "t", ["seq"])
+    exploded = S.simhash64(df, "t", ["seq"], lambda c: S.md5_hash(c))
+    assert sorted(map(str, counted.collect())) == sorted(map(str, exploded.collect()))
+    # One row per text reaches the sums, not one per shingle.
+    plan = counted._jdf.queryExecution().toString()
+    assert "Generate" not in plan
+
+
 def test_numbering_orders_by_size_then_first_message(spark):
     members = [(0, 0), (1, 0), (2, 2), (3, 3), (4, 3), (5, 5), (400000, 400000), (400001, 400000), (400002, 400000)]
     df = spark.createDataFrame([(s, str(s), 9 - s % 3, c) for s, c in members], "seq long, message_id string, norm_len int, component long")

@@ -175,3 +175,25 @@ def test_rules_take_the_first_label(spark):
     values = ["Production issue, invoice attached", "wholesale neutral", "Random note", "FYI: meeting", "please approve the payment"]
     df = spark.createDataFrame(list(enumerate(values)), "seq long, s string")
     assert results(T.classify_by_rules(df, "s", "o"), "o") == ["urgent", "payment", None, "fyi", "action_needed"]
+
+
+def test_guarded_patterns_change_what_the_plain_ones_change(spark):
+    from postsift import constants as K
+
+    odd = ["http://a.b/c x", "ftp://a https:// b", "me@x.com, a@b", "\u212a@x.com tick-12 \u017fale-4 a-\u0663", "#12 a#34 #", "1/2/2024 3:4 \u0661.\u0662",
+           "12345 x1234 9999 \u0661\u0662\u0663\u0664", "1.5 2,3 4 a5", "usd num eur . NUM gbp.num", "deadbeef cafebabe1 xdeadbeef 0123456789ab", "plain", ""]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    for (pattern, repl), (needed, start) in zip(K.SIMILARITY_MASKS, T._MASK_NEEDS, strict=True):
+        found = rows.select(T._where(F.col("t"), needed, f"(?iuU){start}{pattern}", repl).alias("a"),
+                            F.regexp_replace("t", f"(?iuU){pattern}", repl).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in found), pattern
+    blanks = [chr(c) for c in range(0x3100) if chr(c).isspace()] + ["\u200b", "\u180e", "a"]
+    ends = spark.createDataFrame([(f"{b}x{b} {b}y{b}{b}",) for b in blanks] + [("",), (" \t ",), (None,)], "t string")
+    trimmed = ends.select(T.strip_space(F.col("t")).alias("a"), F.regexp_replace("t", rf"(?U)^{T.SPACE}+|{T.SPACE}+\z", "").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in trimmed)
+
+
+def test_shingles_pass_over_double_spaces(spark):
+    texts = ["a b c", "a b c d", "ab cd ef  gh ij kl mn", " a b c d", "a b c d ", ""]
+    got = [r["s"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.shingles(F.col("t")).alias("s")).collect()]
+    assert got == [["a", "b", "c"], ["a b c", "b c d"], ["ab cd ef", "gh ij kl", "ij kl mn"], ["a", "b", "c", "d"], ["a b c", "b c d"], []]
