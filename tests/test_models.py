@@ -26,6 +26,16 @@ def test_fits_go_on_until_probabilities_add_up(spark):
     assert mass == {"up": pytest.approx(60, abs=0.3), "down": pytest.approx(30, abs=0.3)}
 
 
+@pytest.mark.parametrize("loss", ["softmax", "ova"])
+def test_a_fit_goes_through_the_coefficients_once_a_task(spark, loss):
+    """Blocks of the default size, 1 MB, would make every task go through them for each of its blocks."""
+    rows = [(i, "a", str(i), "up" if i % 3 else "down", f"w{i % 7} {'good' if i % 3 else 'bad'}") for i in range(60)]
+    mail = spark.createDataFrame(rows, "seq long, account string, message_id string, label string, training_text string")
+    fitted = ML.train_ngram(mail, loss=loss).model
+    models = fitted.models if loss == "ova" else [fitted]
+    assert {m.getMaxBlockSizeInMB() for m in models} == {ML.BLOCK_MB}
+
+
 def test_rows_without_a_whole_vector_are_no_examples(spark):
     rows = [(i, "a", str(i), "up" if i % 2 else "down", [float(i % 2), 1.0]) for i in range(20)] + [(30, "a", "30", "lost", None),
                                                                                                (31, "a", "31", "lost", [1.0, None])]
