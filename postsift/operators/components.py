@@ -16,14 +16,14 @@ def _min_neighbour(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    linked = both.join(_min_neighbour(both).withColumnRenamed("u", "__u"), F.col("u") == F.col("__u"))
+    linked = both.join(_min_neighbour(both).withColumnRenamed("u", "__u").hint("merge"), F.col("u") == F.col("__u"))
     return linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = _min_neighbour(down)
-    linked = (down.join(low.withColumnRenamed("u", "__u"), F.col("u") == F.col("__u"))
+    linked = (down.join(low.withColumnRenamed("u", "__u").hint("merge"), F.col("u") == F.col("__u"))
               .filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")))
     return linked.unionByName(low.select("u", F.col("m").alias("v")))
 
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
     """(u, v) long edges -> (node, component) for every node on an edge; component is its least node.
 
     Each round joins edges with one minimum per node, so a hub only skews the edge side of a join,
-    which adaptive execution splits. Rounds are written out; failing to settle is an error.
+    which adaptive execution splits; minima are sorted and merged, never collected in the driver. Rounds are written out; failing to settle is an error.
     """
     links = edges.filter(F.col("u") != F.col("v")).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

@@ -32,6 +32,14 @@ STAR_ROWS = 4096
 MAX_ROUNDS = 60
 
 
+def _sorted_side(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: it is sorted and merged, never collected in the driver for a broadcast.
+
+    Tables of ids compress so well that their file sizes pass the planner's check for a broadcast when their rows should not.
+    """
+    return df.hint("merge")
+
+
 def hash_bits(simhash: Column, start: int, width: int) -> Column:
     return F.shiftrightunsigned(simhash, start).bitwiseAND(F.lit((1 << width) - 1))
 
@@ -60,7 +68,7 @@ def _pairs(keyed: DataFrame, keys: list[str], threshold: int, extra: Column, car
     same = [F.col(k) == F.col(f"__{k}") for k in keys]
     close = ((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b"))
              & (hamming(F.col("hash_a"), F.col("hash_b")) <= threshold))
-    joined = left.join(right, [*same, close & extra])
+    joined = left.join(_sorted_side(right), [*same, close & extra])
     return joined.select("id_a", "id_b", "hash_a", "hash_b", "root_a", "root_b")
 
 
@@ -82,7 +90,7 @@ def lsh_pairs(nodes: DataFrame, threshold: int = K.HAMMING_THRESHOLD, bands: int
                                          F.max("root").alias("hi"))
              .filter((F.col("size") > 1) & (F.col("lo") != F.col("hi")))
              .select(*[F.col(k).alias(f"__{k}") for k in bucket], "size"))
-    sized = cut_lineage(banded.join(sizes, [F.col(k) == F.col(f"__{k}") for k in bucket])
+    sized = cut_lineage(banded.join(_sorted_side(sizes), [F.col(k) == F.col(f"__{k}") for k in bucket])
                         .drop(*[f"__{k}" for k in bucket]), "banded")
     diff = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
     first_band = F.col("band") == _first_agreeing(diff, band_blocks)
@@ -132,7 +140,7 @@ def _refined_pairs(large: DataFrame, threshold: int, bands: int, chunk_rows: int
              .filter((F.col("n") > 1) & (F.col("lo") != F.col("hi")))
              .select(*[F.col(k).alias(f"__{k}") for k in cell],
                      F.ceil(F.col("n") / F.lit(chunk_rows)).cast("int").alias("chunks")))
-    keyed = keyed.join(sizes, [F.col(k) == F.col(f"__{k}") for k in cell]).drop(*[f"__{k}" for k in cell])
+    keyed = keyed.join(_sorted_side(sizes), [F.col(k) == F.col(f"__{k}") for k in cell]).drop(*[f"__{k}" for k in cell])
     # Chunk pairs: a row of chunk c goes to (c, d) for every d, so any two rows meet exactly once.
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     keyed = (keyed.withColumn("chunk", chunk)
@@ -172,7 +180,7 @@ def _near_copies(nodes: DataFrame, threshold: int, bands: int) -> DataFrame:
     cell = ["domain", "range", "rest"]
     heads = (masked.groupBy(*cell).agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
              .filter(F.col("n") > 1).select(*[F.col(k).alias(f"__{k}") for k in cell], "head"))
-    return (masked.join(heads, [F.col(k) == F.col(f"__{k}") for k in cell])
+    return (masked.join(_sorted_side(heads), [F.col(k) == F.col(f"__{k}") for k in cell])
             .filter(F.col("id") != F.col("head")).select(F.col("id").alias("u"), F.col("head").alias("v")))
 
 
@@ -181,10 +189,10 @@ def _exact_edges(signed: DataFrame, nodes: DataFrame) -> DataFrame:
     key = ["domain", "template_subject", "prefix"]
     distinct = signed.groupBy(*key, "simhash").agg(F.min("seq").alias("s"))
     heads = distinct.groupBy(*key).agg(F.min("s").alias("head"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    shared = distinct.join(heads.select(*[F.col(k).alias(f"__{k}") for k in key], "head"),
+    shared = distinct.join(_sorted_side(heads.select(*[F.col(k).alias(f"__{k}") for k in key], "head")),
                            [F.col(k) == F.col(f"__{k}") for k in key])
     ids = nodes.select(F.col("domain").alias("__d"), F.col("simhash").alias("__h"), "id")
-    return (shared.join(ids, (F.col("domain") == F.col("__d")) & (F.col("simhash") == F.col("__h")))
+    return (shared.join(_sorted_side(ids), (F.col("domain") == F.col("__d")) & (F.col("simhash") == F.col("__h")))
             .select(F.col("id").alias("u"), (-F.col("head") - 1).alias("v")))
 
 
@@ -195,7 +203,7 @@ def _banded(nodes: DataFrame, bands: int) -> DataFrame:
         *[hash_bits(F.col("simhash"), b * width, width) for b in range(bands)])).alias("band", "slice"))
     sizes = (rows.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
              .filter(F.col("lo") != F.col("hi")).select(*[F.col(k).alias(f"__{k}") for k in BUCKET], "size"))
-    return rows.join(sizes, [F.col(k) == F.col(f"__{k}") for k in BUCKET]).drop(*[f"__{k}" for k in BUCKET])
+    return rows.join(_sorted_side(sizes), [F.col(k) == F.col(f"__{k}") for k in BUCKET]).drop(*[f"__{k}" for k in BUCKET])
 
 
 def _star_edges(banded: DataFrame, threshold: int, turn: int, star_rows: int) -> DataFrame:
@@ -207,7 +215,7 @@ def _star_edges(banded: DataFrame, threshold: int, turn: int, star_rows: int) ->
     rows, cell = banded.withColumn("part", part), [*BUCKET, "part"]
     head = F.min_by(F.struct(F.col("simhash").alias("hash"), F.col("root").alias("to")), F.xxhash64("id", F.lit(-turn - 1)))
     heads = rows.groupBy(*cell).agg(head.alias("head")).select(*[F.col(k).alias(f"__{k}") for k in cell], "head.hash", "head.to")
-    met = rows.join(heads, [F.col(k) == F.col(f"__{k}") for k in cell])
+    met = rows.join(_sorted_side(heads), [F.col(k) == F.col(f"__{k}") for k in cell])
     close = (F.col("root") != F.col("to")) & (hamming(F.col("simhash"), F.col("hash")) <= threshold)
     return met.filter(close).select(F.col("root").alias("u"), F.col("to").alias("v")).distinct()
 
@@ -223,7 +231,7 @@ def _closest_edges(rows: DataFrame, cell: list[str], threshold: int, chunk_rows:
     cells = cells.filter(F.col("rows") > F.col("most")).select(
         *[F.col(k).alias(f"__{k}") for k in cell], "main", F.ceil(F.col("rows") / F.lit(chunk_rows)).cast("int").alias("chunks"),
         F.ceil((F.col("rows") - F.col("most")) / F.lit(chunk_rows)).cast("int").alias("askers"))
-    placed = rows.join(cells, [F.col(k) == F.col(f"__{k}") for k in cell]).drop(*[f"__{k}" for k in cell])
+    placed = rows.join(_sorted_side(cells), [F.col(k) == F.col(f"__{k}") for k in cell]).drop(*[f"__{k}" for k in cell])
     dealt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     asking = placed.filter(F.col("root") != F.col("main")).select(
@@ -233,7 +241,7 @@ def _closest_edges(rows: DataFrame, cell: list[str], threshold: int, chunk_rows:
                           every(F.col("askers")).alias("__asker"))
     same = [F.col(k) == F.col(f"__{k}") for k in (*cell, "chunk", "asker")]
     distance = hamming(F.col("hash"), F.col("simhash"))
-    found = asking.join(asked, [*same, (F.col("u") != F.col("root")) & (distance <= threshold)])
+    found = asking.join(_sorted_side(asked), [*same, (F.col("u") != F.col("root")) & (distance <= threshold)])
     return (found.groupBy("from", "u").agg(F.min_by("root", F.struct(distance, F.col("root"))).alias("v")).select("u", "v").distinct())
 
 
@@ -270,7 +278,7 @@ def contracted(nodes: DataFrame, threshold: int = K.HAMMING_THRESHOLD, bands: in
                 continue
             return nodes
         names = connected_components(edges).withColumnRenamed("node", "__n")
-        nodes = cut_lineage(nodes.join(names, F.col("root") == F.col("__n"), "left").select(
+        nodes = cut_lineage(nodes.join(_sorted_side(names), F.col("root") == F.col("__n"), "left").select(
             "id", "domain", "simhash", F.coalesce("component", "root").alias("root")), "rooted")
     raise RuntimeError(f"groups did not settle in {MAX_ROUNDS} rounds")
 
@@ -286,15 +294,15 @@ def template_components(signed: DataFrame, threshold: int = K.HAMMING_THRESHOLD,
     nodes = cut_lineage(vertices(signed), "vertices")
     linear = _exact_edges(signed, nodes).unionByName(_near_copies(nodes, threshold, bands))
     first = cut_lineage(connected_components(linear), "first_pass")
-    rooted = (nodes.join(first.withColumnRenamed("node", "__n"), F.col("id") == F.col("__n"), "left")
+    rooted = (nodes.join(_sorted_side(first.withColumnRenamed("node", "__n")), F.col("id") == F.col("__n"), "left")
               .select("id", "domain", "simhash", F.coalesce("component", "id").alias("root")))
     resolved = contracted(rooted, threshold, bands, bucket_limit).select(
         F.col("domain").alias("__d"), F.col("simhash").alias("__h"), "id", F.col("root").alias("__c"))
     # Template vertices are numbered below zero; name each component by its first message instead.
     names = resolved.groupBy("__c").agg(F.min("id").alias("component"))
-    resolved = (resolved.join(names.withColumnRenamed("__c", "__cc"), F.col("__c") == F.col("__cc"))
+    resolved = (resolved.join(_sorted_side(names.withColumnRenamed("__c", "__cc")), F.col("__c") == F.col("__cc"))
                 .select("__d", "__h", "component"))
-    return (signed.join(resolved, (F.col("domain") == F.col("__d")) & (F.col("simhash") == F.col("__h")))
+    return (signed.join(_sorted_side(resolved), (F.col("domain") == F.col("__d")) & (F.col("simhash") == F.col("__h")))
             .select("seq", "message_id", "norm_len", "component"))
 
 

@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from postsift.operators import components
 from postsift.operators import grouping as G
 from postsift.operators import simhash as S
 from postsift.operators.components import connected_components
+from postsift.session import cut_lineage
 
 
 def signed(value):
@@ -142,3 +144,22 @@ def test_numbering_orders_by_size_then_first_message(spark):
     chunks = G.group_members(df, groups, span=2).filter("template_group_id = 'group_00001'").orderBy("chunk").collect()
     assert [r["message_ids"] for r in chunks] == [["400000", "400001"], ["400002"]]
     assert groups.filter(F.col("component") == 0).first()["rep_seq"] == 1
+
+
+def test_no_table_of_the_corpus_is_broadcast_by_the_grouping(spark, capsys):
+    """Written tables of ids are small files; the planner would collect their rows in the driver."""
+    hashes = clustered_hashes(3, 4, 10)
+    rows = [(i, str(i), 5, "d", "s", f"p{i % 6}", signed(h)) for i, h in enumerate(hashes)]
+    marked = cut_lineage(spark.createDataFrame(rows, "seq long, message_id string, norm_len int, domain string, template_subject string, "
+                                                     "prefix string, simhash long"))
+    nodes = cut_lineage(G.vertices(marked).withColumn("root", F.col("id")))
+    banded = cut_lineage(G._banded(nodes, 4))
+    edges = cut_lineage(G._near_copies(nodes, 6, 4).filter("u <> v"))
+    steps = [G._banded(nodes, 4), G._near_copies(nodes, 6, 4), G._exact_edges(marked, nodes), G._star_edges(banded, 6, 0, 4096),
+             G._contracting_edges(banded, 6, 4, 1, 4), G.lsh_pairs(nodes), G.template_components(marked), components._large_star(edges),
+             components._small_star(edges)]
+    capsys.readouterr()
+    for step in steps:
+        step.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
