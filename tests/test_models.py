@@ -26,6 +26,31 @@ def test_fits_go_on_until_probabilities_add_up(spark):
     assert mass == {"up": pytest.approx(60, abs=0.3), "down": pytest.approx(30, abs=0.3)}
 
 
+def test_efforts_grow_by_what_the_last_fit_lacked(spark, monkeypatch):
+    """A surplus that falls with the square of the iterations: no fit between the first and the one that settles."""
+    tried = []
+
+    class Solver:
+        def setMaxIter(self, n):
+            self.n = n
+            return self
+
+        def setTol(self, tolerance):
+            tried.append((self.n, tolerance))
+
+        def fit(self, data):
+            return self.n
+
+    monkeypatch.setattr(ML, "_surplus", lambda model, *more: 3.25 * (100 / model) ** 2)
+    assert ML.fit_certified(Solver(), None, 4, 3383, 100) == 400
+    assert tried == [(100, 1e-6), (400, pytest.approx(1e-8))]
+    tried.clear()
+    monkeypatch.setattr(ML, "_surplus", lambda model, *more: 0.3)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        ML.fit_certified(Solver(), None, 4, 3383, 1)
+    assert [n for n, _ in tried] == [1 << k for k in range(ML.EFFORTS)]
+
+
 @pytest.mark.parametrize("loss", ["softmax", "ova"])
 def test_a_fit_goes_through_the_coefficients_once_a_task(spark, loss):
     """Blocks of the default size, 1 MB, would make every task go through them for each of its blocks."""
