@@ -38,7 +38,9 @@ def test_one_vs_rest_fits_all_classes_over_one_copy_of_the_rows(spark, monkeypat
     assert {r["label"]: r["mass"] for r in model.class_mass(mail).collect()} == {k: pytest.approx(30, abs=0.25) for k in "abc"}
 
 
-def test_one_vs_rest_has_the_optimum_of_spark_ml(spark):
+@pytest.mark.parametrize("chunk", [7, 1 << 15])
+def test_one_vs_rest_has_the_optimum_of_spark_ml(spark, monkeypatch, chunk):
+    monkeypatch.setattr(logistic, "CHUNK_ENTRIES", chunk)
     draw = np.random.default_rng(3)
     rows = spark.createDataFrame([(float(i % 3), Vectors.sparse(12, {int(j): float(draw.integers(1, 4)) for j in {i % 3, *draw.integers(0, 12, 4)}}))
                                   for i in range(150)], ["label", "features"]).repartition(2).cache()
